@@ -1,0 +1,49 @@
+"""Connected components of an edge table by alternating large-star and small-star.
+
+Every step is a join or an aggregation with map-side combining; nothing is
+gathered per component, so a component of any size is spread over all tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glossa.llm.shared import Workspace
+
+
+def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
+    """Link each node's neighbours to the smallest of them.
+
+    both_ways: large star (larger neighbours only move); else small star, for
+    which each edge points from the larger end to the smaller.
+    """
+    if both_ways:
+        e = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        return e.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(low, "u")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v")
+
+
+def components(edges: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:
+    """(u, v) pairs of one orderable type -> (node, root) for every node of an edge.
+
+    root is the smallest node of the component. Self links and nulls are
+    ignored; no edges give no rows.
+    """
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
+    e = work.table(e, "edges0")
+    before = None
+    for i in range(1, rounds + 1):
+        e = work.table(_stars(_stars(e, True).distinct(), False).distinct(), f"edges{i}")
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+        work.drop(f"edges{i - 1}")
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = e.select("v").distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
