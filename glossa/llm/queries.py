@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm.near_dedup import near_duplicates
+from glossa.llm.pieces import encode_and_decode
 from glossa.llm.shared import read_table
 
+#: The vocabulary file's name; where the files lie is a parameter of the operator.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,8 +24,19 @@ def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), threshold_pct=85)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chosen_path_dedup": op4_chosen_path_dedup,
+    "op6_sentencepiece_agenda": op6_sentencepiece_agenda,
 }
 
 ORACLE: dict[str, str] = {
