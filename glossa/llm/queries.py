@@ -14,6 +14,7 @@ from glossa.llm.decontaminate import contamination
 from glossa.llm.near_dedup import near_duplicates
 from glossa.llm.pieces import encode_and_decode
 from glossa.llm.shared import read_table
+from glossa.llm.toxicity import toxicity
 
 #: The vocabulary file's name; where the files lie is a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -35,6 +36,10 @@ def op6_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chosen_path_dedup": op4_chosen_path_dedup,
     "op6_sentencepiece_agenda": op6_sentencepiece_agenda,
+    "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op10_winnowing": op10_winnowing,
 }
 
