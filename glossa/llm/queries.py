@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glossa.llm.decontaminate import contamination
 from glossa.llm.near_dedup import near_duplicates
 from glossa.llm.pieces import encode_and_decode
+from glossa.llm.quality import quality
 from glossa.llm.shared import read_table
 from glossa.llm.toxicity import toxicity
 
@@ -40,6 +41,10 @@ def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chosen_path_dedup": op4_chosen_path_dedup,
     "op6_sentencepiece_agenda": op6_sentencepiece_agenda,
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
+    "op9_weak_label_quality": op9_weak_label_quality,
     "op10_winnowing": op10_winnowing,
 }
 
