@@ -6,16 +6,22 @@ columns that make results comparable.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from glossa.llm.chat import collapse_and_render
 from glossa.llm.decontaminate import contamination
+from glossa.llm.media import document_media
 from glossa.llm.near_dedup import near_duplicates
 from glossa.llm.pieces import encode_and_decode
 from glossa.llm.quality import quality
-from glossa.llm.shared import read_table
+from glossa.llm.shared import read_table, shared_dir
+from glossa.llm.token_rollup import Rollup, count_tokens, document_rollup
 from glossa.llm.toxicity import toxicity
+from glossa.llm.url_lists import host_of, judge, path_of
 
 #: The vocabulary file's name; where the files lie is a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +29,14 @@ PIECE_MODEL = "piece_bpe_32k.model"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(read_table(spark, sf_dir, "documents"))
+
+
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), threshold_pct=85)
 
@@ -37,6 +51,46 @@ def op6_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def _dated_entries(pages: DataFrame) -> DataFrame:
+    """Lists made from the pages' own hosts and paths: a number from each pattern's md5 gives its list and dates."""
+    host, first = host_of(F.col("url")), F.element_at(F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != ""), 1)
+    parent = F.regexp_extract(host, r"^[^.]*\.(.*)$", 1)
+    each = [F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern")) for kind, pattern in (("host", host), ("domain", parent), ("path", F.concat(host, F.lit("/"), first)))]
+    named = pages.select(F.explode(F.array(*each)).alias("e"))
+    named = named.select("e.*").filter("pattern <> ''").distinct()
+    named = named.withColumn("v", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")).filter("v % 3 <> 2")
+    v = F.col("v")
+    dated = ((F.lit("add"), v % 200), (F.lit("remove"), v % 200 + 20 + v % 71), (F.when(v % 5 == 0, "add").otherwise("remove"), v % 200 + 120))
+    named = named.withColumn("d", F.explode(F.array(*[F.struct(action.alias("action"), day.alias("day")) for action, day in dated])))
+    return named.select(F.when(F.col("v") % 4 == 0, "allow").otherwise("block").alias("list"), "kind", "pattern", "d.action", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d.day").cast("int")).alias("at"))
+
+
+def op5_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    out = judge(pages.withColumn("fetched", fetched), _dated_entries(pages))
+    return out.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
+
+
+#: Tokenizer versions of the rollup, by the vocabulary file they read.
+ROLLUP_TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
+
+def rollup_tokenizers() -> dict[str, tuple[str, str]]:
+    import public_tokenizers
+
+    return {n: (tokenizer_path(f"{n}.tiktoken"), public_tokenizers.PATTERN) for n in ROLLUP_TOKENIZERS}
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, name = read_table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    work = f"{shared_dir(spark)}/token-rollup-{name}"
+    counts = count_tokens(docs, rollup_tokenizers())
+    counts.write.parquet(f"{work}/counts")
+    counted = spark.read.schema(counts.schema).parquet(f"{work}/counts")
+    return document_rollup(docs, rollup_tokenizers(), Rollup(spark, f"{work}/batches"), counted)
+
+
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,14 +104,57 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_sequences": op1_media_sequences,
+    "op2_snapshot_collapse": op2_snapshot_collapse,
     "op4_chosen_path_dedup": op4_chosen_path_dedup,
+    "op5_url_list_asof": op5_url_list_asof,
     "op6_sentencepiece_agenda": op6_sentencepiece_agenda,
+    "op7_token_rollup": op7_token_rollup,
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op9_weak_label_quality": op9_weak_label_quality,
     "op10_winnowing": op10_winnowing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_snapshot_collapse": """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n, list(role || chr(31) || text ORDER BY turn NULLS FIRST, role, text) AS turns,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+  FROM t GROUP BY conv_id),
+k AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n, count(*) AS n_copies, any_value(rendered) AS rendered FROM c GROUP BY turns)
+SELECT conv_id, n AS n_turns, n_copies, 0::BIGINT AS part, rendered FROM k
+WHERE NOT EXISTS (SELECT 1 FROM k AS other WHERE other.n > k.n AND other.turns[1:k.n] = k.turns)
+""",
+    "op5_url_list_asof": r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS fetched, row_number() OVER () AS r,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS steps
+  FROM pages),
+patterns AS (
+  SELECT 'host' AS kind, host AS pattern FROM p UNION SELECT 'domain', regexp_extract(host, '^[^.]*\.(.*)$', 1) FROM p
+  UNION SELECT 'path', host || '/' || steps[1] FROM p WHERE len(steps) > 0),
+v AS (SELECT kind, pattern, ('0x' || md5(pattern)[1:6])::BIGINT AS v FROM patterns WHERE pattern <> ''),
+dated AS (
+  SELECT CASE WHEN v % 4 = 0 THEN 'allow' ELSE 'block' END AS list, kind, pattern, action, DATE '2024-01-01' + day::INT AS since FROM (
+    SELECT *, 'add' AS action, v % 200 AS day FROM v UNION ALL SELECT *, 'remove', v % 200 + 20 + v % 71 FROM v
+    UNION ALL SELECT *, CASE WHEN v % 5 = 0 THEN 'add' ELSE 'remove' END, v % 200 + 120 FROM v)
+  WHERE v % 3 <> 2),
+one AS (SELECT list, kind, pattern, since, bool_or(action = 'remove') AS removed FROM dated GROUP BY ALL),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since) AS until FROM one),
+keys AS (
+  SELECT r, fetched, 'host' AS kind, host AS pattern FROM p WHERE host <> ''
+  UNION ALL SELECT r, fetched, 'domain', array_to_string((string_split(host, '.'))[i:], '.') FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+  UNION ALL SELECT r, fetched, 'path', host || '/' || array_to_string(steps[1:i], '/') FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM p WHERE host <> '')),
+hit AS (
+  SELECT r, k.kind, k.pattern, s.list, row_number() OVER (PARTITION BY r ORDER BY length(k.pattern) DESC, s.list <> 'block', s.list, k.pattern, k.kind) AS best,
+         count(*) OVER (PARTITION BY r) AS n
+  FROM keys k JOIN spans s ON s.kind = k.kind AND s.pattern = k.pattern AND NOT s.removed AND k.fetched >= s.since AND (s.until IS NULL OR k.fetched < s.until))
+SELECT p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d') AS fetched, coalesce(h.n, 0)::BIGINT AS n_active, coalesce(h.list, 'none') AS verdict, h.pattern, h.kind
+FROM p LEFT JOIN hit h ON h.r = p.r AND h.best = 1
+""",
     "op4_chosen_path_dedup": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
