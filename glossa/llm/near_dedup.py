@@ -334,3 +334,14 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     shingled = base.filter("cid is not null").join(by_class, "cid").select("doc_id", "n_shingles", "component_id")
     out = shingled.unionByName(base.filter("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, **parameters) -> DataFrame:
+    """The rows of docs that stay when one document of each group stays, with all their columns.
+
+    A doc_id goes if near_duplicates keeps none of its rows. Rows without a
+    doc_id stay, as no decision can name them.
+    """
+    found = near_duplicates(docs, threshold_pct, **parameters)
+    gone = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

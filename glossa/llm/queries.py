@@ -22,6 +22,7 @@ from glossa.llm.shared import read_table, shared_dir
 from glossa.llm.token_rollup import Rollup, count_tokens, document_rollup
 from glossa.llm.toxicity import toxicity
 from glossa.llm.url_lists import host_of, judge, path_of
+from glossa.llm.warc import archive_and_read
 
 #: The vocabulary file's name; where the files lie is a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,6 +38,10 @@ def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), threshold_pct=85)
 
@@ -106,6 +111,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_sequences": op1_media_sequences,
     "op2_snapshot_collapse": op2_snapshot_collapse,
+    "op3_warc_index": op3_warc_index,
     "op4_chosen_path_dedup": op4_chosen_path_dedup,
     "op5_url_list_asof": op5_url_list_asof,
     "op6_sentencepiece_agenda": op6_sentencepiece_agenda,
@@ -154,6 +160,18 @@ hit AS (
   FROM keys k JOIN spans s ON s.kind = k.kind AND s.pattern = k.pattern AND NOT s.removed AND k.fetched >= s.since AND (s.until IS NULL OR k.fetched < s.until))
 SELECT p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d') AS fetched, coalesce(h.n, 0)::BIGINT AS n_active, coalesce(h.list, 'none') AS verdict, h.pattern, h.kind
 FROM p LEFT JOIN hit h ON h.r = p.r AND h.best = 1
+""",
+    "op3_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS least FROM p),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i])::INT), 4, '0')), '') AS b FROM d)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(0, 5), lambda j: (b[5 * k + j + 1])::INT * (16 >> j)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM bits
 """,
     "op4_chosen_path_dedup": rf"""
 WITH RECURSIVE d AS (
