@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import corpus
+from glossa.plans import corpus, pages, textual
 
-_PARTS = (corpus,)
+_PARTS = (corpus, textual, pages)
 FLAGSHIP = "corpus_stats"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
