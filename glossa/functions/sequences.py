@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -102,7 +103,7 @@ def align(a: list, b: list, match: Callable = lambda x, y: 1.0, insert: Callable
     return dict(sorted(out.items()))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
     return pd.Series([lcs_length(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)])
@@ -115,13 +116,13 @@ def lcs_similarity(a, b, over: str = "first"):
     return F.when(n > 0, lcs(a, b) / n).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("array<struct<op:string,from:string,to:string>>")
+@F.pandas_udf(ArrayType(StructType().add("op", StringType()).add("from", StringType()).add("to", StringType())))
 def diff_operations(a: pd.Series, b: pd.Series) -> pd.Series:
     """operations() of two arrays."""
     return pd.Series([[{"op": o, "from": x, "to": y} for o, x, y in operations(list(p), list(q))] if p is not None and q is not None else [] for p, q in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("map<int,int>")
+@F.pandas_udf(MapType(IntegerType(), IntegerType()))
 def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """align() of two arrays with the default costs."""
     return pd.Series([align(list(p), list(q)) if p is not None and q is not None else {} for p, q in zip(a, b, strict=True)])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import corpus, pages, textual
+from glossa.plans import corpus, models, pages, textual
 
-_PARTS = (corpus, textual, pages)
+_PARTS = (corpus, textual, pages, models)
 FLAGSHIP = "corpus_stats"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
