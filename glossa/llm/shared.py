@@ -7,22 +7,12 @@ written survives the loss of the executor that made it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a folder of our own."""
-    root = spark.conf.get(_KEY, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="glossa-")
-        spark.conf.set(_KEY, root)
-    return root.rstrip("/")
+from glossa.sources.storage import shared_dir
 
 
 class Workspace:
