@@ -66,7 +66,7 @@ def per_term_models(rows: DataFrame, term: str, features: str, label: str, order
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values([order, label])
         w = perceptron_fit([(dict(x), int(y)) for x, y in zip(f[features], f[label], strict=True)])
-        return pd.DataFrame({"term": [key[0]], "n": [len(f)], "weights": [[(k, v) for k, v in sorted(w.items()) if v]]})
+        return pd.DataFrame({"term": [key[0]], "n": [len(f)], "weights": [{k: v for k, v in sorted(w.items()) if v}]})
 
     return capped.groupBy(term).applyInPandas(run, "term string, n int, weights map<string,double>")
 
