@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.hashing import WordHashes, ngram_hashes
+from glossa.llm.shared import slices
 
 SPAN = 13
 K = 6
@@ -133,7 +134,7 @@ def _through(index, first: bool, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             earlier = [(None, None)] * batch.num_rows if first else zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
             rows: list[tuple] = []
             for text, (runs, items) in zip(batch.column("text").to_pylist(), earlier, strict=True):
@@ -185,7 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text in batch.column("text").to_pylist():
                 w = hashes.of(words_of(text))

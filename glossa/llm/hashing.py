@@ -25,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> xxh64, filled on demand and emptied beyond ``limit`` entries."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

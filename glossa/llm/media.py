@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Workspace
+from glossa.llm.shared import Workspace, slices
 
 #: Samples of an image row; payloads are padded to whole rows.
 WIDTH = 576
@@ -119,10 +119,8 @@ def interleave(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
     """(id, html) -> (id, sequence); null and empty pages give empty sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_interleaved(t) for t in part.column(1).to_pylist()], _SEQUENCE_TYPE)], [id_column, "sequence"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_interleaved(t) for t in part.column(1).to_pylist()], _SEQUENCE_TYPE)], [id_column, "sequence"])
 
     rows = pages.select(F.col(f"`{id_column}`"), F.col(f"`{html_column}`").cast("string").alias("_html"))
     return rows.mapInArrow(run, f"`{id_column}` {rows.schema[0].dataType.simpleString()}, sequence {SEQUENCE}")
@@ -179,21 +177,20 @@ def feature_of(samples: bytes) -> str:
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> store rows; a task skips digests that it has lately stored."""
     lately: OrderedDict[bytes, None] = OrderedDict()
-    for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            refs, images = [], []
-            for text in b.column("text").slice(at, 1024).to_pylist():
-                payload, _ = payload_of(text)
-                digest = hashlib.sha256(payload).digest()
-                if digest in lately:
-                    lately.move_to_end(digest)
-                    continue
-                lately[digest] = None
-                if len(lately) > 50_000:
-                    lately.popitem(last=False)
-                refs.append(_PREFIX + digest.hex())
-                images.append(png_of(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(images, pa.binary())], ["ref", "media"])
+    for b in slices(batches):
+        refs, images = [], []
+        for text in b.column("text").to_pylist():
+            payload, _ = payload_of(text)
+            digest = hashlib.sha256(payload).digest()
+            if digest in lately:
+                lately.move_to_end(digest)
+                continue
+            lately[digest] = None
+            if len(lately) > 50_000:
+                lately.popitem(last=False)
+            refs.append(_PREFIX + digest.hex())
+            images.append(png_of(payload))
+        yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(images, pa.binary())], ["ref", "media"])
 
 
 def store_payloads(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -208,7 +205,7 @@ _READ = "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long,
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for ref, image in zip(b.column("ref").to_pylist(), b.column("media").to_pylist(), strict=True):
             payload = samples_of(image)
@@ -234,15 +231,14 @@ def resolve(sequences: DataFrame, id_column: str, features: DataFrame) -> DataFr
 
 
 def _as_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1024):
-            part, pages = b.slice(at, 1024), []
-            for text in part.column("text").to_pylist():
-                payload, n = payload_of(text)
-                said = html.escape(text or "")
-                title = html.escape((text or "").strip().split("\n")[0][:80])
-                pages.append(f'<article><p>{said}</p><figure><img src="{_PREFIX}{hashlib.sha256(payload).hexdigest()}" data-length="{n}"><figcaption>{title}</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pages, pa.string())], ["doc_id", "html"])
+    for part in slices(batches):
+        pages = []
+        for text in part.column("text").to_pylist():
+            payload, n = payload_of(text)
+            said = html.escape(text or "")
+            title = html.escape((text or "").strip().split("\n")[0][:80])
+            pages.append(f'<article><p>{said}</p><figure><img src="{_PREFIX}{hashlib.sha256(payload).hexdigest()}" data-length="{n}"><figcaption>{title}</figcaption></figure></article>')
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pages, pa.string())], ["doc_id", "html"])
 
 
 def document_media(docs: DataFrame) -> DataFrame:

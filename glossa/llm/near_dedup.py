@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.components import components
 from glossa.llm.hashing import WordHashes, shingle_set
-from glossa.llm.shared import Workspace
+from glossa.llm.shared import Workspace, slices
 
 PERMUTATIONS = 64
 DEPTH = 3
@@ -52,7 +52,7 @@ def trees_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, perms, shift = WordHashes(), _permutations(), np.uint64(32)
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column("text").to_pylist():
                 s = shingle_set(hashes.of(words_of(text)), k)
@@ -240,7 +240,7 @@ def _sets_of(k: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         have = bits.value
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column("bit").to_numpy()
             rows = np.flatnonzero(have[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             if not len(rows):

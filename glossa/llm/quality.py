@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.hashing import WordHashes
-from glossa.llm.shared import Workspace
+from glossa.llm.shared import Workspace, slices
 
 LOG2_DIMENSIONS = 16
 #: Bound of the documents that the linear scorer is fitted on.
@@ -124,7 +124,7 @@ class Shapes(dict):
     hashes = WordHashes()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = self.hashes[_shape(word)] >> (64 - LOG2_DIMENSIONS)
         return value
@@ -155,7 +155,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], passes: int = 6, rate:
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         found = ["".join(map(str, votes(measures(t)))) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array(found, pa.string())], ["ord", "pattern"])
 
@@ -177,7 +177,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[dict[str,
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in batches:
+        for b in slices(batches):
             found = [(*features(t, shapes), model["".join(map(str, votes(measures(t))))]) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), pa.array([f[2] for f in found], pa.float64())], ["ord", "at", "x", "y"])
 
@@ -216,7 +216,7 @@ def quality(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             found = ["".join(map(str, votes(measures(t)))) for t in texts]
             s = _scores(weights.value, texts, shapes)
@@ -233,7 +233,7 @@ def keep_good(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([s >= 0.5 for s in _scores(weights.value, b.column("text").to_pylist(), shapes)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

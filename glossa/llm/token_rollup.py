@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm.shared import slices
+
 KEYS = ["source", "lang", "tokenizer"]
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -91,7 +93,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[str, str]]) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = {name: _encoding(*at) for name, at in tokenizers.items()}
         kind = pa.map_(pa.string(), pa.int64())
-        for b in batches:
+        for b in slices(batches):
             before, after = [], []
             for text in b.column("text").to_pylist():
                 clean = tidy(text)

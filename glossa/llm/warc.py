@@ -28,7 +28,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Workspace
+from glossa.llm.shared import Workspace, slices
 
 #: An archive is closed beyond this size.
 ARCHIVE_BYTES = 256 << 20
@@ -154,7 +154,7 @@ _CAPTURE = "key string, line string"
 def _archived(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Writer(folder, ".warc.gz")
-        for b in batches:
+        for b in slices(batches):
             keys, lines = [], []
             for page_id, url, page, refers in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")], strict=True):
                 record, digest = record_of(page_id, url, (page or "").encode("utf-8", "surrogatepass"), refers, date)
