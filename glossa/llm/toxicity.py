@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.decontaminate import words_of
 from glossa.llm.hashing import WordHashes, ngram_hashes
-from glossa.llm.shared import Workspace
+from glossa.llm.shared import Workspace, slices
 
 LOG2_DIMENSIONS = 20
 #: Bound of the labelled rows that the model is fitted on.
@@ -29,11 +29,11 @@ MAX_TRAINING_ROWS = 16_384
 class Ftrl:
     """Parameters of the fit: rate alpha / (beta + sqrt(n)), penalties l1 and l2, passes over the rows."""
 
-    alpha: float = 1.0
+    alpha: float = 4.0
     beta: float = 1.0
     l1: float = 3.0
-    l2: float = 0.1
-    passes: int = 8
+    l2: float = 0.0
+    passes: int = 12
 
 
 def features(words: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> tuple[np.ndarray, np.nda
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in slices(batches):
         found = [features(hashes.of(words_of(t))) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["ord", "label", "features"])
 
@@ -90,7 +90,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
 
     The rows are those of the least hashes of doc_id, so the choice is the same
     for any partitioning. A doc_id that has several labels is toxic if any is;
-    null ids and labels don't count. Without labelled rows the weights are empty.
+    null ids and labels don't count. Without labelled rows all texts score
+    alike, below 0.5.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = chosen.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -101,6 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     hashed = work.table(hashed, "training")
     model = hashed.repartition(1).sortWithinPartitions("ord", "label", F.xxhash64("features")).mapInArrow(_fitted(params), "at long, weight double").toPandas()
     work.drop("training")
+    if not len(model):
+        return np.array([1 << LOG2_DIMENSIONS]), np.array([-1.0])
     return model["at"].to_numpy(), model["weight"].to_numpy()
 
 
@@ -133,7 +136,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer.value.ready()
-        for b in batches:
+        for b in slices(batches):
             s = [score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -148,7 +151,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer.value.ready()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([score(t) < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
