@@ -94,7 +94,7 @@ def map_to_ids(tokens: DataFrame, vocabulary: DataFrame, word: str = "word") ->
 def inverted_index(tokens: DataFrame, doc: str, token: str, least: int = 1) -> DataFrame:
     """token, df, prior = df / N, and postings in order, of tokens in at least ``least`` documents."""
     pairs = tokens.select(token, doc).distinct()
-    n = tokens.agg(F.count_distinct(doc).alias("_n"))
+    n = pairs.agg(F.count_distinct(doc).alias("_n"))  # shares the shuffle of the pairs
     post = pairs.groupBy(token).agg(F.count("*").alias("df"), F.sort_array(F.collect_list(doc)).alias("postings")).filter(F.col("df") >= least)
     return post.crossJoin(n).select(token, "df", (F.col("df") / F.col("_n")).alias("prior"), "postings")
 
@@ -136,7 +136,8 @@ def rollup_paths(df: DataFrame, path: Column, measures: dict[str, Column]) -> Da
 
 def content_distribution(tokens: DataFrame, doc: str, token: str) -> DataFrame:
     """token, tf, df, p = tf / all tokens, tfidf = p ln(D / df) (A25). Merging distributions is unioning tokens."""
-    all_ = tokens.agg(F.count("*").alias("_t"), F.count_distinct(doc).alias("_d"))
-    per = tokens.groupBy(token, doc).agg(F.count("*").alias("c")).groupBy(token).agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    c = tokens.groupBy(token, doc).agg(F.count("*").alias("c"))
+    all_ = c.agg(F.sum("c").alias("_t"), F.count_distinct(doc).alias("_d"))
+    per = c.groupBy(token).agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
     p = F.col("tf") / F.col("_t")
     return per.crossJoin(all_).select(token, "tf", "df", p.alias("p"), (p * F.log(F.col("_d") / F.col("df"))).alias("tfidf"))

@@ -28,9 +28,9 @@ def url_signature(terms: DataFrame, page: str, term: str, host: str, df: DataFra
 
     Terms that are met at least twice, of three letters or more, no numbers and
     not in the host; the coordinate is n - rank, times 1 + boost, over 1 + df/N.
-    terms: one row for each occurrence with its page's host; exactly ``top`` at most.
+    terms: (page, host, term, n) counts; exactly ``top`` at most.
     """
-    c = terms.groupBy(page, host, term).agg(F.count("*").alias("_c")).filter((F.col("_c") >= 2) & (F.length(term) >= 3) & ~T.is_numeric(term) & ~F.contains(F.col(host), F.col(term)))
+    c = terms.withColumnRenamed("n", "_c").filter((F.col("_c") >= 2) & (F.length(term) >= 3) & ~T.is_numeric(term) & ~F.contains(F.col(host), F.col(term)))
     w = W.partitionBy(page)
     ranked = c.withColumn("_coord", F.count("*").over(w) - F.row_number().over(w.orderBy(F.desc("_c"), F.asc(term))))
     x = ranked.join(df.select(term, "df"), term, "left")

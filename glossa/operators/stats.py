@@ -9,8 +9,12 @@ from glossa.functions import vectors as V
 
 
 def tfidf(tokens: DataFrame, doc: str, word: str) -> DataFrame:
-    """doc, word, tf, df, weight = tf ln(N / df)."""
-    tf = tokens.groupBy(doc, word).agg(F.count("*").alias("tf"))
+    """doc, word, tf, df, weight = tf ln(N / df).
+
+    Words are counted once: the three uses of the counts share one shuffle. The
+    filter is always true; it keeps the counts in all three, so that they match.
+    """
+    tf = tokens.groupBy(doc, word).agg(F.count("*").alias("tf")).filter("tf > 0")
     df = tf.groupBy(word).agg(F.count("*").alias("df"))
     n = tf.agg(F.count_distinct(doc).alias("_n"))
     return tf.join(df, word).crossJoin(n).select(doc, word, "tf", "df", (F.col("tf") * F.log(F.col("_n") / F.col("df"))).alias("weight"))
@@ -75,9 +79,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
 
 def unigram_perplexity(tokens: DataFrame, doc: str, word: str) -> DataFrame:
     """exp of the mean negative log probability under add-one unigrams of all tokens."""
-    u = tokens.groupBy(word).agg(F.count("*").alias("_c"))
+    k = tokens.groupBy(doc, word).agg(F.count("*").alias("_k"))
+    u = k.groupBy(word).agg(F.sum("_k").alias("_c"))
     t = u.agg(F.sum("_c").alias("_n"), F.count("*").alias("_v"))
-    p = tokens.groupBy(doc, word).agg(F.count("*").alias("_k")).join(u, word).crossJoin(t)
+    p = k.join(u, word).crossJoin(t)
     log = F.log((F.col("_c") + 1) / (F.col("_n") + F.col("_v")))
     return p.groupBy(doc).agg(F.exp(-F.sum(F.col("_k") * log) / F.sum("_k")).alias("perplexity"))
 

@@ -40,8 +40,9 @@ sig AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER B
 
 
 def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = page_tokens(spark, sf_dir)
-    df = t.select("page_id", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    t = page_tokens(spark, sf_dir).groupBy("page_id", "host", "word").agg(F.count("*").alias("n"))
+    # pages are parsed once: that filter keeps the counts, so that both uses share the shuffle
+    df = t.filter("n > 0").groupBy("word").agg(F.count_distinct("page_id").alias("df"))
     n = load(spark, sf_dir, "pages").agg(F.count("*").alias("n_pages"))
     x = retrieval.url_signature(t, "page_id", "word", "host", df.crossJoin(n).select("word", (F.col("df") / F.col("n_pages")).alias("df")), F.lit(1.0))
     return x.select("page_id", "word", "weight", "rank")

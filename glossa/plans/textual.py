@@ -126,9 +126,9 @@ WITH {_DOC}, n AS (SELECT count(DISTINCT doc_id) AS n FROM t), f AS (SELECT w, c
 SELECT w AS word, df, round(ln(n / (1 + df)), 9) AS idf, round(1 / (1 + ln(1 + df)), 9) AS summary_idf FROM f, n WHERE df >= 3"""
 )
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = doc_tokens(spark, sf_dir)
+    t = doc_tokens(spark, sf_dir).distinct()
     n = t.agg(F.count_distinct("doc_id").alias("n"))
-    f = counts.document_frequency(t, "doc_id", "word", 3).crossJoin(n)
+    f = t.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 3").crossJoin(n)
     return f.select("word", "df", F.round(V.idf(F.col("n"), F.col("df")), 9).alias("idf"), F.round(V.summary_idf(F.col("df")), 9).alias("summary_idf"))
 
 
