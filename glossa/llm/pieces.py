@@ -27,19 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.shared import slices
+
 SPACE = "▁"
 #: Marks a fragment that follows no space of its own.
 PLAIN = "\x01"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 #: Fragments above this many characters go to the heap.
 LONG = 64
+#: Fragments in a table: about what a core's cache holds.
+TABLE = 8_000
 _NEVER = np.int64(1 << 38)
 
 
 class PieceModel:
     """The vocabulary of a merge-type model and its two codecs."""
 
-    def __init__(self, path: str, cache_limit: int = 500_000, check: bool = True):
+    def __init__(self, path: str, cache_limit: int = 150_000, check: bool = True):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -79,9 +83,10 @@ class PieceModel:
             if len(c) == 1:
                 self.char_symbol[ord(c)] = i
         self.surface = [b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
-        self.ids_of: dict[str, tuple[int, ...]] = {}
-        self.text_of: dict[str, str] = {}
-        self.ints = list(range(self.n_pieces))
+        self.code = np.dtype(np.uint16 if self.n_pieces <= 1 << 16 else np.uint32)
+        self.ids_of: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(self.n_pieces)]
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open-addressing table of the pairs."""
@@ -119,7 +124,7 @@ class PieceModel:
             at[left] = (at[left] + 1) & (len(self.slots) - 1)
         return out
 
-    def _agenda_table(self, fragments: list[str]) -> list[tuple[int, ...]]:
+    def _agenda_table(self, fragments: list[str]) -> list[bytes]:
         points = np.frombuffer("".join(fragments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.array([len(f) for f in fragments])
         word = np.repeat(np.arange(len(fragments)), lengths)
@@ -158,20 +163,22 @@ class PieceModel:
         word, sym, origin = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(origin)
         word, sym, origin = word[order], sym[order], origin[order]
-        bounds = np.searchsorted(word, np.arange(len(fragments) + 1))
-        ids, raw = sym.tolist(), (sym < 0) | (sym >= self.n_pieces)
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if raw[a:b].any():
-                out.append(tuple(x for k in range(a, b) for x in (self._bytes(chr(points[origin[k]])) if raw[k] else (ids[k],))))
-            else:
-                out.append(tuple([self.ints[x] for x in ids[a:b]]))
+        bounds = (np.searchsorted(word, np.arange(len(fragments) + 1)) * self.code.itemsize).tolist()
+        raw = (sym < 0) | (sym >= self.n_pieces)
+        packed = sym.astype(self.code).tobytes()
+        out = [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for f in set(word[raw].tolist()):
+            own = range(*(x // self.code.itemsize for x in bounds[f : f + 2]))
+            out[f] = self._pack([x for k in own for x in (self._bytes(chr(points[origin[k]])) if raw[k] else (sym[k],))])
         return out
 
+    def _pack(self, ids) -> bytes:
+        return np.array(ids, self.code).tobytes()
+
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_id[x] for x in char.encode("utf-8", "surrogatepass")]
 
-    def _agenda_heap(self, fragment: str) -> tuple[int, ...]:
+    def _agenda_heap(self, fragment: str) -> bytes:
         sym = [self.symbol.get(c, -1) for c in fragment]
         n = len(sym)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -192,14 +199,15 @@ class PieceModel:
                 before[after[a]] = a
             add(before[a], a)
             add(a, after[a])
-        return tuple(x for k in range(n) if alive[k] for x in ((sym[k],) if 0 <= sym[k] < self.n_pieces else self._bytes(fragment[k])))
+        return self._pack([x for k in range(n) if alive[k] for x in ((sym[k],) if 0 <= sym[k] < self.n_pieces else self._bytes(fragment[k]))])
 
-    def encode_fragments(self, fragments: list[str]) -> list[tuple[int, ...]]:
-        """Ids of fragments, in which a space is SPACE; no prefix is added."""
-        out: list[tuple[int, ...]] = [()] * len(fragments)
+    def encode_fragments(self, fragments: list[str]) -> list[bytes]:
+        """Packed ids of fragments, in which a space is SPACE; no prefix is added."""
+        out = [b""] * len(fragments)
         short = [k for k, f in enumerate(fragments) if 0 < len(f) <= LONG]
-        for a in range(0, len(short), 20_000):
-            part = short[a : a + 20_000]
+        short.sort(key=lambda k: len(fragments[k]))  # equal lengths end together
+        for a in range(0, len(short), TABLE):
+            part = short[a : a + TABLE]
             for k, ids in zip(part, self._agenda_table([fragments[k] for k in part]), strict=True):
                 out[k] = ids
         for k, f in enumerate(fragments):
@@ -209,13 +217,16 @@ class PieceModel:
             self._compare(fragments, out)
         return out
 
-    def _compare(self, fragments: list[str], ours: list[tuple[int, ...]]) -> None:
+    def _compare(self, fragments: list[str], ours: list[bytes]) -> None:
         """The library adds a prefix of its own: a fragment's own first space stands for it, else a line break divides them."""
         cut = 1 + len(self._bytes("\n"))
-        given = [f[1:].replace(SPACE, " ") if f[0] == SPACE and len(f) > 1 else "\n" + f.replace(SPACE, " ") for f in fragments]
-        for f, ids, theirs in zip(fragments, ours, self.library.encode(given, num_threads=1), strict=True):
-            if list(ids) != (theirs if f[0] == SPACE and len(f) > 1 else theirs[cut:]):
-                raise RuntimeError(f"the agenda disagrees with the library on {f!r}")
+        own = [f[0] == SPACE and len(f) > 1 for f in fragments]
+        given = [f[1:].replace(SPACE, " ") if x else "\n" + f.replace(SPACE, " ") for f, x in zip(fragments, own, strict=True)]
+        theirs = [ids if x else ids[cut:] for ids, x in zip(self.library.encode(given, num_threads=1), own, strict=True)]
+        size = self.code.itemsize
+        if [len(x) for x in ours] != [len(x) * size for x in theirs] or b"".join(ours) != np.fromiter(chain.from_iterable(theirs), self.code).tobytes():
+            wrong = next(f for f, x, y in zip(fragments, ours, theirs, strict=True) if x != self._pack(y))
+            raise RuntimeError(f"the agenda disagrees with the library on {wrong!r}")
 
     def fragments(self, text: str) -> list[str]:
         """Words of a text; each follows a space, but for those that begin with PLAIN."""
@@ -226,17 +237,25 @@ class PieceModel:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same in decimal joined by commas; null is as empty."""
-        cut = [self.fragments(t) if t else [] for t in texts]
         if len(self.ids_of) > self.cache_limit:
-            self.ids_of.clear()
-            self.text_of.clear()
-        new: set[str] = set()
-        for words in cut:
-            new.update(set(words).difference(self.ids_of))
-        ordered = sorted(new)
+            # what is met again moves back from the older half, the rest goes with the next turn
+            self.older, self.ids_of = self.ids_of, {}
+        cut = [self.fragments(t) if t else [] for t in texts]
+        found = [list(map(self.ids_of.get, words)) for words in cut]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        new = {w for k in open_ for w, ids in zip(cut[k], found[k], strict=True) if ids is None}
+        for w in new.intersection(self.older):
+            self.ids_of[w] = self.older[w]
+        ordered = list(new.difference(self.older))
         for w, ids in zip(ordered, self.encode_fragments([w[1:].replace(" ", SPACE) if w[:1] == PLAIN else SPACE + w for w in ordered]), strict=True):
-            self.ids_of[w], self.text_of[w] = ids, ",".join(map(str, ids))
-        return [(list(chain.from_iterable(map(self.ids_of.__getitem__, words))), ",".join(map(self.text_of.__getitem__, words))) for words in cut]
+            self.ids_of[w] = ids
+        for k in open_:
+            found[k] = [self.ids_of[w] if ids is None else ids for w, ids in zip(cut[k], found[k], strict=True)]
+        out = []
+        for each in found:
+            ids = np.frombuffer(b"".join(each), self.code).tolist()
+            out.append((ids, ",".join(map(self.decimal.__getitem__, ids))))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: the prefix space goes, byte pieces join to characters; bytes that are no UTF-8 are left to the library."""
@@ -260,25 +279,23 @@ def _model(path: str) -> PieceModel:
 def _coded(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                coded = model.encode_batch(batch.column("text").to_pylist())
-                texts = [model.decode(ids) for ids, _ in coded]
-                for ours, theirs in zip(texts, model.library.decode([ids for ids, _ in coded], num_threads=1), strict=True):
-                    if ours != theirs:
-                        raise RuntimeError(f"decoding disagrees with the library on {theirs[:80]!r}")
-                columns = [
-                    batch.column("doc_id"),
-                    pa.array([len(ids) for ids, _ in coded], pa.int64()),
-                    pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in coded], pa.string()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    columns += [pa.array([ids for ids, _ in coded], pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in slices(batches):
+            coded = model.encode_batch(batch.column("text").to_pylist())
+            texts = [model.decode(ids) for ids, _ in coded]
+            for ours, theirs in zip(texts, model.library.decode([ids for ids, _ in coded], num_threads=1), strict=True):
+                if ours != theirs:
+                    raise RuntimeError(f"decoding disagrees with the library on {theirs[:80]!r}")
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(ids) for ids, _ in coded], pa.int64()),
+                pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in coded], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                columns += [pa.array([ids for ids, _ in coded], pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
