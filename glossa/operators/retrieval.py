@@ -147,3 +147,26 @@ def homogeneity(ranked: DataFrame, pair_similarity: DataFrame, target: str, item
     per = pairs.groupBy(target, rank).agg(F.sum("score").alias("_s"), F.count("*").alias("_n"))
     w = W.partitionBy(target).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)
     return per.select(target, rank, (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("homogeneity"))
+
+
+def iterative_query(query: DataFrame, postings: DataFrame, similarity: DataFrame, q: str, term: str, rank: str, doc: str, rows: int = 20) -> DataFrame:
+    """q, n_terms, score, docs: the query's first terms whose results are nearest to it on average.
+
+    Queries of n terms ask for their first n, n - 1, ..., 1 terms; of equal
+    averages the fewest terms count. query has at most a few dozen ranked terms
+    for each q; similarity has (q, doc, score), absent pairs count as 0.
+    """
+    most = query.groupBy(q).agg(F.max(rank).alias("_n"))
+    hits = query.join(postings.select(doc, term), term).join(most, q).filter(F.col(doc) != F.col(q))
+    per = hits.select(q, doc, F.explode(F.sequence(F.col(rank), F.col("_n"))).alias("n_terms")).groupBy(q, "n_terms", doc).agg(F.count("*").alias("_k"))
+    best = top_per_group(per, [q, "n_terms"], [F.desc("_k"), F.asc(doc)], rows, "_r").join(similarity.select(q, doc, "score"), [q, doc], "left")
+    clusters = best.groupBy(q, "n_terms").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), 6).alias("score"), F.sort_array(F.collect_list(doc)).alias("docs"))
+    return top_per_group(clusters, [q], [F.desc("score"), F.asc("n_terms")], 1, "_r").drop("_r")
+
+
+def main_category(ranked: DataFrame, categories: DataFrame, q: str, doc: str, category: str) -> DataFrame:
+    """References of the category that most of a target's references have, the first by name among equals."""
+    r = ranked.join(categories.select(doc, category), doc)
+    n = r.groupBy(q, category).agg(F.count("*").alias("_n"))
+    top = top_per_group(n, [q], [F.desc("_n"), F.asc(category)], 1, "_k").select(q, category)
+    return r.join(top, [q, category])

@@ -206,3 +206,53 @@ def token_rankers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = u.groupBy("item_id").agg(F.sum("n").alias("l"))
     w = V.token_weights(F.col("c"), F.length("word"), V.term_prior(F.col("c")), F.col("l"))
     return u.join(c, "word").join(n, "item_id").select("item_id", "word", F.round(w["tfidf"], 9).alias("tfidf"), F.round(w["tfidf_length"], 9).alias("tfidf_length"), F.round(w["utterance"], 12).alias("utterance"))
+
+
+_COLLECT = f"""i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), t AS (SELECT item_id, x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(w) AS x FROM i) GROUP BY ALL), g AS (SELECT x, count(*) AS df, sum(n) AS c FROM t GROUP BY x),
+l AS (SELECT item_id, sqrt(sum(n * n)) AS l FROM t GROUP BY ALL), sim AS (SELECT a.item_id AS q, b.item_id AS doc, round(sum(a.n * b.n) / (any_value(la.l) * any_value(lb.l)), 6) AS score FROM t a JOIN t b USING (x) JOIN l la ON la.item_id = a.item_id JOIN l lb ON lb.item_id = b.item_id GROUP BY ALL),
+r AS (SELECT * FROM (SELECT item_id AS q, x, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, x) AS rank FROM t JOIN g USING (x) WHERE c >= 2) WHERE rank <= 10), m AS (SELECT q, max(rank) AS n FROM r GROUP BY q),
+h AS (SELECT q, t.item_id AS doc, unnest(range(rank, m.n + 1)) AS n_terms FROM r JOIN m USING (q) JOIN t USING (x) WHERE t.item_id <> q), p AS (SELECT q, n_terms, doc, count(*) AS k FROM h GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, n_terms ORDER BY k DESC, doc) AS z FROM p) WHERE z <= 5),
+c AS (SELECT b.q, n_terms, round(avg(coalesce(score, 0)), 6) AS score, string_agg(b.doc::VARCHAR, ',' ORDER BY b.doc) AS docs FROM b LEFT JOIN sim ON sim.q = b.q AND sim.doc = b.doc GROUP BY ALL)"""
+
+
+@_R.query(f"WITH {_COLLECT} SELECT q, n_terms, score, docs FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n_terms) AS z FROM c) WHERE z = 1")
+def iterative_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by the first terms that bring the nearest ones."""
+    t = items(spark, sf_dir).select(F.col("item_id").alias("q"), F.explode("w").alias("word")).groupBy("q", "word").agg(F.count("*").cast("double").alias("w"))
+    g = t.groupBy("word").agg(F.sum("w").alias("c")).filter("c >= 2")
+    ranked = splits.top_per_group(t.join(g, "word"), ["q"], [F.desc("c"), F.asc("word")], 10).select("q", "word", F.col("rank").cast("long").alias("rank"))
+    docs = t.withColumnRenamed("q", "doc")
+    sim = retrieval.field_ranker(t, docs, "q", "doc", "word", "w").withColumn("score", F.round("score", 6))
+    x = retrieval.iterative_query(ranked, docs, sim, "q", "word", "rank", "doc", 5)
+    return x.select("q", "n_terms", "score", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@_R.query(
+    """WITH r AS (SELECT a.s_suppkey AS q, b.s_suppkey AS doc, b.s_nationkey AS category FROM supplier a JOIN supplier b ON b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 9),
+n AS (SELECT q, category, count(*) AS n FROM r GROUP BY ALL), t AS (SELECT q, category FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, category) AS k FROM n) WHERE k = 1)
+SELECT r.q, r.doc, r.category FROM r JOIN t USING (q, category)"""
+)
+def category_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the main category."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), F.col("s_nationkey").alias("category"))
+    r = s.select(F.col("doc").alias("q"), F.explode(F.sequence(F.col("doc") + 1, F.col("doc") + 9)).alias("doc"))
+    return retrieval.main_category(r, s, "q", "doc", "category").select("q", "doc", "category")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = items(spark, sf_dir)
+    return i.join(i.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("other")), "item_id")
+
+
+@_R.query()
+def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each item assigned to the next's at least cost (M8, V27's morphology)."""
+    return summarize.align_words(_neighbours(spark, sf_dir), "item_id", "w", "other")
+
+
+@_R.query()
+def slot_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item as a reference for the next, words that are rare adapted to it (M7)."""
+    common = items(spark, sf_dir).select("item_id", F.explode("w").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5")
+    return summarize.adapt_references(_neighbours(spark, sf_dir), "item_id", "w", "other", common, "word")

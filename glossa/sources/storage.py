@@ -12,9 +12,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder as a full URI; where none is set (tests), a folder of our own."""
+    """The cluster's folder as a full URI; where none is set and Spark runs in one process (tests), a folder of our own."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="glossa-"))
         root = "file://" + _OWN[0]

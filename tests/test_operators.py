@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from glossa.operators import clustering, counts, evaluation, filters, joins, models, retrieval, secondary, splits
+from glossa.operators import clustering, counts, evaluation, filters, joins, models, retrieval, secondary, splits, summarize
 from glossa.sources import readers, sinks
 from glossa.streaming import counts as streaming
 
@@ -81,6 +81,20 @@ def test_translation_learns(spark):
     assert all(v == pytest.approx(1.0, abs=1e-3) for v in total.values())
 
 
+def test_alignment_and_adaptation(spark):
+    df = spark.createDataFrame([(1, ["the", "cats", "ran", "zzz"], ["cat", "the", "rat"]), (2, [], ["x"])], "k long, a array<string>, b array<string>")
+    assert [x[:3] for x in rows(summarize.align_words(df, "k", "a", "b"))] == [(1, "cats", "cat"), (1, "ran", "rat"), (1, "the", "the")]
+    keep = spark.createDataFrame([("zzz",)], "word string")
+    assert rows(summarize.adapt_references(df, "k", "a", "b", keep, "word")) == [(1, "the cat rat zzz")]
+
+
+def test_iterative_query(spark):
+    q = spark.createDataFrame([(0, "x", 1), (0, "y", 2)], "q long, term string, rank long")
+    posts = spark.createDataFrame([(1, "x"), (2, "y"), (2, "x"), (3, "y")], "doc long, term string")
+    sim = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8), (0, 3, 0.1)], "q long, doc long, score double")
+    assert rows(retrieval.iterative_query(q, posts, sim, "q", "term", "rank", "doc")) == [(0, 1, 0.85, [1, 2])]
+
+
 def test_leaks(spark):
     c = spark.createDataFrame([("u", ["a", "b", "c", "d", "x"]), ("u", ["q", "r"]), ("v", ["a", "b"])], "k string, t array<string>")
     r = spark.createDataFrame([("u", ["a", "b", "c", "d"]), ("u", ["q"])], "k string, r array<string>")
