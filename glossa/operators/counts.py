@@ -99,9 +99,16 @@ def inverted_index(tokens: DataFrame, doc: str, token: str, least: int = 1) -> D
     return post.crossJoin(n).select(token, "df", (F.col("df") / F.col("_n")).alias("prior"), "postings")
 
 
-def document_frequency(tokens: DataFrame, doc: str, token: str, least: int = 1) -> DataFrame:
-    """token and the number of documents that have it, without postings."""
-    return tokens.select(token, doc).distinct().groupBy(token).agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+def posting_blocks(tokens: DataFrame, doc: str, token: str, most: int = 100_000) -> DataFrame:
+    """token, df, part, postings: the index with lists of about ``most`` documents, whatever a token's frequency.
+
+    Documents of a frequent token are dealt to its parts by a hash, so no task
+    gathers them all.
+    """
+    pairs = tokens.select(token, doc).distinct()
+    df = pairs.groupBy(token).agg(F.count("*").alias("df"))
+    part = F.pmod(F.xxhash64(doc), F.ceil(F.col("df") / most)).cast("int")
+    return pairs.join(df, token).withColumn("part", part).groupBy(token, "df", "part").agg(F.sort_array(F.collect_list(doc)).alias("postings"))
 
 
 def pair_counts(items: DataFrame, group: str, item: str, most_in_group: int | None = None) -> DataFrame:

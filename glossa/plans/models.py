@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sequences as Q
 from glossa.functions import text as T
-from glossa.operators import clustering, counts, evaluation, models, secondary, splits, stats, summarize, wordgraph
+from glossa.operators import clustering, evaluation, models, secondary, stats, summarize, wordgraph
 from glossa.plans.common import Registry, load
-from glossa.plans.textual import doc_tokens, items
+from glossa.plans.textual import items
 
 _R = Registry()
 QUERIES, ORACLE = _R.queries, _R.oracle
@@ -221,5 +221,3 @@ def shifted_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = load(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("v"))
     return models.shifted_distribution(g, "event_type", "v").select("event_type", "user_id", F.round("p", 9).alias("p"))
 
-
-__all__ = ["ORACLE", "QUERIES", "counts", "doc_tokens", "splits"]

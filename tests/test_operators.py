@@ -81,6 +81,13 @@ def test_translation_learns(spark):
     assert all(v == pytest.approx(1.0, abs=1e-3) for v in total.values())
 
 
+def test_posting_blocks_are_bounded(spark):
+    t = spark.range(300).select((F.col("id") % 100).alias("doc"), F.lit("the").alias("w")).unionByName(spark.range(3).select(F.col("id").alias("doc"), F.lit("rare").alias("w")))
+    blocks = counts.posting_blocks(t, "doc", "w", 10).collect()
+    assert sorted(d for r in blocks if r.w == "the" for d in r.postings) == list(range(100)) and {r.df for r in blocks if r.w == "the"} == {100}
+    assert max(len(r.postings) for r in blocks) < 30 and [r.postings for r in blocks if r.w == "rare"] == [[0, 1, 2]]
+
+
 def test_alignment_and_adaptation(spark):
     df = spark.createDataFrame([(1, ["the", "cats", "ran", "zzz"], ["cat", "the", "rat"]), (2, [], ["x"])], "k long, a array<string>, b array<string>")
     assert [x[:3] for x in rows(summarize.align_words(df, "k", "a", "b"))] == [(1, "cats", "cat"), (1, "ran", "rat"), (1, "the", "the")]
