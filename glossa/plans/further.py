@@ -256,3 +256,71 @@ def slot_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item as a reference for the next, words that are rare adapted to it (M7)."""
     common = items(spark, sf_dir).select("item_id", F.explode("w").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n")).filter("n >= 5")
     return summarize.adapt_references(_neighbours(spark, sf_dir), "item_id", "w", "other", common, "word")
+
+
+@_R.query(
+    f"""WITH i AS (SELECT {_WORDS} AS w FROM benchmark), p AS (SELECT w[k] || '-' || w[k + 1] AS pair FROM (SELECT w, unnest(range(1, len(w))) AS k FROM i))
+SELECT pair, count(*) AS n FROM p GROUP BY pair"""
+)
+def dependency_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of head and dependent (A34), with each word the head of the next."""
+    w = items(spark, sf_dir).filter(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("head"), F.slice("w", 2, F.size("w") - 1).alias("dependent"))).alias("x"))
+    return secondary.dependency_pairs(w.select("x.head", "x.dependent"))
+
+
+@_R.query("SELECT event_type AS type, (user_id % 10)::VARCHAR AS entity, count(DISTINCT user_id) AS n FROM events GROUP BY ALL")
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by type over distinct segments."""
+    e = load(spark, sf_dir, "events")
+    return secondary.entity_counts(e.select(F.col("user_id").alias("segment"), F.col("event_type").alias("type"), (F.col("user_id") % 10).cast("string").alias("entity")))
+
+
+@_R.query(f"SELECT w[1:1] AS synset, count(*)::BIGINT AS n FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) GROUP BY ALL")
+def synset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts rolled up to senses (A37), with the first letter as the sense."""
+    t = items(spark, sf_dir).select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return secondary.synset_counts(t, t.select("token", F.substring("token", 1, 1).alias("synset")))
+
+
+@_R.query("SELECT c_custkey, o - 1 AS ord, CASE o WHEN 1 THEN c_name ELSE c_mktsegment END AS context FROM customer, (SELECT unnest([1, 2]) AS o) WHERE o = 1 OR c_custkey % 2 = 0")
+def xml_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context elements of XML cells, one or several."""
+    c = load(spark, sf_dir, "customer")
+    second = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<ContextElement>"), "c_mktsegment", F.lit("</ContextElement>"))).otherwise("")
+    x = c.select("c_custkey", F.concat(F.lit("<Context><ContextElement>"), "c_name", F.lit("</ContextElement>"), second, F.lit("</Context>")).alias("x"))
+    return secondary.contexts_from_xml(x, "x").withColumn("ord", F.col("ord").cast("long"))
+
+
+@_R.query("SELECT r_name, g, count(*) AS n FROM (SELECT r_name, unnest(list_transform(range(1, length(r_name) - 1), lambda i: r_name[i:i + 2])) AS g FROM region) GROUP BY ALL")
+def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character trigrams."""
+    return load(spark, sf_dir, "region").select("r_name", F.explode(T.char_ngrams("r_name", 3)).alias("g")).groupBy("r_name", "g").agg(F.count("*").alias("n"))
+
+
+@_R.query("SELECT DISTINCT 'Top/' || source || '/' || lang AS category, 3 AS depth, 'Top/' || source AS parent, 'Top,Top/' || source || ',Top/' || source || '/' || lang AS ancestors FROM documents")
+def category_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, parent and ancestors of category paths."""
+    c = load(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("Top"), "source", "lang").alias("category")).distinct()
+    return c.select("category", T.category_depth("category").alias("depth"), T.category_parent("category", 2).alias("parent"), F.array_join(T.category_ancestors("category"), ",").alias("ancestors"))
+
+
+@_R.query(
+    f"""WITH t AS (SELECT item_id AS i, x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest({_WORDS}) AS x FROM benchmark) GROUP BY ALL), d AS (SELECT x, count(*) AS df FROM t GROUP BY x), l AS (SELECT i, sqrt(sum(n * n)) AS l FROM t GROUP BY i)
+SELECT a.i AS a, b.i AS b, round(sum(a.n * b.n / (df * df)) / (any_value(la.l) * any_value(lb.l)), 9) AS cosine FROM t a JOIN t b ON a.x = b.x AND a.i < b.i JOIN d ON d.x = a.x JOIN l la ON la.i = a.i JOIN l lb ON lb.i = b.i GROUP BY ALL"""
+)
+def damped_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines with products damped by document frequency (V4, V5)."""
+    c = items(spark, sf_dir).select("item_id", F.explode("w").alias("w")).groupBy("item_id", "w").agg(F.count("*").cast("double").alias("n"))
+    df = c.groupBy("w").agg(F.count("*").alias("df"))
+    return stats.cosine_pairs(c, "item_id", "w", "n", df).select("a", "b", F.round("cosine", 9).alias("cosine"))
+
+
+@_R.query(
+    f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), t AS (SELECT item_id, x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(w) AS x FROM i) GROUP BY ALL), s AS (SELECT item_id, sum(n) AS s, count(*) AS d, sqrt(sum(n * n)) AS l FROM t GROUP BY item_id),
+p AS (SELECT item_id, -sum((n / s) * ln(n / s)) AS h FROM t JOIN s USING (item_id) GROUP BY item_id)
+SELECT item_id, round(l, 9) AS norm, s AS total, d::INT AS dimensions, round(h, 9) AS entropy FROM s JOIN p USING (item_id)"""
+)
+def vector_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms, sizes and entropy of map vectors."""
+    v = items(spark, sf_dir).filter(F.size("w") > 0).select("item_id", V.from_tokens("w").alias("v"))
+    return v.select("item_id", F.round(V.norm("v"), 9).alias("norm"), V.total("v").alias("total"), V.dimensions("v").alias("dimensions"), F.round(V.entropy(V.scale("v", 1 / V.total("v"))), 9).alias("entropy"))
