@@ -34,10 +34,10 @@ def components(edges: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
     ignored; no edges give no rows.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    e = work.table(e, "edges0")
+    e = work.small(e, "edges0")
     before = None
     for i in range(1, rounds + 1):
-        e = work.table(_stars(_stars(e, True).distinct(), False).distinct(), f"edges{i}")
+        e = work.small(_stars(_stars(e, True).distinct(), False).distinct(), f"edges{i}")
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         work.drop(f"edges{i - 1}")
         if now == before:

@@ -267,7 +267,7 @@ def _nodes(classes: DataFrame, work: Workspace, trees: int, node_limit: int, lev
     found = None
     for depth in range(levels + 1):
         sizes = level.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        met = work.table(level.select("cid", "key").join(sizes, "key"), f"level{depth}")
+        met = work.small(level.select("cid", "key").join(sizes, "key"), f"level{depth}")
         leaf = met.filter(F.col("size") <= node_limit)
         large = met.filter(F.col("size") > node_limit)
         done = depth == levels or large.isEmpty()
@@ -308,20 +308,20 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     work = Workspace(spark, "near-dedup")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.table(source.mapInArrow(_sketches(k), _SKETCH), "sketches")
+    base = work.keep(source.mapInArrow(_sketches(k), _SKETCH))
     # a class is made of equal sets, so any of its sketches is all of theirs
-    classes = work.table(base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
-    where = work.table(_nodes(classes, work, trees_for(threshold_pct / 100, recall), node_limit, levels), "where")
+    classes = work.small(base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
+    where = work.small(_nodes(classes, work, trees_for(threshold_pct / 100, recall), node_limit, levels), "where")
     member = where.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(classes, "cid")
-    member = work.table(member, "members")
+    member = work.small(member, "members")
 
     def at_nodes(rows: DataFrame, what: DataFrame) -> DataFrame:
         joined = rows.join(what, "cid")
         return joined.repartition("node").sortWithinPartitions("node", "cid")
 
     busy = at_nodes(where, member.select("cid", "n", "sig", "leaves")).mapInArrow(_with_candidates(threshold_pct / 100), "node long, cid binary")
-    busy = work.table(busy.join(where, ["node", "cid"]).select("node", "leaf", "side", "cid"), "busy")
-    needed = work.table(busy.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "needed")
+    busy = work.small(busy.join(where, ["node", "cid"]).select("node", "leaf", "side", "cid"), "busy")
+    needed = work.small(busy.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "needed")
     bits = spark.sparkContext.broadcast(_filter_bits(needed.select(F.pmod(F.xxhash64(F.col("rep")), F.lit(FILTER_BITS)).alias("bit"))))
     sets = source.withColumn("bit", bit).mapInArrow(_sets_of(k, bits), "doc_id long, cid binary, shingles binary")
     sets = sets.join(needed, "cid").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "shingles")
@@ -329,11 +329,13 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     edges = work.table(at_nodes(busy, full).mapInArrow(_links(threshold_pct), "u binary, v binary"), "links")
     label = components(edges, work)
     linked = label.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    named = work.table(linked.groupBy("root").agg(F.min("rep").alias("component_id")).join(label, "root").select(F.col("node").alias("cid"), "component_id"), "named")
+    named = work.small(linked.groupBy("root").agg(F.min("rep").alias("component_id")).join(label, "root").select(F.col("node").alias("cid"), "component_id"), "named")
     by_class = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
     shingled = base.filter("cid is not null").join(by_class, "cid").select("doc_id", "n_shingles", "component_id")
     out = shingled.unionByName(base.filter("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    result = work.table(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "result")
+    work.free()
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, threshold_pct: int = 80, **parameters) -> DataFrame:

@@ -1,8 +1,9 @@
 """Helpers for operators that run in several jobs.
 
-Intermediate tables are written to the folder that the cluster names in
-``spark.checkpoint.dir``: every executor can read it, and a table that has been
-written survives the loss of the executor that made it.
+Tables that cut the lineage of a run are written to the folder that the cluster
+names in ``spark.checkpoint.dir``: every executor can read it, and what has been
+written survives the loss of the executor that made it. Other intermediate
+tables are persisted on disk for the run, and recomputed where they are lost.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,24 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Hold a table that later steps of the run read on the executors' disks until ``free``.
+
+        Its lineage stays: what a lost executor held is computed again.
+        """
+        self.kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.kept[-1]
+
+    def free(self) -> None:
+        """Let go of all kept tables."""
+        while self.kept:
+            self.kept.pop().unpersist()
+
+    def small(self, df: DataFrame, name: str) -> DataFrame:
+        """``table`` for a light step after a shuffle, in an eighth of its partitions, so that it makes few files."""
+        return self.table(df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
