@@ -99,13 +99,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     chosen = chosen.withColumn("ord", F.xxhash64("doc_id"))
     toxic = chosen.filter("label > 0").orderBy("ord", "doc_id").limit(max_rows // 2)
     clean = chosen.filter("label <= 0").orderBy("ord", "doc_id").limit(max_rows - toxic.count())
-    chosen = toxic.unionByName(clean)
+    # the fit goes through them in another order, in which toxic rows are spread evenly
+    chosen = toxic.unionByName(clean).withColumn("ord", F.xxhash64(F.lit("order"), "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = texts.join(F.broadcast(chosen), "doc_id").select("ord", "label", "text").mapInArrow(_hashed, "ord long, label int, features array<int>")
     work = Workspace(docs.sparkSession, "toxicity")
-    hashed = work.table(hashed, "training")
+    hashed = work.keep(hashed)
     model = hashed.repartition(1).sortWithinPartitions("ord", "label", F.xxhash64("features")).mapInArrow(_fitted(params), "at long, weight double").toPandas()
-    work.drop("training")
+    work.free()
     if not len(model):
         return np.array([1 << LOG2_DIMENSIONS]), np.array([-1.0])
     return model["at"].to_numpy(), model["weight"].to_numpy()
