@@ -6,7 +6,6 @@ columns that make results comparable.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from glossa.llm.media import document_media
 from glossa.llm.near_dedup import near_duplicates
 from glossa.llm.pieces import encode_and_decode
 from glossa.llm.quality import quality
-from glossa.llm.shared import read_table, shared_dir
+from glossa.llm.shared import Workspace, read_table
 from glossa.llm.token_rollup import Rollup, count_tokens, document_rollup
 from glossa.llm.toxicity import toxicity
 from glossa.llm.url_lists import host_of, judge, path_of
@@ -88,12 +87,11 @@ def rollup_tokenizers() -> dict[str, tuple[str, str]]:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, name = read_table(spark, sf_dir, "documents"), uuid.uuid4().hex
-    work = f"{shared_dir(spark)}/token-rollup-{name}"
-    counts = count_tokens(docs, rollup_tokenizers())
-    counts.write.parquet(f"{work}/counts")
-    counted = spark.read.schema(counts.schema).parquet(f"{work}/counts")
-    return document_rollup(docs, rollup_tokenizers(), Rollup(spark, f"{work}/batches"), counted)
+    docs, work = read_table(spark, sf_dir, "documents"), Workspace(spark, "token-rollup")
+    counted = work.keep(count_tokens(docs, rollup_tokenizers()))
+    totals = document_rollup(docs, rollup_tokenizers(), Rollup(spark, work.path("batches")), counted)
+    work.free()
+    return totals
 
 
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import slices
+from glossa.sources.storage import written
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -119,7 +120,8 @@ def document_rollup(docs: DataFrame, tokenizers: dict[str, tuple[str, str]], rol
     """
     c = counted if counted is not None else count_tokens(docs, tokenizers)
     first, *others = tokenizers
-    least = c.groupBy("text_sha256").agg(F.min("doc_id").alias("least"))
+    # written, so that the join's shuffles are its own and a text with very many copies can be split
+    least = written(c.groupBy("text_sha256").agg(F.min("doc_id").alias("least")), "least")
     marked = c.join(least, "text_sha256").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
 
     def changes(op: str, names: list[str], rows: DataFrame) -> DataFrame:
