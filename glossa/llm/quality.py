@@ -168,7 +168,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[dict[str,
     """
     work = Workspace(docs.sparkSession, "quality")
     key = F.xxhash64(F.col("doc_id").cast("string"), F.length("text"))
-    voted = work.table(docs.select(key.alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(_voted, "ord long, pattern string"), "votes")
+    voted = work.keep(docs.select(key.alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(_voted, "ord long, pattern string"))
     # at most 3 ** labellers rows, however many documents there are
     counts = [(r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]
     model = label_model(counts)
@@ -187,12 +187,11 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[dict[str,
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["at", "weight"])
 
-    sample = work.table(rows.mapInArrow(hashed, "ord long, at array<long>, x array<double>, y double"), "sample")
+    sample = work.keep(rows.mapInArrow(hashed, "ord long, at array<long>, x array<double>, y double"))
     got = sample.orderBy("ord", "y").limit(max_rows).repartition(1).sortWithinPartitions("ord", "y", F.xxhash64("x")).mapInArrow(fitted, "at long, weight double").toPandas()
     weights = np.zeros((1 << LOG2_DIMENSIONS) + 1)
     weights[got["at"].to_numpy()] = got["weight"].to_numpy()
-    work.drop("votes")
-    work.drop("sample")
+    work.free()
     return model, weights
 
 
