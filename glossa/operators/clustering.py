@@ -1,19 +1,22 @@
 """Clustering and cuts within small groups.
 
-Groups are categories or targets that a caller bounds; ``bounded`` splits larger
-groups by rank so that no task holds an unbounded one.
+Groups are categories or targets of any size; ``block_pairs`` makes a task of each
+pair of blocks of a larger one, so that no task holds it and no pair is lost.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions.sequences import lcs_length, operations
+from glossa.sources.storage import shared_dir
 
 
 def agglomerate(n: int, similarity: Callable[[int, int], float], threshold: float, link: str = "single") -> tuple[list[int], list[tuple[int, float]]]:
@@ -54,23 +57,110 @@ def lcs_over_max(a: list, b: list) -> float:
     return lcs_length(a, b) / m if m else 0.0
 
 
-def bounded(df: DataFrame, group: str, item: str, most: int) -> DataFrame:
-    """Column block: groups above ``most`` items are cut into hashed blocks of about that size."""
+def block_pairs(df: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """Columns mine, lo, hi: groups above ``most`` items are cut into hashed blocks of about that size.
+
+    A row goes to each pair of blocks that its own is part of, so that any two
+    rows of a group meet in exactly one (group, lo, hi).
+    """
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    return df.join(n, group).withColumn("block", F.pmod(F.xxhash64(item), F.ceil(F.col("_n") / most)).cast("int")).drop("_n")
+    cut = df.join(n, group).withColumn("_b", F.ceil(F.col("_n") / most).cast("int")).withColumn("mine", F.pmod(F.xxhash64(item), F.col("_b")).cast("int"))
+    cut = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return cut.withColumn("lo", F.least("mine", "_o")).withColumn("hi", F.greatest("mine", "_o")).drop("_n", "_b", "_o")
 
 
-def cluster_groups(df: DataFrame, group: str, item: str, tokens: str, threshold: float, link: str = "single", most: int = 500) -> DataFrame:
-    """group, block, item, cluster by subsequence similarity of token arrays."""
+def _pairs(f: pd.DataFrame, item: str, tokens: str) -> Iterator[tuple[object, object, float]]:
+    """(a, b, overlap), a before b, of the pairs of a block with itself or with another."""
+    f = f.sort_values(item)
+    ids, toks, mine = f[item].tolist(), [list(x) for x in f[tokens]], f["mine"].tolist()
+    within = f["lo"].iloc[0] == f["hi"].iloc[0]
+    for i in range(len(ids)):
+        for j in range(i + 1, len(ids)):
+            if within or mine[i] != mine[j]:
+                yield ids[i], ids[j], lcs_over_max(toks[i], toks[j])
+
+
+def _kinds(df: DataFrame, *columns: str) -> list[str]:
+    return [df.schema[c].dataType.simpleString() for c in columns]
+
+
+def linked(df: DataFrame, group: str, item: str, tokens: str, threshold: float, most: int = 500) -> DataFrame:
+    """g, u, v: a spanning forest, for each pair of blocks, of the pairs of positive similarity of at least ``threshold``."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(item)
-        toks = [list(x) for x in f[tokens]]
-        number, _ = agglomerate(len(toks), lambda i, j: lcs_over_max(toks[i], toks[j]), threshold, link)
-        return pd.DataFrame({group: key[0], "block": key[1], item: f[item], "cluster": number})
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b, s in _pairs(f, item, tokens):
+            if s > 0 and s >= threshold and (ra := find(a)) != (rb := find(b)):
+                root[max(ra, rb)] = min(ra, rb)
+        found = [(key[0], x, r) for x in root if (r := find(x)) != x]
+        return pd.DataFrame(found, columns=["g", "u", "v"])
+
+    g, i = _kinds(df, group, item)
+    return block_pairs(df.select(group, item, tokens), group, item, most).groupBy(group, "lo", "hi").applyInPandas(run, f"g {g}, u {i}, v {i}")
+
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, item)}
-    return bounded(df.select(group, item, tokens), group, item, most).groupBy(group, "block").applyInPandas(run, f"`{group}` {kinds[group]}, block int, `{item}` {kinds[item]}, cluster int")
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(g, u, v) -> (g, u, root): the least node that links within g reach, by large and small stars.
+
+    Each round is written to the shared folder, which cuts its lineage; no task holds a component.
+    """
+    spark = edges.sparkSession
+    where = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.filter("v > u").join(low, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        low = e.groupBy("g", "u").agg(F.min("v").alias("m"))
+        moved = e.join(low, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v"))
+        return moved.unionByName(low.select("g", "u", F.col("m").alias("v"))).filter("u > v").distinct()
+
+    e, before = kept(edges.select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges0"), None
+    for k in range(1, rounds + 1):
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "u", "v")), F.bit_xor(F.xxhash64("v", "u", "g"))).first())
+        if now == before or not now[0]:
+            return e.select("g", "u", F.col("v").alias("root"))
+        before, e = now, kept(small(large(e)), f"edges{k}")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def cluster_groups(df: DataFrame, group: str, item: str, tokens: str, threshold: float, link: str = "single", most: int = 500) -> DataFrame:
+    """group, block, item, cluster by subsequence similarity of token arrays (C1); clusters are numbered by their least items.
+
+    Single-link clusters are the components of the links of all pairs. Other
+    links never merge across these, so each component, not each group, is
+    agglomerated in one call. block is always 0: clusters span the whole group.
+    """
+    df = df.select(group, item, tokens)
+    roots = components(linked(df, group, item, tokens, threshold, most)).select(F.col("g").alias(group), F.col("u").alias(item), "root")
+    named = df.join(roots, [group, item], "left").withColumn("root", F.coalesce("root", item)).filter(F.col(group).isNotNull())
+    g, i = _kinds(df, group, item)
+    if link != "single":
+
+        def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values(item)
+            toks = [list(x) for x in f[tokens]]
+            number, _ = agglomerate(len(toks), lambda i, j: lcs_over_max(toks[i], toks[j]), threshold, link)
+            ids = f[item].tolist()
+            least = {c: ids[number.index(c)] for c in set(number)}
+            return pd.DataFrame({group: key[0], item: ids, "root": [least[c] for c in number]})
+
+        named = named.groupBy(group, "root").applyInPandas(run, f"`{group}` {g}, `{item}` {i}, root {i}")
+    order = W.partitionBy(group).orderBy("root")
+    names = named.select(group, "root").distinct().withColumn("cluster", (F.row_number().over(order) - 1).cast("int"))
+    return named.join(names, [group, "root"]).select(group, F.lit(0).alias("block"), item, "cluster")
 
 
 def cluster_stats(clusters: DataFrame, group: str, item: str) -> DataFrame:
@@ -81,16 +171,13 @@ def cluster_stats(clusters: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def pair_overlaps(df: DataFrame, group: str, item: str, tokens: str, most: int = 500) -> DataFrame:
-    """group, a, b, overlap of all pairs a < b of a group (J7), LCS over the longer; the pairs stay inside one pandas call."""
+    """group, a, b, overlap of all pairs a < b of a group (J7), LCS over the longer; each pair of blocks is a pandas call."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(item)
-        ids, toks = f[item].tolist(), [list(x) for x in f[tokens]]
-        rows = [(key[0], ids[i], ids[j], lcs_over_max(toks[i], toks[j])) for i in range(len(ids)) for j in range(i + 1, len(ids))]
-        return pd.DataFrame(rows, columns=[group, "a", "b", "overlap"])
+        return pd.DataFrame([(key[0], *x) for x in _pairs(f, item, tokens)], columns=[group, "a", "b", "overlap"])
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, item)}
-    return bounded(df.select(group, item, tokens), group, item, most).groupBy(group, "block").applyInPandas(run, f"`{group}` {kinds[group]}, a {kinds[item]}, b {kinds[item]}, overlap double")
+    g, i = _kinds(df, group, item)
+    return block_pairs(df.select(group, item, tokens), group, item, most).groupBy(group, "lo", "hi").applyInPandas(run, f"`{group}` {g}, a {i}, b {i}, overlap double")
 
 
 def nearest_in_group(df: DataFrame, group: str, item: str, tokens: str, most: int = 500) -> DataFrame:

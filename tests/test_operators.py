@@ -108,6 +108,21 @@ def test_leaks(spark):
     assert rows(clustering.leaked(c, r, "k", "t", "r").select("k", F.array_join("t", " ").alias("t"))) == [("v", "a b")]
 
 
+@pytest.mark.parametrize("link", ["single", "average", "all"])
+def test_blocks_lose_no_pair(spark, link):
+    words = {i: [f"w{i % 7}", f"x{i % 5}", f"y{i // 6}", "z" if i % 9 else f"q{i}"] for i in range(60)}
+    df = spark.createDataFrame([("a" if i < 45 else "b", i, w) for i, w in words.items()], "g string, i long, w array<string>")
+    groups = {"a": range(45), "b": range(45, 60)}
+    score = {(g, a, b): clustering.lcs_over_max(words[a], words[b]) for g, ids in groups.items() for a in ids for b in ids if a < b}
+    assert {(r.g, r.a, r.b): r.overlap for r in clustering.pair_overlaps(df, "g", "i", "w", 10).collect()} == score
+    assert clustering.pair_overlaps(df, "g", "i", "w", 10).count() == len(score)
+    near = {i: min((-s, b if a == i else a) for (_, a, b), s in score.items() if i in (a, b)) for i in words}
+    assert {r.i: (-r.overlap, r.nearest) for r in clustering.nearest_in_group(df, "g", "i", "w", 10).collect()} == near
+    for threshold in (0.25, 0.5):
+        want = [(g, 0, i, c) for g, ids in groups.items() for i, c in zip(ids, clustering.agglomerate(len(ids), lambda x, y, ids=ids: clustering.lcs_over_max(words[ids[x]], words[ids[y]]), threshold, link)[0], strict=True)]
+        assert rows(clustering.cluster_groups(df, "g", "i", "w", threshold, link, 10)) == sorted(want, key=str)
+
+
 def test_secondary(spark):
     d = spark.createDataFrame([("Dogs", "Run"), ("ROOT", "Run"), ("Dogs", "."), ("dogs", "run")], "head string, dependent string")
     assert rows(secondary.dependency_pairs(d)) == [("dogs-run", 2)]
