@@ -124,10 +124,10 @@ def hybrid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def word_graph_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sentence for each source, fused from its first documents' first sentences."""
-    s = summarize.extract_sentences(load(spark, sf_dir, "documents"), "doc_id", {"content": "text"}, 20).filter("ord = 0")
-    d = s.select("doc_id", "sentence").join(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    return wordgraph.compress_groups(d.select(F.concat_ws("/", "source", "lang").alias("category"), "doc_id", T.tokens("sentence").alias("w")), "category", "doc_id", "w", least=6, most=10)
+    """One sentence for each set of near-alike sentences of a source and language, fused from all of them."""
+    d = load(spark, sf_dir, "documents").select(F.struct("doc_id", F.concat_ws("/", "source", "lang").alias("category")).alias("d"), "text")
+    s = summarize.extract_sentences(d, "d", {"content": "text"}).select("d.doc_id", "d.category", T.tokens("sentence").alias("w"))
+    return wordgraph.compress_groups(s, "category", "doc_id", "w", least=6)
 
 
 @_R.query()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from glossa.operators import clustering, counts, evaluation, filters, joins, models, retrieval, secondary, splits, summarize
+from glossa.operators import clustering, counts, evaluation, filters, joins, models, retrieval, secondary, splits, summarize, wordgraph
 from glossa.sources import readers, sinks
 from glossa.streaming import counts as streaming
 
@@ -123,6 +123,23 @@ def test_blocks_lose_no_pair(spark, link):
         assert rows(clustering.cluster_groups(df, "g", "i", "w", threshold, link, 10)) == sorted(want, key=str)
 
 
+def test_word_graphs_take_all_sentences(spark):
+    said = ["the old red fox ran over the hill", "the old red fox ran over the field", "a b"]
+    df = spark.createDataFrame([("c", 3 * i + k, s.split()) for i in range(20) for k, s in enumerate(said)], "g string, i long, w array<string>")
+    got = wordgraph.compress_groups(df, "g", "i", "w", least=6).collect()
+    assert sum(r.n for r in got) == 60 and {r.summary for r in got if r.n != 20} <= {*said[:2]} and "" in {r.summary for r in got}
+    alone, thrice = wordgraph.WordGraph([["a", "b"]] * 3 + [["a", "c"]]), wordgraph.WordGraph([["a", "b"], ["a", "c"]], copies=[3, 1])
+    assert {e: alone.cohesion_cost(*e[:2]) for e in alone.edges()} == {e: thrice.cohesion_cost(*e[:2]) for e in thrice.edges()}
+
+
+def test_word_graph_reads_every_sentence(spark, tmp_path):
+    from glossa.plans.models import word_graph_fusion
+
+    docs = [(i, f"Short one. The quick brown fox number {i} jumps over the dog. Another sentence stands here number {i} too.", "s", "en") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r.n for r in word_graph_fusion(spark, str(tmp_path)).collect()) == 90
+
+
 def test_secondary(spark):
     d = spark.createDataFrame([("Dogs", "Run"), ("ROOT", "Run"), ("Dogs", "."), ("dogs", "run")], "head string, dependent string")
     assert rows(secondary.dependency_pairs(d)) == [("dogs-run", 2)]
