@@ -46,13 +46,37 @@ def measures(text: str | None) -> tuple[float, ...]:
         ups / max(1, ups + lows),
         raw.count(b"!") / n_words,
         raw.count(b"|") / n_words,
-        len(set(words)) / n_words,
+        _variety(words),
         1 - len(set(lines)) / max(1, len(lines)),
         sum(a == b for a, b in zip(words, words[1:], strict=False)) / n_words,
         n_bytes / n_words,
     )
 
 
+#: Words in a row whose share of distinct ones is looked at.
+WINDOW = 1024
+
+
+def _variety(words: list[bytes], size: int = WINDOW) -> float:
+    """Mean share of distinct words over all windows of ``size`` words (the text, if it is shorter), so that length does not lower it.
+
+    A word counts in the windows in which it is the first of its kind: those
+    that start after its last occurrence before, and not after it.
+    """
+    n = len(words)
+    if n <= size:
+        return len(set(words)) / max(1, n)
+    number = {w: i for i, w in enumerate(set(words))}
+    ids = np.fromiter(map(number.__getitem__, words), np.uint16 if len(number) <= 1 << 16 else np.int64, n)
+    order = np.argsort(ids, kind="stable")
+    again = ids[order[1:]] == ids[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][again]] = order[:-1][again]
+    at = np.arange(n)
+    starts = np.minimum(at, n - size) - np.maximum(before, at - size)
+    return float(np.maximum(starts, 0).sum()) / (size * (n - size + 1))
+
+
 def _count(raw: bytes, which: bytes) -> int:
     return len(raw) - len(raw.translate(None, which))
 
@@ -61,7 +85,7 @@ def votes(m: tuple[float, ...]) -> tuple[int, ...]:
     """One vote of each labeller.
 
     Eight detectors call a document bad or say nothing: odd marks, capitals,
-    shouting, bars, poor vocabulary, repeated lines, stutter, odd word lengths.
+    shouting, bars, poor vocabulary (whatever the length), repeated lines, stutter, odd word lengths.
     One looks for plain prose and calls it good, or a text without words bad.
     """
     n, odd, caps, bangs, bars, variety, same_lines, stutter, length = m
@@ -71,7 +95,7 @@ def votes(m: tuple[float, ...]) -> tuple[int, ...]:
         longer and caps > 0.5,
         bangs > 0.3,
         longer and bars > 0.15,
-        longer and variety < 0.35 and n < 20_000,
+        longer and variety < 0.35,
         longer and same_lines > 0.4,
         longer and stutter > 0.2,
         n > 0 and (length > 14 or length < 2),

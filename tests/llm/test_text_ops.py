@@ -189,6 +189,19 @@ def test_label_model_finds_accuracies():
     assert Q.label_model([]) == {}
 
 
+def test_variety_does_not_depend_on_length():
+    few = [f"few{i}" for i in range(40)]
+    for n in (19_999, 20_000, 60_000):
+        assert Q.votes(Q.measures(" ".join(few[i * i % 40] for i in range(n))))[4] == Q.BAD
+    rng = random.Random(1)
+    long = " ".join(f"w{int(20_000 ** rng.random())}" for _ in range(60_000))
+    assert len(set(long.split())) / 60_000 < 0.35 and Q.votes(Q.measures(long))[4] == Q.NONE
+    words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(50)]
+    for size in (1, 7, 49, 50, 51):
+        windows = [words[i : i + size] for i in range(max(1, 50 - size + 1))]
+        assert Q._variety(words, size) == pytest.approx(sum(len(set(x)) / len(x) for x in windows) / len(windows))
+
+
 def test_quality_edges(frame):
     docs = [(i, f"The quick brown fox {i} jumps over the lazy dog again today") for i in range(50)] + [(900, None), (901, ""), (902, "SHOUT!! " * 5_000), (None, "fine words here"), (1, "repeated row of words")]
     df = frame(docs, "doc_id long, text string")
