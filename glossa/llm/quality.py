@@ -136,12 +136,23 @@ _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48
 def _shape(word: bytes) -> bytes:
     """Letters as a or A, digits as 0, runs shortened to two: what a word looks like, not what it says."""
     out = bytearray()
-    for c in word[:64].translate(_SHAPE) + word[-4:].translate(_SHAPE):
+    for c in (word + word[-4:]).translate(_SHAPE):
         if len(out) < 2 or out[-1] != c or out[-2] != c:
             out.append(c)
     return bytes(out)
 
 
+#: Longer words count as pieces of so many bytes.
+PIECE = 64
+
+
+def _pieces(words: list[bytes]) -> list[bytes]:
+    """Words with the long ones cut up, so that a text without spaces is looked at from end to end."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 class Shapes(dict):
     """Word -> hash of its shape, emptied beyond its limit."""
 
@@ -157,7 +168,7 @@ class Shapes(dict):
 def features(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and values: share of each word shape, and the measures in steps."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
+    words = _pieces(raw.split())
     size = 1 << LOG2_DIMENSIONS
     at, count = np.unique(np.fromiter(map(shapes.__getitem__, words), np.int64, len(words)), return_counts=True)
     m = measures(text)

@@ -202,6 +202,14 @@ def test_variety_does_not_depend_on_length():
         assert Q._variety(words, size) == pytest.approx(sum(len(set(x)) / len(x) for x in windows) / len(windows))
 
 
+def test_shapes_take_all_of_a_long_word():
+    def seen(text):
+        return dict(zip(*(x.tolist() for x in Q.features(text, Q.Shapes())), strict=True))
+
+    a, b = "x" * 64 + "Ab1" * 20 + "y" * 64, "x" * 64 + "1bA" * 20 + "y" * 64
+    assert seen(a) != seen(b) and seen("plain words Here") != seen("plain words here")
+
+
 def test_quality_edges(frame):
     docs = [(i, f"The quick brown fox {i} jumps over the lazy dog again today") for i in range(50)] + [(900, None), (901, ""), (902, "SHOUT!! " * 5_000), (None, "fine words here"), (1, "repeated row of words")]
     df = frame(docs, "doc_id long, text string")
