@@ -204,6 +204,31 @@ def leaked(contexts: DataFrame, references: DataFrame, key: str, context: str, r
     return contexts.join(refs, key, "left").filter(~leaks(context, "_refs")).drop("_refs")
 
 
+def leaked_any(contexts: DataFrame, references: DataFrame, context: str, reference: str, most: float = 0.9) -> DataFrame:
+    """Like ``leaked`` with each context held against every reference (P8), both of them token arrays.
+
+    A common subsequence of more than ``most`` of a reference of n words has at
+    least floor(most n) + 1 of them, and so one of any n - floor(most n): the
+    words that are rarest among the references are its join keys, and no pair
+    that leaks is missed.
+    """
+    refs = references.select(F.col(reference).alias("_r")).filter(F.size("_r") > 0).distinct()
+    refs = refs.select(F.xxhash64("_r").alias("_id"), "_r")
+    words = refs.select("_id", F.size("_r").alias("_l"), F.explode("_r").alias("_w"))
+    seen = words.groupBy("_w").agg(F.count_distinct("_id").alias("_df"))
+    order = W.partitionBy("_id").orderBy("_df", "_w")
+    keys = words.join(seen, "_w").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("_l") - F.floor(F.lit(most) * F.col("_l"))).select("_id", "_w").distinct()
+
+    @F.pandas_udf("boolean")
+    def leaks(c: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([lcs_length(list(t), list(x)) / len(x) > most for t, x in zip(c, r, strict=True)])
+
+    said = contexts.select(F.col(context).alias("_c"))
+    pairs = said.select("_c", F.explode(F.array_distinct("_c")).alias("_w")).join(keys, "_w").select("_c", "_id").distinct().join(refs, "_id")
+    bad = pairs.filter(F.size("_c") > most * F.size("_r")).filter(leaks("_c", "_r")).select("_c").distinct()
+    return contexts.join(bad, F.col(context) == F.col("_c"), "left_anti")
+
+
 REACH_LEVELS = (1, 10, 20, 50, 100)  # fixed values
 
 

@@ -140,6 +140,22 @@ def test_word_graph_reads_every_sentence(spark, tmp_path):
     assert sum(r.n for r in word_graph_fusion(spark, str(tmp_path)).collect()) == 90
 
 
+def test_leaks_of_any_reference(spark, tmp_path):
+    import random
+
+    from glossa.plans.further import context_filter
+
+    rng = random.Random(3)
+    refs = [[rng.choice("abcdefgh") for _ in range(rng.randint(5, 12))] for _ in range(60)]
+    said = [[w for w in rng.choice(refs) if rng.random() < 0.97] + ["z"] * (k % 2) for k in range(150)] + [[]]
+    want = [k for k, c in enumerate(said) if not any(clustering.lcs_length(c, r) / len(r) > 0.9 for r in refs)]
+    got = clustering.leaked_any(spark.createDataFrame(list(enumerate(said)), "k long, w array<string>"), spark.createDataFrame([(r,) for r in refs], "r array<string>"), "w", "r")
+    assert sorted(r.k for r in got.collect()) == want and 0 < len(want) < 150
+    spark.createDataFrame([(i, f"reference number {i} has its very own words w{i} x{i} y{i}") for i in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "reference number 55 has its very own words w55 x55 y55"), (2, "nothing of that kind")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in context_filter(spark, str(tmp_path)).collect()] == [2]
+
+
 def test_secondary(spark):
     d = spark.createDataFrame([("Dogs", "Run"), ("ROOT", "Run"), ("Dogs", "."), ("dogs", "run")], "head string, dependent string")
     assert rows(secondary.dependency_pairs(d)) == [("dogs-run", 2)]
