@@ -95,6 +95,12 @@ def test_alignment_and_adaptation(spark):
     assert rows(summarize.adapt_references(df, "k", "a", "b", keep, "word")) == [(1, "the cat rat zzz")]
 
 
+def test_alignment_takes_all_words(spark):
+    words = [f"{i:03d}{'abcdefgh'[i % 8]}" for i in range(230)]
+    df = spark.createDataFrame([(1, words, words[::-1])], "k long, a array<string>, b array<string>")
+    assert rows(summarize.align_words(df, "k", "a", "b")) == [(1, w, w, 0.0) for w in words]
+
+
 def test_iterative_query(spark):
     q = spark.createDataFrame([(0, "x", 1), (0, "y", 2)], "q long, term string, rank long")
     posts = spark.createDataFrame([(1, "x"), (2, "y"), (2, "x"), (3, "y")], "doc long, term string")
