@@ -182,10 +182,10 @@ def noisy_channel_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query()
 def per_term_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier for each frequent word: does an item with these other words have it."""
+    """A classifier for each word of five items or more: does an item with these other words have it."""
     i = items(spark, sf_dir)
-    top = splits.head(i.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("term")], 5).select("term")
-    rows = i.crossJoin(F.broadcast(top)).select("term", "item_id", F.array_contains("w", F.col("term")).cast("int").alias("label"), V.from_tokens(F.array_remove("w", F.col("term")), binary=True).alias("features"))
+    terms = i.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter("n >= 5").select("term")
+    rows = i.crossJoin(terms).select("term", "item_id", F.array_contains("w", F.col("term")).cast("int").alias("label"), V.from_tokens(F.array_remove("w", F.col("term")), binary=True).alias("features"))
     return models.per_term_models(rows, "term", "features", "label", "item_id").select("term", "n", F.size("weights").alias("n_weights"))
 
 

@@ -162,6 +162,14 @@ def test_leaks_of_any_reference(spark, tmp_path):
     assert [r.doc_id for r in context_filter(spark, str(tmp_path)).collect()] == [2]
 
 
+def test_every_frequent_term_has_a_classifier(spark, tmp_path):
+    from glossa.plans.further import per_term_classifiers
+
+    texts = [(k, " ".join(f"often{j}" for j in range(12) if (k + j) % 2) + f" rare{k // 4}") for k in range(20)]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.term: r.n for r in per_term_classifiers(spark, str(tmp_path)).collect()} == {f"often{j}": 20 for j in range(12)}
+
+
 def test_secondary(spark):
     d = spark.createDataFrame([("Dogs", "Run"), ("ROOT", "Run"), ("Dogs", "."), ("dogs", "run")], "head string, dependent string")
     assert rows(secondary.dependency_pairs(d)) == [("dogs-run", 2)]
