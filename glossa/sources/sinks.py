@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.sources.readers import EMPTY
+from glossa.sources.storage import commit, commits, remove
 
 
 def write_tsv(df: DataFrame, path: str, gzip: bool = False, empty: str = EMPTY) -> None:
@@ -14,6 +17,16 @@ def write_tsv(df: DataFrame, path: str, gzip: bool = False, empty: str = EMPTY)
     df.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
 
 
+def write_header_tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated text whose files begin with the columns' names (S2); quotes are ordinary characters."""
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("escape", "").csv(path)
+
+
+def write_quoted_csv(df: DataFrame, path: str) -> None:
+    """Quoted CSV with a header; quotes inside values are doubled."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
 def write_vocabulary(df: DataFrame, path: str) -> None:
     """id, word, tf, JSON vector."""
     write_tsv(df.select("id", "word", "tf", F.to_json("semantic").alias("semantic")), path, empty="{}")
@@ -48,39 +61,47 @@ def write_mapping(df: DataFrame, path: str, entity: str, category: str) -> None:
 class KeyedTable:
     """A keyed Parquet table with upserts.
 
-    Every version is a new folder; a one-line pointer file is the commit, so a
-    reader sees a whole version and a failed write none.
+    Every version is a folder of its own and a small file ``vN.commit`` that
+    names it. The file is created only if it is not there: a reader sees a whole
+    version, a failed write none, and of two writers that meet the later one
+    merges its rows into the other's version.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
 
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _versions(self) -> dict[int, str]:
+        return {int(p.rpartition("/v")[2][: -len(".commit")]): folder for p, folder in commits(self.spark, f"{self.root}/v*.commit").items()}
 
     def version(self) -> int:
         """The last committed version, 0 before the first."""
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs, root = self._fs(), jpath(self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(jpath(f"{self.root}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        return max(self._versions(), default=0)
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/v{v}") if v else None
+        versions = self._versions()
+        return self.spark.read.parquet(f"{self.root}/{versions[max(versions)]}") if versions else None
 
     def upsert(self, rows: DataFrame, overwrite: bool = True) -> None:
-        """Put rows by key: new keys are added; those there are replaced, or with overwrite=False kept."""
-        old, v = self.read(), self.version() + 1
-        if old is None:
-            merged = rows
-        elif overwrite:
-            merged = old.join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
-        else:
-            merged = old.unionByName(rows.join(old.select(self.key), self.key, "left_anti"))
-        merged.write.mode("overwrite").parquet(f"{self.root}/v{v}")
+        """Put rows by key: new keys are added; those there are replaced, or with overwrite=False kept.
+
+        Of rows that repeat a key the greatest by its other columns counts.
+        """
+        others = [c for c in rows.columns if c != self.key]
+        rows = rows.groupBy(self.key).agg(F.max(F.struct(*others)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) if c != self.key else F.col(c) for c in rows.columns])
+        while True:
+            v = self.version() + 1
+            old = self.read()
+            if old is None:
+                merged = rows
+            elif overwrite:
+                merged = old.join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
+            else:
+                merged = old.unionByName(rows.join(old.select(self.key), self.key, "left_anti"))
+            folder = f"data-{uuid.uuid4().hex}"
+            merged.write.parquet(f"{self.root}/{folder}")
+            if commit(self.spark, f"{self.root}/v{v}.commit", folder):
+                return
+            remove(self.spark, f"{self.root}/{folder}")
 
 
 def corpus_sample(df: DataFrame, key: Column, most: int) -> DataFrame:

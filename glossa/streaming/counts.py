@@ -7,6 +7,7 @@ Windows over the events table are an extension.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from glossa.sources.storage import found
+
 
 def stream_table(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
     """New Parquet files of a folder as a stream."""
@@ -24,23 +27,26 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, files: int
 class CountSink:
     """foreachBatch target: sums a batch by key under its own id.
 
-    The batch id names the folder, so a batch that runs again overwrites its own
-    sums; totals add up all folders.
+    The run and the batch id name the folder, so a batch that runs again
+    overwrites its own sums, and a stream with another checkpoint those of no
+    other; totals add up all folders that were written to the end.
     """
 
-    def __init__(self, root: str, keys: list[str], count: str | None = None):
-        self.root, self.keys, self.count = root.rstrip("/"), keys, count
+    def __init__(self, root: str, keys: list[str], count: str | None = None, run: str = "0"):
+        self.root, self.keys, self.count, self.run = root.rstrip("/"), keys, count, run
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         n = F.count("*") if self.count is None else F.sum(self.count)
-        batch.groupBy(*self.keys).agg(n.alias("n"), F.count("*").alias("n_rows")).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        batch.groupBy(*self.keys).agg(n.alias("n"), F.count("*").alias("n_rows")).write.mode("overwrite").parquet(f"{self.root}/run={self.run}/batch={batch_id}")
 
     def totals(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.root).groupBy(*self.keys).agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
+        done = [p.rpartition("/")[0] for p in found(spark, f"{self.root}/run=*/batch=*/_SUCCESS")]
+        return spark.read.parquet(*done).groupBy(*self.keys).agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def run_counts(stream: DataFrame, sink: CountSink, checkpoint: str) -> StreamingQuery:
-    """Start counting all that is there."""
+    """Start counting all that is there; the checkpoint is the run's name."""
+    sink.run = hashlib.md5(checkpoint.encode()).hexdigest()[:16]
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
