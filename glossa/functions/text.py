@@ -93,7 +93,7 @@ def words(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Sentences: cut after .!? that follow a word character and precede a capital, and at control characters; each must end visibly."""
     cut = F.split(_col(c), r"(?<=\w[.!?])\s+(?=\p{Lu})|\p{Cntrl}+")
-    return F.filter(F.transform(cut, F.trim), lambda s: s.rlike(r"\S$"))
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s.rlike(r"\S$"))
 
 
 def piece_count(c: Column | str) -> Column:

@@ -14,11 +14,26 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, although f names it several times."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def from_tokens(toks: Column | str, binary: bool = False) -> Column:
-    """Counts of the tokens (V8, V9); with ``binary`` ones."""
-    t = _col(toks)
-    one = F.lit(1.0)
-    return F.map_from_arrays(F.array_distinct(t), F.transform(F.array_distinct(t), lambda x: one if binary else F.size(F.filter(t, lambda y: y == x)).cast("double")))
+    """Counts of the tokens (V8, V9), or with ``binary`` ones: sorted once and counted by runs, in the order of the tokens."""
+
+    def by_runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def counted(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+            sizes = F.zip_with(at, F.slice(ends, F.lit(1), F.size(at)), lambda a, b: F.lit(1.0) if binary else (b - a).cast("double"))
+            return F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), sizes)
+
+        return _bound(starts, counted)
+
+    return _bound(F.array_sort(_col(toks)), by_runs)
 
 
 def norm(v: Column | str) -> Column:
@@ -67,7 +82,8 @@ def cosine(a: Column | str, b: Column | str, df: Column | None = None) -> Column
     return F.when(n > 0, dot(a, b, df) / n).otherwise(F.lit(0.0))
 
 
-def _min_sum(a: Column | str, b: Column | str) -> Column:
+def shared(a: Column | str, b: Column | str) -> Column:
+    """Sum of the smaller coordinates: what two vectors of counts have in common."""
     both = F.map_zip_with(_col(a), _col(b), lambda _, x, y: F.least(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))))
     return _total(F.map_values(both))
 
@@ -75,13 +91,13 @@ def _min_sum(a: Column | str, b: Column | str) -> Column:
 def jaccard_half(a: Column | str, b: Column | str) -> Column:
     """Sum of minima over sum of both, so 0.5 for equal vectors (V6 as it is used downstream)."""
     both = total(a) + total(b)
-    return F.when(both > 0, _min_sum(a, b) / both).otherwise(F.lit(0.0))
+    return F.when(both > 0, shared(a, b) / both).otherwise(F.lit(0.0))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Multiset Jaccard: sum of minima over sum of maxima."""
-    union = total(a) + total(b) - _min_sum(a, b)
-    return F.when(union > 0, _min_sum(a, b) / union).otherwise(F.lit(0.0))
+    union = total(a) + total(b) - shared(a, b)
+    return F.when(union > 0, shared(a, b) / union).otherwise(F.lit(0.0))
 
 
 def dimensions(v: Column | str) -> Column:
@@ -95,7 +111,7 @@ def count_filter(v: Column | str, above: float) -> Column:
 
 def overlap_prf(a: Column | str, b: Column | str) -> tuple[Column, Column, Column]:
     """Precision, recall and F of the multiset overlap: over b, over a; 1 where that side is empty."""
-    both = _min_sum(a, b)
+    both = shared(a, b)
     p = F.when(total(b) > 0, both / total(b)).otherwise(F.lit(1.0))
     r = F.when(total(a) > 0, both / total(a)).otherwise(F.lit(1.0))
     return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions.sequences import lcs_length, operations
-from glossa.sources.storage import shared_dir
+from glossa.sources.storage import shared_dir, written
 
 
 def agglomerate(n: int, similarity: Callable[[int, int], float], threshold: float, link: str = "single") -> tuple[list[int], list[tuple[int, float]]]:
@@ -302,29 +302,21 @@ def cut_groups(edges: DataFrame, group: str, source: str = "s", sink: str = "t")
     return edges.groupBy(group).applyInPandas(run, f"`{group}` {edges.schema[group].dataType.simpleString()}, node string, label int")
 
 
-def cliques(pairs: DataFrame, most: int = 12) -> DataFrame:
+def cliques(pairs: DataFrame) -> DataFrame:
     """Token sets of two or more that co-occur pairwise within a category (X19): (category, a, b) pairs -> (category, clique).
 
-    Subsets are listed within each token's neighbours; categories with a token
-    of more than ``most`` neighbours are an error, as the sets would be 2 ** n.
+    Sets grow by a token at a time: two that differ in their last tokens only
+    make a larger one if these two are a pair. Every step is a join that is
+    written to the shared folder, so there is no bound on a token's neighbours.
     """
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(f["a"], f["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        if any(len(x) > most for x in near.values()):
-            raise ValueError(f"a token of {key[0]!r} has more than {most} neighbours")
-        found: set[tuple[str, ...]] = set()
-
-        def grow(have: tuple[str, ...], rest: set[str]) -> None:
-            if len(have) > 1:
-                found.add(have)
-            for x in sorted(rest):
-                grow((*have, x), {y for y in rest & near[x] if y > x})
-
-        grow((), set(near))
-        return pd.DataFrame({"category": key[0], "clique": [" ".join(c) for c in sorted(found)]})
-
-    return pairs.groupBy("category").applyInPandas(run, "category string, clique string")
+    e = pairs.select("category", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    e = written(e, "clique-pairs")
+    level = e.select("category", F.array("a").alias("prefix"), F.col("b").alias("last"))
+    found = level
+    while True:
+        other = level.select("category", "prefix", F.col("last").alias("b"))
+        grown = level.join(other, ["category", "prefix"]).filter("last < b").join(e, (level["category"] == e["category"]) & (F.col("last") == e["a"]) & (other["b"] == e["b"]))
+        level = written(grown.select(level["category"], F.concat("prefix", F.array("last")).alias("prefix"), other["b"].alias("last")), "cliques")
+        if level.isEmpty():
+            return found.select("category", F.array_join(F.concat("prefix", F.array("last")), " ").alias("clique"))
+        found = found.unionByName(level)

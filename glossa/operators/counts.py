@@ -91,36 +91,27 @@ def map_to_ids(tokens: DataFrame, vocabulary: DataFrame, word: str = "word") ->
     return tokens.join(v, F.col(word) == F.col("_w"), "left").withColumn("id", F.coalesce("id", F.lit(0).cast("long"))).drop("_w")
 
 
-def inverted_index(tokens: DataFrame, doc: str, token: str, least: int = 1) -> DataFrame:
-    """token, df, prior = df / N, and postings in order, of tokens in at least ``least`` documents."""
-    pairs = tokens.select(token, doc).distinct()
-    n = pairs.agg(F.count_distinct(doc).alias("_n"))  # shares the shuffle of the pairs
-    post = pairs.groupBy(token).agg(F.count("*").alias("df"), F.sort_array(F.collect_list(doc)).alias("postings")).filter(F.col("df") >= least)
-    return post.crossJoin(n).select(token, "df", (F.col("df") / F.col("_n")).alias("prior"), "postings")
-
+def posting_blocks(tokens: DataFrame, doc: str, token: str, most: int = 100_000, least: int = 1) -> DataFrame:
+    """token, df, prior = df / N, part, postings in order, of tokens in at least ``least`` documents.
 
-def posting_blocks(tokens: DataFrame, doc: str, token: str, most: int = 100_000) -> DataFrame:
-    """token, df, part, postings: the index with lists of about ``most`` documents, whatever a token's frequency.
-
-    Documents of a frequent token are dealt to its parts by a hash, so no task
-    gathers them all.
+    Lists have about ``most`` documents whatever a token's frequency: those of
+    a frequent token are dealt to its parts by a hash, so no task gathers them all.
     """
     pairs = tokens.select(token, doc).distinct()
-    df = pairs.groupBy(token).agg(F.count("*").alias("df"))
+    n = pairs.agg(F.count_distinct(doc).alias("_n"))  # shares the shuffle of the pairs
+    df = pairs.groupBy(token).agg(F.count("*").alias("df")).filter(F.col("df") >= least).crossJoin(n)
     part = F.pmod(F.xxhash64(doc), F.ceil(F.col("df") / most)).cast("int")
-    return pairs.join(df, token).withColumn("part", part).groupBy(token, "df", "part").agg(F.sort_array(F.collect_list(doc)).alias("postings"))
+    dealt = pairs.join(df, token).withColumn("part", part)
+    return dealt.groupBy(token, "part").agg(F.max("df").alias("df"), (F.max("df") / F.max("_n")).alias("prior"), F.sort_array(F.collect_list(doc)).alias("postings")).select(token, "df", "prior", "part", "postings")
 
 
-def pair_counts(items: DataFrame, group: str, item: str, most_in_group: int | None = None) -> DataFrame:
+def pair_counts(items: DataFrame, group: str, item: str) -> DataFrame:
     """Undirected co-occurrence: item pairs a < b and in how many groups both are.
 
-    The join on the group lists each group's pairs, so callers keep groups
-    small, or bound them by ``most_in_group`` and treat larger ones apart.
+    The join on the group lists each group's pairs, which are the result, so
+    callers keep groups small.
     """
     pairs = items.select(group, item).distinct()
-    if most_in_group:
-        small = pairs.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") <= most_in_group)
-        pairs = pairs.join(small, group, "left_semi")
     a, b = pairs.select(group, F.col(item).alias("a")), pairs.select(group, F.col(item).alias("b"))
     return a.join(b, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 

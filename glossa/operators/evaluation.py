@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions import vectors as V
+from glossa.operators.joins import with_ordinal_sum
+from glossa.operators.stats import chi_square_p
 
 
 def rouge_n(candidate: Column, reference: Column, n: int, prefix: str = "rouge") -> list[Column]:
@@ -18,6 +17,19 @@ def rouge_n(candidate: Column, reference: Column, n: int, prefix: str = "rouge")
     return [F.round(p, 6).alias(f"{prefix}_{n}_p"), F.round(r, 6).alias(f"{prefix}_{n}_r"), F.round(f, 6).alias(f"{prefix}_{n}_f")]
 
 
+def rouge_averages(pairs: DataFrame, candidate: str, reference: str, orders: tuple[int, ...]) -> DataFrame:
+    """n, items, macro and micro precision and recall of n-gram overlap.
+
+    Macro averages are means over the pairs that have n-grams on both sides,
+    micro averages are of the sums.
+    """
+    each = F.array(*[F.struct(F.lit(n).alias("n"), V.from_tokens(T.ngrams(candidate, n)).alias("c"), V.from_tokens(T.ngrams(reference, n)).alias("r")) for n in orders])
+    x = pairs.select(F.explode(each).alias("x")).select("x.n", V.shared("x.c", "x.r").alias("m"), V.total("x.c").alias("c"), V.total("x.r").alias("r")).filter("c > 0 and r > 0")
+    means = [F.round(F.avg(F.col("m") / F.col(s)), 6).alias(f"macro_{n}") for n, s in (("p", "c"), ("r", "r"))]
+    sums = [F.round(F.sum("m") / F.sum(s), 6).alias(f"micro_{n}") for n, s in (("p", "c"), ("r", "r"))]
+    return x.groupBy("n").agg(F.count("*").alias("items"), *means, *sums)
+
+
 def coverage(candidate: Column, reference: Column, n: int) -> Column:
     """Share of the candidate's distinct n-grams that the reference has."""
     g = F.array_distinct(T.ngrams(candidate, n))
@@ -103,45 +115,29 @@ def replacement_ratio(outputs: DataFrame, output: str, title: str) -> DataFrame:
     return outputs.agg(F.count("*").alias("n"), F.round(F.avg((T.similarity_form(output) == T.similarity_form(title)).cast("double")), 6).alias("ratio"))
 
 
-def wilcoxon(x: list[float], y: list[float]) -> tuple[float, float]:
-    """Signed-rank statistic and two-sided p by the normal approximation; zeros are ranked and then dropped (Pratt)."""
-    d = [a - b for a, b in zip(x, y, strict=True)]
-    order = sorted(range(len(d)), key=lambda i: abs(d[i]))
-    rank, ties, i = [0.0] * len(d), [], 0
-    while i < len(order):
-        j = i
-        while j < len(order) and abs(d[order[j]]) == abs(d[order[i]]):
-            j += 1
-        for k in range(i, j):
-            rank[order[k]] = (i + j + 1) / 2
-        if d[order[i]] != 0:
-            ties.append(j - i)
-        i = j
-    n, zeros = len(d), sum(v == 0 for v in d)
-    w = sum(r for r, v in zip(rank, d, strict=True) if v > 0)
-    mean = (n * (n + 1) - zeros * (zeros + 1)) / 4
-    var = (n * (n + 1) * (2 * n + 1) - zeros * (zeros + 1) * (2 * zeros + 1)) / 24 - sum(t**3 - t for t in ties) / 48
-    if var <= 0:
-        return w, 1.0
-    return w, math.erfc(abs(w - mean) / math.sqrt(2 * var))
-
-
-def paired_t(x: list[float], y: list[float]) -> float:
-    """The t statistic of paired differences."""
-    d = [a - b for a, b in zip(x, y, strict=True)]
-    n, m = len(d), sum(d) / len(d)
-    s = math.sqrt(sum((v - m) ** 2 for v in d) / (n - 1)) if n > 1 else 0.0
-    return m / (s / math.sqrt(n)) if s else 0.0
-
-
 def significance(scores: DataFrame, group: list[str], first: str, second: str, level: float = 0.05) -> DataFrame:
-    """Signed-rank and t statistics of paired scores in each group."""
+    """group, n, w, p, significant, t: signed-rank and t statistics of paired scores.
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.dropna(subset=[first, second])
-        x, y = f[first].tolist(), f[second].tolist()
-        w, p = wilcoxon(x, y)
-        return pd.DataFrame([[*key, len(x), w, round(p, 9), p < level, round(paired_t(x, y), 9) if x else 0.0]])
-
-    kinds = ", ".join(f"`{g}` {scores.schema[g].dataType.simpleString()}" for g in group)
-    return scores.groupBy(*group).applyInPandas(run, f"{kinds}, n long, w double, p double, significant boolean, t double")
+    Differences are ranked by size, equal ones by their mean rank; zeros are
+    ranked and then dropped (Pratt). w is the sum of the ranks of positive
+    differences, p two-sided by the normal approximation. Positions come from a
+    range sort of the distinct sizes, so no task holds a group. Pairs with a
+    null are left out.
+    """
+    d = scores.select(*group, (F.col(first) - F.col(second)).cast("double").alias("_d")).filter("_d is not null")
+    per = d.groupBy(*group, F.abs("_d").alias("_a")).agg(F.count("*").cast("double").alias("_n"), F.count_if(F.col("_d") > 0).alias("_up"))
+    sizes = with_ordinal_sum(per, [*group, "_a"], "_n", "_before")
+    start = sizes.groupBy(*group).agg(F.min("_before").alias("_start"))
+    rank = F.col("_before") - F.col("_start") + (F.col("_n") + 1) / 2
+    ties = F.when(F.col("_a") > 0, F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).otherwise(F.lit(0.0))
+    ranked = sizes.join(start, group).groupBy(*group).agg(
+        F.sum("_n").alias("_m"), F.sum(F.when(F.col("_a") == 0, F.col("_n")).otherwise(F.lit(0.0))).alias("_z"), F.sum(F.col("_up") * rank).alias("w"), F.sum(ties).alias("_t")
+    )
+    m, z = F.col("_m"), F.col("_z")
+    mean = (m * (m + 1) - z * (z + 1)) / 4
+    var = (m * (m + 1) * (2 * m + 1) - z * (z + 1) * (2 * z + 1)) / 24 - F.col("_t") / 48
+    p = F.when(var > 0, chi_square_p((F.col("w") - mean) * (F.col("w") - mean) / var)).otherwise(F.lit(1.0))
+    moments = d.groupBy(*group).agg(F.avg("_d").alias("_mean"), F.coalesce(F.stddev_samp("_d"), F.lit(0.0)).alias("_sd"))
+    t = F.when(F.col("_sd") > 0, F.col("_mean") / (F.col("_sd") / F.sqrt(m))).otherwise(F.lit(0.0))
+    out = ranked.join(moments, group).withColumn("p", F.round(p, 6))
+    return out.select(*group, m.cast("long").alias("n"), "w", "p", (F.col("p") < level).alias("significant"), F.round(t, 9).alias("t"))

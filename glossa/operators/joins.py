@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glossa.sources.storage import written
+
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     """Rows numbered from 1 in an order, without sorting all of them in one task.
 
     A range sort spreads the rows; numbers within a partition are added to the
     sizes of those before it, of which there is one row each. The sorted rows
-    are persisted, because both sides must see the same range bounds.
+    are written to the shared folder, because both sides must see the same
+    range bounds and the same order of ties, also after an executor was lost.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    spread = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "ordinal")
     part = F.shiftright("_m", 33)  # that id is the partition's number and, in 33 bits, the row's
     starts = spread.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     starts = starts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
@@ -25,6 +28,18 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "ord") -> DataFram
     return numbered.withColumn(name, F.col("_s") + F.col("_m") - F.shiftleft(F.col("_q"), 33) + 1).drop("_m", "_p", "_q", "_s")
 
 
+def with_ordinal_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Column ``name``: the sum of ``value`` over the rows before, in an order, without sorting all of them in one task."""
+    numbered = with_ordinal(df, order, "_ord")
+    block = F.floor((F.col("_ord") - 1) / 4096)
+    inside = W.partitionBy("_b").orderBy("_ord").rowsBetween(W.unboundedPreceding, -1)
+    x = numbered.withColumn("_b", block).withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    # one row for 4,096 of the others
+    sums = numbered.groupBy(block.alias("_b")).agg(F.sum(value).alias("_s"))
+    base = sums.select("_b", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return x.join(base, "_b").withColumn(name, F.col("_base") + F.col("_in")).drop("_ord", "_b", "_in", "_base")
+
+
 def positional_zip(tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
     """The i-th rows of the tables side by side, down to the shortest; columns must differ."""
     return reduce(lambda a, b: a.join(b, "ord"), [with_ordinal(t, order) for t, order in tables])
@@ -49,7 +64,14 @@ def compare_systems(scores: DataFrame, url: str, system: str, first: str, second
 
 
 def system_pairs(systems: DataFrame, system: str, namespace: str, oracle: str = "oracle") -> DataFrame:
-    """Systems to compare: pairs within a namespace, and every system with the oracle."""
-    a, b = systems.select(F.col(system).alias("system_1"), F.col(namespace).alias("n1")), systems.select(F.col(system).alias("system_2"), F.col(namespace).alias("n2"))
-    pairs = a.join(b, (F.col("n1") == F.col("n2")) | (F.col("n1") == oracle) | (F.col("n2") == oracle)).filter("system_1 < system_2")
-    return pairs.select("system_1", "system_2")
+    """Systems to compare: pairs within a namespace, and every system with the oracle.
+
+    The few systems of the oracle's namespace meet all others on a constant
+    key; all other pairs meet on their namespace.
+    """
+    one = systems.select(F.col(system).alias("_s"), F.col(namespace).alias("_n"))
+    a, b = one.select(F.col("_s").alias("system_1"), "_n"), one.select(F.col("_s").alias("system_2"), "_n")
+    within = a.join(b, "_n").filter("system_1 < system_2").select("system_1", "system_2")
+    best = one.filter(F.col("_n") == oracle).select(F.col("_s").alias("_o"), F.lit(1).alias("_k"))
+    with_best = one.withColumn("_k", F.lit(1)).join(best, "_k").filter("_s <> _o").select(F.least("_s", "_o").alias("system_1"), F.greatest("_s", "_o").alias("system_2"))
+    return within.unionByName(with_best).distinct()

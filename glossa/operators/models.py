@@ -13,20 +13,22 @@ from glossa.sources.storage import written
 def translation_model(pairs: DataFrame, key: str, source: str, target: str, steps: int = 5, floor: float = 1e-6) -> DataFrame:
     """source word, target word, p: lexical translation by expectation-maximisation (M5).
 
-    pairs has token arrays; a null source word "" is added to every pair. Each
-    step is two aggregations over the co-occurrence table, whose lineage is cut
-    by writing it to the shared folder every other step.
+    pairs has token arrays; a null source word "" is added to every pair. The
+    co-occurrences are written once; a step sums shares over them, first for
+    each target word of a pair, then for each (source, target), both with a sum
+    on the map side, and writes the new table of probabilities.
     """
     s = pairs.select(key, F.explode(F.concat(F.array(F.lit("")), F.array_distinct(source))).alias("s"))
     t = pairs.select(key, F.explode(target).alias("t")).groupBy(key, "t").agg(F.count("*").cast("double").alias("n"))
-    links = s.join(t, key)
-    p = links.select("s", "t").distinct().withColumn("p", F.lit(1.0))
+    links = written(s.join(t, key), "translation-links")
+    p = None
     for k in range(steps):
-        x = links.join(p, ["s", "t"])
-        x = x.withColumn("share", F.col("n") * F.col("p") / F.sum("p").over(W.partitionBy(key, "t")))
-        c = x.groupBy("s", "t").agg(F.sum("share").alias("c"))
-        p = c.select("s", "t", (F.col("c") / F.sum("c").over(W.partitionBy("s"))).alias("p"))
-        if k % 2 and k < steps - 1:
+        x = links.withColumn("p", F.lit(1.0)) if p is None else links.join(p, ["s", "t"])
+        norm = x.groupBy(key, "t").agg(F.sum("p").alias("of"))
+        c = x.join(norm, [key, "t"]).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("p") / F.col("of")).alias("c"))
+        total = c.groupBy("s").agg(F.sum("c").alias("total"))
+        p = c.join(total, "s").select("s", "t", (F.col("c") / F.col("total")).alias("p"))
+        if k < steps - 1:
             p = written(p, f"translation-{k}")
     return p.filter(F.col("p") >= floor).select(F.col("s").alias("source"), F.col("t").alias("target"), "p")
 
@@ -81,8 +83,12 @@ def logistic(rows: DataFrame, tokens: str, label: str, dimensions: int = 1 << 14
     return Pipeline(stages=[tf, LogisticRegression(featuresCol="features", labelCol=label, maxIter=steps, regParam=0.01)]).fit(rows)
 
 
-def topics(rows: DataFrame, tokens: str, k: int, vocabulary: int = 5_000, steps: int = 10, seed: int = 1):
-    """Fitted pipeline of token counts and LDA (K1, without labels)."""
+def topics(rows: DataFrame, tokens: str, k: int, vocabulary: int = 1 << 18, steps: int = 10, seed: int = 1):
+    """Fitted pipeline of token counts and LDA (K1, without labels) over words of two documents or more.
+
+    The library holds the vocabulary on the driver; ``vocabulary`` is its bound,
+    and the rarest words beyond it are left out.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
@@ -117,17 +123,51 @@ def energy_features(df: DataFrame, object_tokens: str, summary_tokens: str) -> D
 
 
 def hierarchical_perplexity(tokens: DataFrame, doc: str, path: Column, word: str, weights: tuple[float, ...] = (0.2, 0.3, 0.5)) -> DataFrame:
-    """doc, perplexity under a mixture of the word shares of a category path's first levels, root first (K3)."""
+    """doc, perplexity under a mixture of the word shares of a category path's first levels, root first (K3).
+
+    Words are counted once by document and once by path. The levels are rolled
+    up and mixed on the counts by path, of which there are far fewer; only the
+    mixture meets the documents.
+    """
     from glossa.functions.text import category_parent
 
     t = tokens.select(doc, F.col(word).alias("w"), path.alias("_path"))
-    mix: Column = F.lit(0.0)
     x = t.groupBy(doc, "_path", "w").agg(F.count("*").alias("k"))
+    leaf = written(x.groupBy("_path", "w").agg(F.sum("k").alias("_c")), "path-words")
+    mixed, mix = leaf.select("_path", "w"), F.lit(0.0)
     for level, weight in enumerate(weights, 1):
         at = category_parent("_path", level)
-        c = x.groupBy(at.alias("_at"), "w").agg(F.sum("k").alias("_c"))
-        n = c.groupBy("_at").agg(F.sum("_c").alias("_n"))
-        p = c.join(n, "_at").select(F.col("_at").alias(f"_a{level}"), F.col("w").alias(f"_w{level}"), (F.col("_c") / F.col("_n")).alias(f"_p{level}"))
-        x = x.withColumn(f"_l{level}", at).join(p, (F.col(f"_l{level}") == F.col(f"_a{level}")) & (F.col("w") == F.col(f"_w{level}")), "left").drop(f"_a{level}", f"_w{level}", f"_l{level}")
-        mix = mix + F.lit(weight) * F.coalesce(F.col(f"_p{level}"), F.lit(0.0))
-    return x.withColumn("_m", mix).groupBy(doc).agg(F.exp(-F.sum(F.col("k") * F.log("_m")) / F.sum("k")).alias("perplexity"))
+        c = leaf.groupBy(at.alias("_at"), "w").agg(F.sum("_c").alias("_c"))
+        n = leaf.groupBy(at.alias("_at")).agg(F.sum("_c").alias("_n"))
+        p = c.join(n, "_at").select("_at", "w", (F.col("_c") / F.col("_n")).alias(f"_p{level}"))
+        mixed = mixed.withColumn("_at", at).join(p, ["_at", "w"]).drop("_at")
+        mix = mix + F.lit(weight) * F.col(f"_p{level}")
+    m = mixed.select("_path", "w", F.log(mix).alias("_log"))
+    return x.join(m, ["_path", "w"]).groupBy(doc).agg(F.exp(-F.sum(F.col("k") * F.col("_log")) / F.sum("k")).alias("perplexity"))
+
+
+def labeled_topics(tokens: DataFrame, labels: DataFrame, doc: str, word: str, label: str, steps: int = 3, alpha: float = 0.1, eta: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(label, word, p) and (doc, label, share): a topic for each label, of which a document uses only its own (K1).
+
+    Expectation-maximisation over counts: a word of a document is shared among
+    the document's labels by share * p; both tables are then summed up anew,
+    with ``alpha`` added to a document's labels and ``eta`` to a label's words.
+    tokens: (doc, word); labels: (doc, label). The joined counts are written
+    once, each step's tables too.
+    """
+    n = tokens.groupBy(doc, word).agg(F.count("*").cast("double").alias("n"))
+    x = written(n.join(labels.select(doc, label).distinct(), doc), "labeled-words")
+    size = x.select(word).distinct().agg(F.count("*").alias("_v"))
+    phi = theta = None
+    for k in range(steps):
+        weighted = x.withColumn("_q", F.lit(1.0)) if phi is None else x.join(phi, [label, word]).join(theta, [doc, label]).withColumn("_q", F.col("p") * F.col("share"))
+        norm = weighted.groupBy(doc, word).agg(F.sum("_q").alias("_of"))
+        g = weighted.join(norm, [doc, word]).select(doc, word, label, (F.col("n") * F.col("_q") / F.col("_of")).alias("_g"))
+        g = written(g, f"labeled-{k}")
+        per = g.groupBy(label, word).agg(F.sum("_g").alias("_c"))
+        total = per.groupBy(label).agg(F.sum("_c").alias("_t")).crossJoin(size)
+        phi = per.join(total, label).select(label, word, ((F.col("_c") + eta) / (F.col("_t") + eta * F.col("_v"))).alias("p"))
+        mine = g.groupBy(doc, label).agg(F.sum("_g").alias("_c"))
+        all_ = mine.groupBy(doc).agg(F.sum("_c").alias("_t"), F.count("*").alias("_l"))
+        theta = mine.join(all_, doc).select(doc, label, ((F.col("_c") + alpha) / (F.col("_t") + alpha * F.col("_l"))).alias("share"))
+    return phi, theta

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as T
 from glossa.functions import vectors as V
+from glossa.operators.joins import with_ordinal
 from glossa.operators.splits import top_per_group
 
 
@@ -85,13 +86,29 @@ def rank_fusion(rankings: list[DataFrame], item: str, score: str) -> DataFrame:
     ranked = []
     for k, r in enumerate(rankings):
         n = r.agg(F.count("*").alias(f"_n{k}"))
-        ranked.append((r.select(item, F.row_number().over(W.orderBy(F.desc(score), F.asc(item))).alias(f"_r{k}")), n))
+        ranked.append((with_ordinal(r.select(item, score), [F.desc(score), F.asc(item)], f"_r{k}").select(item, f"_r{k}"), n))
     out = reduce(lambda a, b: a.join(b, item, "full"), [r for r, _ in ranked])
     for _, n in ranked:
-        out = out.crossJoin(n)
+        out = out.crossJoin(n)  # one row each
     fused = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_r{k}"), F.col(f"_n{k}") + 1) for k in range(len(ranked))])
-    out = out.select(item, fused.cast("long").alias("fused"))
-    return out.withColumn("rank", F.row_number().over(W.orderBy("fused", item)))
+    return with_ordinal(out.select(item, fused.cast("long").alias("fused")), ["fused", item], "rank").select(item, "fused", "rank")
+
+
+def neutral_ranks(references: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """References ranked as they come (R9's ranker that doesn't rank): an order that the caller states, no scores."""
+    return with_ordinal(references, order, name)
+
+
+def joint_probability(tokens: DataFrame, shares: DataFrame, target: str, ref: str, token: str) -> DataFrame:
+    """target, ref, score: log of the product of the shares that a target gives to a reference's tokens.
+
+    tokens: (ref, token); shares: (target, token, p). Tokens that a target has
+    no share for leave the pair without a score.
+    """
+    need = tokens.groupBy(ref, token).agg(F.count("*").alias("_k"))
+    size = tokens.groupBy(ref).agg(F.count("*").alias("_n"))
+    found = need.join(shares.filter("p > 0").select(target, token, "p"), token).groupBy(target, ref).agg(F.sum("_k").alias("_have"), F.sum(F.col("_k") * F.log("p")).alias("score"))
+    return found.join(size, ref).filter("_have = _n").select(target, ref, "score")
 
 
 def exclude_self(ranked: DataFrame, target: str, ref: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -98,7 +98,7 @@ WHOIS_BOILERPLATE = r"(?i)^(%|#|>>>|notice|terms of use|please note)|last update
 
 def whois_lines(c: Column | str) -> Column:
     """Lines without boilerplate and "key:" prefixes, distinct but for case."""
-    lines = F.transform(F.split(F.col(c) if isinstance(c, str) else c, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(F.col(c) if isinstance(c, str) else c, r"\r?\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(WHOIS_BOILERPLATE))
     values = F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"^[A-Za-z /-]+:\s*", ""))), lambda x: x != "")
     low = F.transform(values, F.lower)
@@ -118,6 +118,6 @@ def contexts_from_xml(df: DataFrame, column: str) -> DataFrame:
 
 def value_samples(df: DataFrame, group: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of each group in a seeded order that any partitioning gives."""
-    from glossa.operators.splits import top_per_group
+    from glossa.operators.splits import digest_order, top_per_group
 
-    return top_per_group(df, [group], [F.xxhash64(F.lit(seed), *df.columns).asc()], n, "_k").drop("_k")
+    return top_per_group(df, [group], [digest_order(seed, *df.columns).asc(), *[F.asc(c) for c in df.columns]], n, "_k").drop("_k")

@@ -54,14 +54,19 @@ def rank_score(df: DataFrame, group: list[str], order: list[Column], name: str =
     return df.withColumn(name, F.count("*").over(w) - F.row_number().over(w.orderBy(*order)))
 
 
+def digest_order(seed: int, *columns: str) -> Column:
+    """A random order that any partitioning gives: by the md5 of the seed and the columns."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
     """Random order."""
-    return df.orderBy(F.rand(seed))
+    return df.orderBy(digest_order(seed, *df.columns))
 
 
 def random_pick(df: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
     """n random rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+    return shuffled(df, seed).limit(n)
 
 
 def head(df: DataFrame, order: list[Column], k: int) -> DataFrame:

@@ -81,13 +81,11 @@ def capped_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", "n", F.when(F.col("c") == readers.TOO_LARGE, F.col("c")).otherwise("ok").alias("mark"))
 
 
-@_R.query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) > 0 AS ok, 1.0::DOUBLE AS length FROM embeddings")
+@_R.query("SELECT vec_id, round(embedding[1] / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(embedding[-1] / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS last FROM embeddings")
 def embedding_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors at length 1."""
-    from glossa.functions.vectors import dense_dot
-
+    """Vectors at length 1 (S19): their first and last coordinates."""
     e = readers.embeddings(load(spark, sf_dir, "embeddings"), "embedding")
-    return e.select("vec_id", (F.round(F.sqrt(dense_dot("embedding", "embedding")), 4) > 0).alias("ok"), F.round(F.sqrt(dense_dot("embedding", "embedding")), 6).alias("length"))
+    return e.select("vec_id", F.round(F.element_at("embedding", 1), 6).alias("first"), F.round(F.element_at("embedding", -1), 6).alias("last"))
 
 
 @_R.query()

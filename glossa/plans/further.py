@@ -11,6 +11,7 @@ from glossa.functions import text as T
 from glossa.functions import vectors as V
 from glossa.operators import clustering, counts, evaluation, models, retrieval, secondary, splits, stats, summarize
 from glossa.operators.joins import with_ordinal
+from glossa.plans.additions import translation_sql
 from glossa.plans.common import Registry, load
 from glossa.plans.textual import doc_tokens, items
 
@@ -172,7 +173,11 @@ def sequence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked_counts(t.groupBy("model", "ngram").agg(F.count("*").alias("n")), asked)
 
 
-@_R.query()
+@_R.query(
+    f"""WITH {translation_sql(3)}, m AS (SELECT * FROM p2 WHERE p >= 1e-6), tf AS (SELECT item_id, x, count(*) AS n FROM (SELECT item_id, unnest(w) AS x FROM i) GROUP BY ALL), z AS (SELECT item_id, sum(n) AS z FROM tf GROUP BY ALL),
+g AS (SELECT item_id, t, round(sum(n * p) / any_value(z), 9) AS score FROM tf JOIN m ON s = x JOIN z USING (item_id) GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, t) AS place FROM g)
+SELECT item_id, string_agg(t, ' ' ORDER BY place) AS gist FROM best WHERE place <= 8 GROUP BY item_id"""
+)
 def noisy_channel_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bag-of-words gists of the items by a translation table (M5)."""
     i = items(spark, sf_dir)
@@ -189,7 +194,9 @@ def per_term_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.per_term_models(rows, "term", "features", "label", "item_id").select("term", "n", F.size("weights").alias("n_weights"))
 
 
-@_R.query()
+@_R.query(
+    "SELECT item_id FROM benchmark ORDER BY md5('7/' || item_id) LIMIT 3"
+)
 def random_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random reference as a baseline summary (O5, O6, M4, S17); seeded."""
     return splits.random_pick(load(spark, sf_dir, "benchmark").select("item_id"), 3, seed=7)

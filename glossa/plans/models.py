@@ -1,7 +1,4 @@
-"""Queries of the sequence, clustering, summary and model operators.
-
-Those without SQL are held against brute force in the tests.
-"""
+"""Queries of the sequence, clustering, summary and model operators."""
 
 from __future__ import annotations
 
@@ -12,11 +9,26 @@ from glossa.functions import sequences as Q
 from glossa.functions import text as T
 from glossa.operators import clustering, evaluation, models, secondary, stats, summarize, wordgraph
 from glossa.plans.common import Registry, load
+from glossa.plans import pages
+from glossa.plans.additions import translation_sql
 from glossa.plans.textual import items
 
 _R = Registry()
 QUERIES, ORACLE = _R.queries, _R.oracle
 
+_WORDS = r"regexp_extract_all(lower(text), '[^\s[:punct:]]+')"
+
+# longest common subsequences, a row of the table at a time
+_LCS = f"""i AS (SELECT item_id, (item_id % 4)::VARCHAR AS category, {_WORDS} AS w FROM benchmark),
+q AS (SELECT a.category, a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM i a JOIN i b ON a.category = b.category AND a.item_id < b.item_id),
+o AS MATERIALIZED (SELECT category, a, b, CASE WHEN greatest(len(x), len(y)) > 0 THEN list_max(list_reduce(list_transform(range(1, len(x) + 1), lambda k: [k]),
+  lambda row, k: list_concat([0::BIGINT], list_transform(range(1, len(y) + 1), lambda n: list_max(list_transform(range(1, n + 1), lambda j: greatest(row[j + 1], CASE WHEN y[j] = x[k[1]] THEN row[j] + 1 ELSE 0 END))))),
+  list_transform(range(0, len(y) + 1), lambda z: 0::BIGINT)))::DOUBLE / greatest(len(x), len(y)) ELSE 0 END AS overlap FROM q)"""
+
+_CLUSTERS = f"""{_LCS}, e AS (SELECT category, a, b FROM o WHERE overlap > 0 AND overlap >= 0.2), t AS (SELECT category, a, b FROM e UNION ALL SELECT category, b, a FROM e),
+r AS (SELECT category, item_id, item_id AS other FROM i UNION SELECT r.category, r.item_id, t.b FROM r JOIN t ON t.category = r.category AND t.a = r.other),
+m AS (SELECT category, item_id, min(other) AS root FROM r GROUP BY ALL), c AS (SELECT category, 0::INT AS block, item_id, dense_rank() OVER (PARTITION BY category ORDER BY root) - 1 AS cluster FROM m)"""
+
 
 def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item with the next one's tokens."""
@@ -28,19 +40,25 @@ def _grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).withColumn("category", (F.col("item_id") % 4).cast("string"))
 
 
-@_R.query()
+@_R.query(
+    f"WITH {_LCS} SELECT category, a, b, overlap FROM o"
+)
 def lcs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of all pairs within a category."""
     return clustering.pair_overlaps(_grouped_items(spark, sf_dir), "category", "item_id", "w")
 
 
-@_R.query()
+@_R.query(
+    f"WITH {_LCS}, z AS (SELECT a AS item_id, b AS n, overlap FROM o UNION ALL SELECT b, a, overlap FROM o) SELECT item_id, n AS nearest, overlap FROM z QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, n) = 1"
+)
 def template_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest item of the category."""
     return clustering.nearest_in_group(_grouped_items(spark, sf_dir), "category", "item_id", "w")
 
 
-@_R.query()
+@_R.query(
+    f"WITH {_LCS} SELECT category, round(avg(overlap), 6) AS mean, round(stddev_pop(overlap), 6) AS sd, count(*) AS n FROM o GROUP BY category"
+)
 def lcs_homogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of the overlaps of a category."""
     return lcs_pairs(spark, sf_dir).groupBy("category").agg(F.round(F.avg("overlap"), 6).alias("mean"), F.round(F.stddev_pop("overlap"), 6).alias("sd"), F.count("*").alias("n"))
@@ -72,13 +90,18 @@ def reachability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.reach_contingency(reachability(spark, sf_dir), F.col("ratio") >= 0.55, F.col("n_ops") >= 30)
 
 
-@_R.query()
+@_R.query(
+    f"WITH RECURSIVE {_CLUSTERS} SELECT category, block, item_id, cluster FROM c"
+)
 def cluster_single_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-link clusters of each category."""
     return clustering.cluster_groups(_grouped_items(spark, sf_dir), "category", "item_id", "w", 0.2)
 
 
-@_R.query()
+@_R.query(
+    f"""WITH RECURSIVE {_CLUSTERS}, k AS (SELECT category, cluster, count(*) AS k FROM c GROUP BY ALL)
+SELECT category, sum(k)::BIGINT AS n, count(*) FILTER (k >= 2) AS n_clusters, round(coalesce(sum(k) FILTER (k >= 2), 0) / sum(k), 6) AS clusterable, round(max(k) / sum(k), 6) AS largest FROM k GROUP BY category"""
+)
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusterable and largest shares."""
     return clustering.cluster_stats(cluster_single_link(spark, sf_dir), "category", "item_id")
@@ -95,6 +118,8 @@ def min_cut_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cut_groups(mid.unionByName(ends).unionByName(sinks), "c_nationkey")
 
 
+_SENTENCES = r"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '([A-Za-z0-9_][.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '([A-Za-z0-9_][.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '[\x00-\x1F\x7F]+'), lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '\S$'))"""
+
 @_R.query()
 def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of conversations: the user's sentences as context, the assistant's as content (M2)."""
@@ -103,14 +128,22 @@ def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize.context_summaries(both, "conv_id", "context", "content")
 
 
-@_R.query()
+@_R.query(
+    rf"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS text, generate_subscripts({_SENTENCES}, 1) - 1 AS ord FROM documents),
+t AS (SELECT doc_id, ord, w, count(*) AS n FROM (SELECT doc_id, ord, unnest({_WORDS}) AS w FROM s WHERE length(text) >= 10) GROUP BY ALL), d AS (SELECT doc_id, w, sum(n) AS d FROM t GROUP BY ALL),
+c AS (SELECT doc_id, ord, round(sum(n * d) / sqrt(sum(n * n)), 6) AS score FROM t JOIN d USING (doc_id, w) GROUP BY ALL)
+SELECT doc_id, ord, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1"""
+)
 def centroid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence of each document nearest to its centroid (M3)."""
     s = summarize.extract_sentences(load(spark, sf_dir, "documents"), "doc_id", {"content": "text"}, 10)
     return summarize.centroid_summary(s.select("doc_id", "ord", T.tokens("sentence").alias("w")), "doc_id", "ord", "w")
 
 
-@_R.query()
+@_R.query(
+    f"""WITH s AS ({pages.ORACLE["support_ranker"]}), x AS (SELECT s.page_id, s.score, {pages._TITLE} AS title, b.text AS reference FROM s JOIN pages p USING (page_id) JOIN benchmark b USING (item_id))
+SELECT page_id, CASE WHEN score < 0.5 AND title <> '' THEN title ELSE reference END AS summary, title || ' | ' || reference AS joined FROM x"""
+)
 def hybrid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference, or the page's title where the page supports it less than half (M6)."""
     from glossa.plans.pages import support_ranker
@@ -130,14 +163,26 @@ def word_graph_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordgraph.compress_groups(s, "category", "doc_id", "w", least=6)
 
 
-@_R.query()
+@_R.query(
+    """WITH v AS (SELECT l_returnflag, l_suppkey, round(avg(l_discount), 6) - round(avg(l_tax), 6) AS d FROM lineitem GROUP BY ALL), d AS (SELECT l_returnflag, d::DOUBLE AS d, round(abs(d::DOUBLE), 12) AS a FROM v),
+z AS (SELECT l_returnflag, abs(d) AS a, count(*)::DOUBLE AS n, count(*) FILTER (d > 0) AS up FROM d GROUP BY ALL),
+k AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_returnflag ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM z),
+s AS (SELECT l_returnflag, sum(n) AS m, coalesce(sum(n) FILTER (a = 0), 0) AS zeros, sum(up * rank) AS w, coalesce(sum(n * n * n - n) FILTER (a > 0), 0) AS ties FROM k GROUP BY ALL),
+y AS (SELECT *, abs(w - (m * (m + 1) - zeros * (zeros + 1)) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - zeros * (zeros + 1) * (2 * zeros + 1)) / 24 - ties / 48) AS dev FROM s),
+h AS (SELECT l_returnflag, unnest(range(0, 2001)) AS i, least(dev, 12) / 2000 AS h FROM y),
+p AS (SELECT l_returnflag, round(greatest(1 - 2 * any_value(h) / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * h) * (i * h) / 2) / sqrt(2 * pi())), 0), 6) AS p FROM h GROUP BY l_returnflag),
+t AS (SELECT l_returnflag, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 9) AS t FROM d GROUP BY ALL)
+SELECT l_returnflag, m::BIGINT AS n, w, p, p < 0.05 AS significant, t FROM y JOIN p USING (l_returnflag) JOIN t USING (l_returnflag)"""
+)
 def wilcoxon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Significance of paired scores by ship mode flags."""
     li = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_discount"), 6).alias("x"), F.round(F.avg("l_tax"), 6).alias("y"))
     return evaluation.significance(li, ["l_returnflag"], "x", "y")
 
 
-@_R.query()
+@_R.query(
+    f"WITH {translation_sql(5)} SELECT s AS source, t AS target, round(p, 6) AS p FROM p4 WHERE p >= 1e-6 AND round(p, 6) >= 0.01"
+)
 def translation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical translation between each item and the next, after five steps (M5)."""
     x = models.translation_model(_next(spark, sf_dir), "item_id", "w", "other")
@@ -205,7 +250,10 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize.coverage_report(d, items(spark, sf_dir).select(F.lit(1).alias("k"), F.explode("w").alias("w")), "k", "field", "w")
 
 
-@_R.query()
+@_R.query(
+    f"""WITH i AS (SELECT {_WORDS} AS w FROM benchmark), b AS (SELECT w[k] AS previous, w[k + 1] AS word, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS k FROM i) GROUP BY ALL), u AS (SELECT w AS word, count(*) AS c FROM (SELECT unnest(w) AS w FROM i) GROUP BY w)
+SELECT previous, word, round(n / sum(n) OVER (PARTITION BY previous), 9) AS score FROM b UNION ALL SELECT NULL, word, round(0.4 * c / (SELECT sum(c) FROM u), 9) FROM u"""
+)
 def bigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram shares and the unigrams that they back off to."""
     t = items(spark, sf_dir).select("item_id", F.posexplode("w").alias("pos", "word"))

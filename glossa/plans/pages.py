@@ -148,19 +148,19 @@ def category_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(
-    f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), s AS (SELECT unnest([1, 2]) AS o),
+    f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), s AS (SELECT unnest([1, 2, 3, 4]) AS o),
 g AS (SELECT item_id, o, array_to_string(w[k:k + o - 1], ' ') AS g FROM (SELECT item_id, w, o, unnest(range(1, len(w) - o + 2)) AS k FROM i, s)),
 c AS (SELECT item_id, o, g, count(*)::DOUBLE AS n FROM g GROUP BY ALL), t AS (SELECT item_id, o, sum(n) AS t FROM c GROUP BY ALL),
 m AS (SELECT a.item_id, a.o, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.o = b.o AND a.g = b.g AND b.item_id = a.item_id + 1 GROUP BY ALL),
 x AS (SELECT a.item_id, a.o, coalesce(m, 0) / a.t AS p, coalesce(m, 0) / b.t AS r FROM t a JOIN t b ON b.item_id = a.item_id + 1 AND a.o = b.o LEFT JOIN m ON m.item_id = a.item_id AND m.o = a.o),
 f AS (SELECT item_id, o, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM x)
-SELECT item_id, max(p) FILTER (o = 1) AS rouge_1_p, max(r) FILTER (o = 1) AS rouge_1_r, max(f) FILTER (o = 1) AS rouge_1_f, max(p) FILTER (o = 2) AS rouge_2_p, max(r) FILTER (o = 2) AS rouge_2_r, max(f) FILTER (o = 2) AS rouge_2_f FROM f GROUP BY item_id"""
+SELECT item_id, """ + ", ".join(f"max({m}) FILTER (o = {k}) AS rouge_{k}_{m}" for k in (1, 2, 3, 4) for m in "prf") + " FROM f GROUP BY item_id"
 )
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item as a candidate for the next."""
     i = items(spark, sf_dir)
     nxt = i.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("ref"))
-    return i.join(nxt, "item_id").select("item_id", *evaluation.rouge_n(F.col("w"), F.col("ref"), 1), *evaluation.rouge_n(F.col("w"), F.col("ref"), 2))
+    return i.join(nxt, "item_id").select("item_id", *[x for n in (1, 2, 3, 4) for x in evaluation.rouge_n(F.col("w"), F.col("ref"), n)])
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,21 +189,31 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("i", "n", F.round("l_discount", 5).alias("l_discount"), F.round("l_tax", 5).alias("l_tax"))
 
 
-_RATINGS = [("a", "good", "0.9", "poor", "0.5"), ("a", "very_good", "0.7", "acceptable", "0.6"), ("b", "very_poor", "1", "good", "0.8"), ("b", "good", "0.4", None, None)]
+_LABELS = ("very_poor", "poor", "acceptable", "good", "very_good")
 
 
 @_R.query(
-    """WITH r(system, q, l, c) AS (VALUES ('a', 'accuracy', 4, 0.9), ('a', 'informativeness', 2, 0.5), ('a', 'accuracy', 5, 0.7), ('a', 'informativeness', 3, 0.6), ('b', 'accuracy', 1, 1), ('b', 'informativeness', 4, 0.8), ('b', 'accuracy', 4, 0.4), ('b', 'informativeness', NULL, NULL))
-SELECT system, q AS question, round(avg(l), 6) AS mean, round(avg(c::DOUBLE), 6) AS agreement, count(l) AS n FROM r GROUP BY ALL"""
+    """WITH r AS (SELECT l_returnflag AS system, 'accuracy' AS q, nullif(l_linenumber, 7) AS n, l_discount AS c FROM lineitem UNION ALL SELECT l_returnflag, 'informativeness', l_quantity, l_tax FROM lineitem)
+SELECT system, q AS question, round(avg(n::INT % 5 + 1), 6) AS mean, round(avg(c::DOUBLE), 6) AS agreement, count(n) AS n FROM r GROUP BY ALL"""
 )
 def crowd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame(_RATINGS, "system string, accuracy string, `accuracy:confidence` string, informativeness string, `informativeness:confidence` string")
+    """Mean ratings (A28), with labels made from the line items' numbers; a seventh line has none."""
+    label = lambda c: F.element_at(F.array(*[F.lit(x) for x in _LABELS]), (c.cast("int") % 5 + 1))
+    r = load(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("system"), F.when(F.col("l_linenumber") != 7, label(F.col("l_linenumber"))).alias("accuracy"), F.col("l_discount").cast("string").alias("accuracy:confidence"),
+        label(F.col("l_quantity")).alias("informativeness"), F.col("l_tax").cast("string").alias("informativeness:confidence"),
+    )
     return evaluation.crowd_means(r, "system", ["accuracy", "informativeness"])
 
 
-@_R.query("SELECT 'a' AS system_1, 'b' AS system_2, round(1 / 3, 6) AS preference, round(2 / 3, 6) AS first_share, round(1 / 3, 6) AS second_share, 3::BIGINT AS n UNION ALL SELECT 'a', 'c', -1, 0, 1, 1")
+@_R.query(
+    """WITH v AS (SELECT l_returnflag AS system_1, l_linestatus AS system_2, 1 - l_partkey::INT % 3 AS v FROM lineitem)
+SELECT system_1, system_2, round(avg(v), 6) AS preference, round(avg((v + 1) / 2), 6) AS first_share, round(avg((1 - v) / 2), 6) AS second_share, count(*) AS n FROM v GROUP BY ALL"""
+)
 def pair_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = spark.createDataFrame([("a", "b", "first"), ("a", "b", "first"), ("a", "b", "second"), ("a", "c", "second")], "system_1 string, system_2 string, judgement string")
+    """Preferences of pairs of systems (A29), with judgements made from the line items' parts."""
+    said = F.element_at(F.array(F.lit("first"), F.lit("neither"), F.lit("second")), (F.col("l_partkey").cast("int") % 3 + 1))
+    j = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("system_1"), F.col("l_linestatus").alias("system_2"), said.alias("judgement"))
     return evaluation.pair_preference(j, "system_1", "system_2", "judgement")
 
 

@@ -113,11 +113,12 @@ def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.query(
     f"""
 WITH {_DOC}, p AS (SELECT DISTINCT w, doc_id FROM t)
-SELECT w AS word, count(*) AS df, round(count(*) / (SELECT count(DISTINCT doc_id) FROM t), 9) AS prior, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS postings FROM p GROUP BY w HAVING count(*) >= 5"""
+SELECT w AS word, count(*) AS df, round(count(*) / (SELECT count(DISTINCT doc_id) FROM t), 9) AS prior, 0::INT AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS postings FROM p GROUP BY w HAVING count(*) >= 5"""
 )
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = counts.inverted_index(doc_tokens(spark, sf_dir), "doc_id", "word", 5)
-    return x.select("word", "df", F.round("prior", 9).alias("prior"), F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
+    """Posting lists (A17, S17); a word of more than 100,000 documents has several parts."""
+    x = counts.posting_blocks(doc_tokens(spark, sf_dir), "doc_id", "word", least=5)
+    return x.select("word", "df", F.round("prior", 9).alias("prior"), "part", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
 
 
 @_R.query(

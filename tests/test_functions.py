@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glossa.functions import sequences as Q
 from glossa.functions import text as T
 from glossa.functions import vectors as V
-from glossa.operators import clustering, containment, evaluation, models, summarize, wordgraph
+from glossa.operators import clustering, containment, evaluation, models, secondary, summarize, wordgraph
 
 TOKENS = st.lists(st.sampled_from("abcd"), max_size=9)
 
@@ -99,12 +99,31 @@ def test_assignment():
         assert len(set(got)) == n and sum(c[i][j] for i, j in enumerate(got)) == min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
 
 
-def test_wilcoxon():
+def plain_wilcoxon(x, y):
+    """Signed ranks by hand: zeros are ranked and then dropped, equal sizes share their mean rank."""
+    d = [a - b for a, b in zip(x, y, strict=True)]
+    sizes = sorted(map(abs, d))
+    rank = {s: sum(k for k, t in enumerate(sizes, 1) if t == s) / sizes.count(s) for s in set(sizes)}
+    n, zeros = len(d), d.count(0)
+    w = sum(rank[abs(v)] for v in d if v > 0)
+    mean = (n * (n + 1) - zeros * (zeros + 1)) / 4
+    var = (n * (n + 1) * (2 * n + 1) - zeros * (zeros + 1) * (2 * zeros + 1)) / 24 - sum(sizes.count(s) ** 3 - sizes.count(s) for s in set(sizes) if s) / 48
+    return w, math.erfc(abs(w - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
+
+
+def test_significance(spark):
     x, y = [125, 115, 130, 140, 140, 115, 140, 125, 140, 135], [110, 122, 125, 120, 140, 124, 123, 137, 135, 145]
-    w, p = evaluation.wilcoxon(x, y)
-    assert w == 32.0 and 0.6 < p < 0.7  # ranks with the zero ranked and dropped
-    assert evaluation.wilcoxon([1, 2], [1, 2]) == (0, 1.0) and evaluation.wilcoxon([], []) == (0, 1.0)
-    assert evaluation.paired_t([3, 4, 5], [1, 2, 2]) == pytest.approx(7.0)
+    w, p = plain_wilcoxon(x, y)
+    assert w == 32.0 and 0.6 < p < 0.7  # a worked case
+    rng = random.Random(1)
+    groups = {"worked": (x, y), "same": ([1, 2], [1, 2]), "t": ([3, 4, 5], [1, 2, 2]), "one": ([1], [0])}
+    groups |= {f"r{k}": ([rng.randint(0, 9) for _ in range(k)], [rng.randint(0, 6) for _ in range(k)]) for k in (5, 40, 200)}
+    rows = [(g, float(a), float(b)) for g, (xs, ys) in groups.items() for a, b in zip(xs, ys, strict=True)] + [("worked", None, 1.0)]
+    got = {r.g: r for r in evaluation.significance(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got.keys() == groups.keys() and got["t"].t == pytest.approx(7.0)
+    for g, (xs, ys) in groups.items():
+        w, p = plain_wilcoxon(xs, ys)
+        assert (got[g].n, got[g].w, got[g].significant) == (len(xs), w, p < 0.05) and got[g].p == pytest.approx(p, abs=2e-6)
 
 
 def test_word_graph():
@@ -198,3 +217,10 @@ def test_udfs(spark):
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "c"]), ([], ["x"]), (None, ["x"])], "a array<string>, b array<string>")
     assert [r.x for r in df.select(Q.lcs("a", "b").alias("x")).collect()] == [2, 0, 0]
     assert [r.x for r in df.select(Q.lcs_similarity("a", "b").alias("x")).collect()][:2] == [pytest.approx(2 / 3), 0.0]
+
+
+def test_pieces_are_trimmed_of_blanks_only(spark):
+    """Digits at the ends stay, whatever a piece's place is."""
+    df = spark.createDataFrame([("0 first 0.\n 1 second.\n2 third. 3 F. Four 4",)], "t string")
+    assert df.select(T.sentences("t").alias("s")).first().s == ["0 first 0.", "1 second.", "2 third. 3 F.", "Four 4"]
+    assert df.select(secondary.whois_lines(F.lit("0 Main\n1 Main 1\n2 Road 2")).alias("s")).first().s == ["0 Main", "1 Main 1", "2 Road 2"]

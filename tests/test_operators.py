@@ -1,5 +1,8 @@
 """Operators on small tables: edges, partition invariance, sources, streams."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -179,8 +182,14 @@ def test_secondary(spark):
     assert rows(secondary.synset_counts(t, s)) == [("R", 3), ("S", 5)]
     x = spark.createDataFrame([("u", "<Context><ContextElement>a</ContextElement><ContextElement>b</ContextElement></Context>"), ("v", "<Context><ContextElement>c</ContextElement></Context>")], "u string, x string")
     assert rows(secondary.contexts_from_xml(x, "x")) == [("u", 0, "a"), ("u", 1, "b"), ("v", 0, "c")]
-    with pytest.raises(Exception, match="neighbours"):
-        clustering.cliques(spark.createDataFrame([("c", "a", f"b{i:02}") for i in range(13)], "category string, a string, b string")).collect()
+    # any number of neighbours
+    star = spark.createDataFrame([("c", "a", f"b{i:02}") for i in range(40)], "category string, a string, b string")
+    assert clustering.cliques(star).count() == 40
+    rng = random.Random(0)
+    pairs = {tuple(sorted(rng.sample("abcdefghijklmnop", 2))) for _ in range(60)}
+    want = {c for n in range(2, 8) for c in itertools.combinations("abcdefghijklmnop", n) if all(p in pairs for p in itertools.combinations(c, 2))}
+    got = clustering.cliques(spark.createDataFrame([("c", *p) for p in pairs], "category string, a string, b string")).collect()
+    assert sorted(tuple(r.clique.split()) for r in got) == sorted(want)
 
 
 # -- sources and sinks ---------------------------------------------------------------------------
@@ -223,6 +232,24 @@ def test_keyed_table(spark, tmp_path):
     t.upsert(spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int"))
     t.upsert(spark.createDataFrame([("c", 3), ("d", 3)], "k string, v int"), overwrite=False)
     assert rows(t.read()) == [("a", 1), ("b", 2), ("c", 2), ("d", 3)]
+    t.upsert(spark.createDataFrame([("e", 5), ("e", 4), ("a", 9), ("a", 9)], "k string, v int"))
+    assert rows(t.read()) == [("a", 9), ("b", 2), ("c", 2), ("d", 3), ("e", 5)]
+
+
+def test_two_writers_of_a_keyed_table(spark, tmp_path, monkeypatch):
+    """One commits while the other writes: the other merges its rows into what is there then."""
+    a, b = (sinks.KeyedTable(spark, f"{tmp_path}/k", "k") for _ in range(2))
+    real, met = sinks.commit, []
+
+    def slow(*args):
+        if not met:
+            met.append(1)
+            b.upsert(spark.createDataFrame([("x", 1)], "k string, v int"))
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "commit", slow)
+    a.upsert(spark.createDataFrame([("y", 2)], "k string, v int"))
+    assert rows(a.read()) == rows(b.read()) == [("x", 1), ("y", 2)] and a.version() == 2
 
 
 # -- streams -------------------------------------------------------------------------------------
@@ -234,6 +261,11 @@ def test_replayed_batches_count_once(spark, tmp_path):
     for batch in (0, 1, 1):
         sink(df, batch)
     assert rows(sink.totals(spark)) == [("a", 4, 4), ("b", 2, 2)]
+    # another run keeps what is there, and a folder that was not written to the end doesn't count
+    other = streaming.CountSink(f"{tmp_path}/out", ["k"], run="other")
+    other(df, 0)
+    df.selectExpr("k", "1L n", "1L n_rows").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{tmp_path}/out/run=0/batch=9")
+    assert rows(other.totals(spark)) == [("a", 6, 6), ("b", 3, 3)]
 
 
 def test_group_flush(spark, tmp_path):
