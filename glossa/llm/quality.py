@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.hashing import WordHashes
 from glossa.llm.shared import Workspace, slices
 
 LOG2_DIMENSIONS = 16
@@ -154,14 +154,16 @@ def _pieces(words: list[bytes]) -> list[bytes]:
 
 
 class Shapes(dict):
-    """Word -> hash of its shape, emptied beyond its limit."""
+    """Word -> hash of its shape, emptied beyond its limit; nothing else is held from text to text."""
 
-    hashes = WordHashes()
+    def __init__(self, limit: int = 100_000):
+        super().__init__()
+        self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) >= self.limit:
             self.clear()
-        self[word] = value = self.hashes[_shape(word)] >> (64 - LOG2_DIMENSIONS)
+        self[word] = value = xxhash.xxh64_intdigest(_shape(word)) >> (64 - LOG2_DIMENSIONS)
         return value
 
 
@@ -261,13 +263,19 @@ def quality(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The rows of docs whose score is at least 0.5, with all their columns."""
+    """The rows of docs whose score is at least 0.5, with all their columns.
+
+    Only the text decides: repeated rows and null ids stay or go alike, texts of
+    any length are read whole. Null and empty texts are scored as texts without
+    words. Columns of any names pass through; an empty table gives none.
+    """
     _, trained = train(docs, max_rows)
     weights = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for b in slices(batches):
-            yield b.filter(pa.array([s >= 0.5 for s in _scores(weights.value, b.column("text").to_pylist(), shapes)], pa.bool_()))
+            texts = b.column("text").cast(pa.string()).to_pylist()
+            yield b.filter(pa.array([s >= 0.5 for s in _scores(weights.value, texts, shapes)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
