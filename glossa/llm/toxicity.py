@@ -91,8 +91,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     Toxic rows may take half of the bound, as they are few; the rows of either
     label are those of the least hashes of doc_id, so the choice is the same for
     any partitioning. A doc_id that has several labels is toxic if any is;
-    null ids and labels don't count. Without labelled rows all texts score
-    alike, below 0.5.
+    null ids and labels don't count. Where a doc_id is there several times, its
+    rows are trained on as far as ``max_rows`` allows, those of the least hashes
+    first. Without labelled rows all texts score alike, below 0.5.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = chosen.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -105,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     hashed = texts.join(F.broadcast(chosen), "doc_id").select("ord", "label", "text").mapInArrow(_hashed, "ord long, label int, features array<int>")
     work = Workspace(docs.sparkSession, "toxicity")
     hashed = work.keep(hashed)
-    model = hashed.repartition(1).sortWithinPartitions("ord", "label", F.xxhash64("features")).mapInArrow(_fitted(params), "at long, weight double").toPandas()
+    order = ["ord", "label", F.xxhash64("features")]
+    model = hashed.orderBy(*order).limit(max_rows).repartition(1).sortWithinPartitions(*order).mapInArrow(_fitted(params), "at long, weight double").toPandas()
     work.free()
     if not len(model):
         return np.array([1 << LOG2_DIMENSIONS]), np.array([-1.0])
@@ -151,12 +153,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns.
+
+    Only the text is scored: repeated rows and null ids stay or go alike, texts
+    of any length are read whole. Null and empty texts get the score of the
+    bias. Columns of any names pass through; an empty table gives none.
+    """
     scorer = docs.sparkSession.sparkContext.broadcast(Scorer(train(docs, labels, max_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer.value.ready()
         for b in slices(batches):
-            yield b.filter(pa.array([score(t) < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([score(t) < 0.5 for t in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
