@@ -3,13 +3,14 @@
 Changes to documents arrive in batches: inserts, deletes and revised counts.
 Each batch is summed to signed deltas of documents and tokens by source,
 language and tokenizer version and committed once under its name; totals are
-the sums of the committed deltas. A batch that is delivered again changes
+the sums of the committed deltas, of which ``compact`` makes one table. A batch that is delivered again changes
 nothing, and one whose write was cut short is written anew.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,27 +18,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import slices
-from glossa.sources.storage import written
+from glossa.sources.storage import commit, commits, remove, written
 
 KEYS = ["source", "lang", "tokenizer"]
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
 class Rollup:
-    """Additive totals in a folder that all executors share."""
+    """Additive totals in a folder that all executors share.
+
+    A batch is written to a folder of its own and committed by a small file
+    under the batch's name, which can be created once: of two drivers that apply
+    one batch at a time one commits, and a write that was cut short counts for
+    nothing. ``compact`` sums up the batches so far in one table that also holds
+    their names, so reads and commits look at the batches since then only.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def _batches(self) -> dict[str, str]:
+        """Name and folder of the committed batches that aren't compacted."""
+        return {p.rpartition("/")[2][: -len(".commit")]: folder for p, folder in commits(self.spark, f"{self.root}/batches/*.commit").items()}
+
+    def _compacted(self) -> str | None:
+        """The folder of the last compaction."""
+        found = commits(self.spark, f"{self.root}/compact/*.commit")
+        return found[max(found)] if found else None
+
+    def _old_names(self, folder: str | None) -> DataFrame:
+        return self.spark.read.schema("name string").parquet(f"{self.root}/compact/{folder}/names") if folder else self.spark.createDataFrame([], "name string")
 
     def committed(self) -> list[str]:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        return sorted(n for n in names if self._exists(f"{self.root}/{n}/_SUCCESS"))
+        """Names of all batches that count."""
+        return sorted({r["name"] for r in self._old_names(self._compacted()).collect()} | set(self._batches()))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of (source, lang, tokenizer, op, n_tokens, old_tokens); False if it was committed before.
@@ -45,26 +59,49 @@ class Rollup:
         op is insert, delete or revise; n_tokens is the count that is added or
         taken away, for revise the new one after old_tokens. Null counts are 0;
         rows of another or no op are left out; null keys are keys of their own.
+        Other columns are ignored; an empty batch is committed and adds nothing.
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"bad batch name {batch!r}")
-        path = f"{self.root}/{batch}"
-        if self._exists(f"{path}/_SUCCESS"):
+        if batch in self._batches() or not self._old_names(self._compacted()).filter(F.col("name") == batch).isEmpty():
             return False
         n, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
         sign = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
         deltas = changes.select(*KEYS, sign.alias("docs"), F.when(F.col("op") == "revise", n - old).otherwise(sign * n).alias("tokens")).filter("docs is not null")
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("n_docs"), F.sum("tokens").cast("long").alias("n_tokens"))
-        # Spark's committer puts _SUCCESS last: a folder without it doesn't count and is overwritten
-        summed.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
-        return True
+        folder = f"{batch}-{uuid.uuid4().hex}"
+        summed.write.parquet(f"{self.root}/batches/{folder}")
+        return commit(self.spark, f"{self.root}/batches/{batch}.commit", folder)
+
+    def _sum(self, compacted: str | None, folders: list[str]) -> DataFrame:
+        paths = [f"{self.root}/batches/{f}" for f in folders] + ([f"{self.root}/compact/{compacted}/totals"] if compacted else [])
+        rows = self.spark.read.schema(_DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTAS)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over the committed batches."""
-        names = self.committed()
-        read = self.spark.read.schema(_DELTAS)
-        rows = read.parquet(*[f"{self.root}/{n}" for n in names]) if names else self.spark.createDataFrame([], _DELTAS)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        compacted, batches = self._compacted(), self._batches()
+        known = {r["name"] for r in self._old_names(compacted).filter(F.col("name").isin(list(batches))).collect()} if batches else set()
+        return self._sum(compacted, [f for b, f in sorted(batches.items()) if b not in known])
+
+    def compact(self) -> None:
+        """Sum up what is committed; a batch that was summed up is still known by its name.
+
+        The old files go after the commit of the new table, so a run that dies
+        on the way changes nothing that counts.
+        """
+        before, batches = self._compacted(), self._batches()
+        if not batches:
+            return
+        name = f"{len(commits(self.spark, f'{self.root}/compact/*.commit')):012d}"
+        folder = f"{name}-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.root}/compact/{folder}/totals")
+        names = self._old_names(before).unionByName(self.spark.createDataFrame([(b,) for b in batches], "name string")).distinct()
+        names.write.parquet(f"{self.root}/compact/{folder}/names")
+        if commit(self.spark, f"{self.root}/compact/{name}.commit", folder):
+            for b, f in batches.items():
+                remove(self.spark, f"{self.root}/batches/{b}.commit")
+                remove(self.spark, f"{self.root}/batches/{f}")
 
 
 _ENCODINGS: dict = {}
