@@ -171,6 +171,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     """(page_id, url, html) -> archives in ``folder``, and the (key, line) rows of their captures.
 
     Of equal payloads the least page_id is the response, the others revisit it.
+    Null html is an empty payload, a null url about:blank; rows that repeat the
+    least page_id are all responses. Other columns are ignored.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
@@ -264,7 +266,9 @@ def lookup(prefixes: DataFrame, directory: Directory, archives: str, keep_payloa
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], names)
 
     where = prefixes.select("asked").distinct().mapInArrow(placed, "asked string, block int")
-    return where.repartition("block").sortWithinPartitions("block", "asked").mapInArrow(read, _FOUND + ", payload binary" * keep_payload)
+    # keys are short but the records behind them are not: as many tasks as asked for, whatever AQE makes of the keys' bytes
+    tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return where.repartition(tasks, "block").sortWithinPartitions("block", "asked").mapInArrow(read, _FOUND + ", payload binary" * keep_payload)
 
 
 def _asked(date: str):
@@ -275,7 +279,6 @@ def _asked(date: str):
     return run
 
 
-
 def archive_and_read(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archive every page, index the captures, and read each page back through the index.
 
