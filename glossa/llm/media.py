@@ -115,15 +115,22 @@ def parse_interleaved(page: str | None) -> list[dict]:
     return p.items
 
 
-def interleave(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
-    """(id, html) -> (id, sequence); null and empty pages give empty sequences."""
+def _parsed(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """(id, page) -> (id, sequence), a slice at a time; pages are made and parsed one by one."""
+    for part in slices(batches):
+        found = pa.array((parse_interleaved(t.as_py()) for t in part.column(1)), _SEQUENCE_TYPE)
+        yield pa.RecordBatch.from_arrays([part.column(0), found], [name, "sequence"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_interleaved(t) for t in part.column(1).to_pylist()], _SEQUENCE_TYPE)], [id_column, "sequence"])
 
+def interleave(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
+    """(id, html) -> (id, sequence); null and empty pages give empty sequences.
+
+    Rows are independent: repeated rows and null ids pass through. Pages of any
+    length are parsed whole, broken markup as far as it goes. Other columns are
+    left out; an empty table gives none.
+    """
     rows = pages.select(F.col(f"`{id_column}`"), F.col(f"`{html_column}`").cast("string").alias("_html"))
-    return rows.mapInArrow(run, f"`{id_column}` {rows.schema[0].dataType.simpleString()}, sequence {SEQUENCE}")
+    return rows.mapInArrow(lambda batches: _parsed(batches, id_column), f"`{id_column}` {rows.schema[0].dataType.simpleString()}, sequence {SEQUENCE}")
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -179,8 +186,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lately: OrderedDict[bytes, None] = OrderedDict()
     for b in slices(batches):
         refs, images = [], []
-        for text in b.column("text").to_pylist():
-            payload, _ = payload_of(text)
+        for text in b.column("text"):
+            payload, _ = payload_of(text.as_py())
             digest = hashlib.sha256(payload).digest()
             if digest in lately:
                 lately.move_to_end(digest)
@@ -207,7 +214,8 @@ _READ = "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long,
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         rows = []
-        for ref, image in zip(b.column("ref").to_pylist(), b.column("media").to_pylist(), strict=True):
+        for ref, image in zip(b.column("ref").to_pylist(), b.column("media"), strict=True):
+            image = image.as_py()
             payload = samples_of(image)
             digest = hashlib.sha256(payload).hexdigest()
             if ref != _PREFIX + digest:
@@ -230,15 +238,17 @@ def resolve(sequences: DataFrame, id_column: str, features: DataFrame) -> DataFr
     return items.join(features, "ref", "left")
 
 
-def _as_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def page_of(text: str | None) -> str:
+    """The page of a text: the text, and a figure that refers to its payload with the first line as caption."""
+    payload, n = payload_of(text)
+    said = html.escape(text or "")
+    title = said.strip().split("\n", 1)[0]
+    return f'<article><p>{said}</p><figure><img src="{_PREFIX}{hashlib.sha256(payload).hexdigest()}" data-length="{n}"><figcaption>{title}</figcaption></figure></article>'
+
+
+def _as_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        pages = []
-        for text in part.column("text").to_pylist():
-            payload, n = payload_of(text)
-            said = html.escape(text or "")
-            title = html.escape((text or "").strip().split("\n")[0][:80])
-            pages.append(f'<article><p>{said}</p><figure><img src="{_PREFIX}{hashlib.sha256(payload).hexdigest()}" data-length="{n}"><figcaption>{title}</figcaption></figure></article>')
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pages, pa.string())], ["doc_id", "html"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((page_of(t.as_py()) for t in part.column("text")), pa.string())], ["doc_id", "html"])
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -253,6 +263,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "media")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = work.table(payload_features(store_payloads(rows, work)), "features")
-    sequences = interleave(rows.mapInArrow(_as_page, "doc_id long, html string"), "doc_id", "html")
+    # made and parsed in the same worker, so that no page crosses to the JVM and back
+    sequences = rows.mapInArrow(lambda batches: _parsed(_as_pages(batches), "doc_id"), f"doc_id long, sequence {SEQUENCE}")
     found = resolve(sequences, "doc_id", features)
     return found.select("doc_id", F.col("length").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -12,7 +12,9 @@ import ctypes
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,15 +71,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of at most ``rows``, so that a worker holds few texts as Python objects.
+#: Bytes of text that a worker turns into Python objects at once; a row above that goes alone.
+SLICE_BYTES = 4 << 20
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's texts and binaries."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if any(is_kind(column.type) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``rows`` and, beyond one row, ``size`` bytes, so that a worker holds few texts as Python objects.
 
     At the end of a task, memory that its buffers and tables took goes back to
     the system: Python workers live on from task to task.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends, at = np.cumsum(_row_bytes(batch)), 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(max(fits, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

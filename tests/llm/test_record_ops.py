@@ -5,11 +5,13 @@ import uuid
 import zlib
 from datetime import date
 
+import pyarrow as pa
 import pytest
 
 from glossa.llm import chat, media, token_rollup, url_lists, warc
 from glossa.llm.queries import rollup_tokenizers
-from glossa.llm.shared import Workspace, shared_dir
+from glossa.llm.shared import Workspace, shared_dir, slices
+from glossa.sources import storage
 
 # -- media ---------------------------------------------------------------------------------------
 
@@ -31,19 +33,70 @@ def test_payload_round_trip(text):
         media.samples_of(image[:60] + bytes([image[60] ^ 1]) + image[61:])
 
 
-def test_document_media(frame):
-    docs = [(1, "a <b> & c"), (2, "a <b> & c"), (3, None), (4, ""), (None, "x"), (1, "a <b> & c"), (5, "word " * 30_000), (6, "</article><img src=x>")]
-    got = media.document_media(frame(docs, "doc_id long, text string")).collect()
+def grey_samples(image):
+    """A PNG reader of its own: the chunks in order, checksums, row filters 0 to 2."""
+    assert image.startswith(b"\x89PNG\r\n\x1a\n")
+    at, packed, seen = 8, b"", []
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, data, crc = image[at + 4 : at + 8], image[at + 8 : at + 8 + n], image[at + 8 + n : at + 12 + n]
+        assert zlib.crc32(kind + data) == int.from_bytes(crc, "big")
+        seen.append(kind)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big")
+            assert tuple(data[8:]) == (8, 0, 0, 0, 0)
+        packed += data if kind == b"IDAT" else b""
+        at += 12 + n
+    assert (seen[0], seen[-1]) == (b"IHDR", b"IEND")
+    lines, out, above = zlib.decompress(packed), [], bytes(width)
+    assert len(lines) == height * (width + 1)
+    for y in range(height):
+        kind, row = lines[y * (width + 1)], bytearray(lines[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            row[x] = (row[x] + (0, row[x - 1] if x else 0, above[x])[kind]) % 256
+        above = bytes(row)
+        out.append(above)
+    return b"".join(out)
+
+
+def test_document_media(spark, frame):
+    """Against a PNG reader and features of the test's own."""
+    docs = [(1, "a <b> & c"), (2, "a <b> & c"), (3, None), (4, ""), (None, "x"), (1, "a <b> & c"), (5, "word " * 30_000), (6, "</article><img src=x>"), (7, "first\r\nsecond"), (8, "é" * 288), (9, "é" * 300)]
+    df = frame(docs, "doc_id long, text string")
+    got = media.document_media(df).collect()
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(d), len((t or "").encode())) for d, t in docs)
+    stored = {r.ref: bytes(r.media) for r in media.store_payloads(df, Workspace(spark, "test")).collect()}
     texts = {d: t for d, t in docs}
     for r in got:
-        payload, _ = media.payload_of(texts[r.doc_id])
-        image = media.png_of(payload)
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        image = stored["media:sha256/" + hashlib.sha256(payload).hexdigest()]
+        assert grey_samples(image) == payload
+        counts = [sum(32 * k <= x < 32 * k + 32 for x in payload) for k in range(8)]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), media.feature_of(payload))
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        assert r.feature == f"{len(payload) // 576}:{sum(payload)}:" + ",".join(map(str, counts))
     assert media.document_media(frame([], "doc_id long, text string")).collect() == []
 
 
+def test_pages_of_the_tables(spark, sf):
+    """Real pages: every media reference of the markup in its order, and all of the text between."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in media.interleave(pages, "page_id", "html").collect():
+        assert [x.position for x in r.sequence] == list(range(len(r.sequence)))
+        assert all((x.text is None) == (x.kind == "media") == (x.ref is not None) for x in r.sequence)
+        assert sum(x.kind == "media" for x in r.sequence) <= (html[r.page_id] or "").lower().count("src")
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["x" * n for n in (10, 10, 5000, 1, 1, 1, 900, 200)] + [None] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    cut = [p.column("text").to_pylist() for p in slices(iter([batch, batch.slice(3, 4)]), rows=4, size=1000)]
+    assert sum(cut, []) == texts + texts[3:7]
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t or "") for t in p) <= 1000) for p in cut)
+
+
 def test_unknown_refs_resolve_to_nulls(frame):
     pages = frame([(1, "<img src='media:sha256/none' alt='c'>")], "page_id long, html string")
     store = frame([], "ref string, media binary", clash=False)
@@ -77,6 +130,17 @@ def test_collapse_as_brute_force(frame):
     assert got == brute_collapse(turns)
 
 
+def test_turns_without_numbers(frame):
+    """Null and equal numbers, over more than a block of turns; 0 is a number, null comes before it."""
+    turns = [(1, None, "u", f"t{k:03}") for k in range(300)] + [(2, 7, "u", f"t{k:03}") for k in range(299)] + [(3, 0, "a", "zero"), (3, None, "z", "null"), (3, 0, "A", "zero")]
+    turns += [(4, None, "z", "null"), (4, -5, "a", "minus"), (5, None, "z", "null")] + turns[:5]
+    got = {}
+    for r in chat.collapse_and_render(frame(turns, "conv_id long, turn long, role string, text string")).orderBy("part").collect():
+        n, copies, text = got.get(r.conv_id, (r.n_turns, r.n_copies, ""))
+        got[r.conv_id] = n, copies, text + r.rendered
+    assert got == brute_collapse(turns) and set(got) == {1, 3, 4}
+
+
 def test_long_conversations_cross_blocks(frame):
     turns = [(1, k, "u", f"t{k}") for k in range(700)] + [(2, k, "u", f"t{k}") for k in range(600)] + [(3, k, "u", f"t{k}") for k in range(599)] + [(3, 599, "u", "other")]
     got = chat.collapse_and_render(frame(turns, "conv_id long, turn long, role string, text string")).collect()
@@ -174,13 +238,40 @@ def test_batches_commit_once(spark):
     assert r.totals().collect() == []
     assert r.apply("one", one) and not r.apply("one", one) and r.apply("two", two) and not r.apply("two", one)
     assert sorted((tuple(x) for x in r.totals().collect()), key=str) == [("s", "en", "t", 1, 7), (None, None, "t", 1, 0)]
-    # a write that was cut short has no mark: it doesn't count, and its batch is written anew
-    two.selectExpr("source", "lang", "tokenizer", "1L n_docs", "1L n_tokens").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{r.root}/three")
+    # a write that was cut short has no commit: it doesn't count, and its batch is written anew
+    two.selectExpr("source", "lang", "tokenizer", "1L n_docs", "1L n_tokens").write.parquet(f"{r.root}/batches/three-cut")
+    fs, empty = spark.sparkContext._jvm.org.apache.hadoop.fs, f"{r.root}/batches/three.commit"
+    fs.Path(empty).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fs.Path(empty)).close()
     assert r.committed() == ["one", "two"] and r.apply("three", two) and r.committed() == ["one", "three", "two"]
     with pytest.raises(ValueError):
         r.apply("../x", one)
 
 
+def test_compaction_changes_nothing(spark):
+    r = rollup(spark)
+    schema = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long"
+    rows = spark.createDataFrame([("s", "en", "t", "insert", 10, None), (None, "de", "t", "insert", 5, None)], schema)
+    r.compact()
+    for name in ("a", "b"):
+        assert r.apply(name, rows)
+    before = sorted(map(str, r.totals().collect()))
+    r.compact()
+    assert sorted(map(str, r.totals().collect())) == before and r.committed() == ["a", "b"] and not r._batches()
+    assert not r.apply("a", rows) and r.apply("c", rows) and not r.apply("c", rows)
+    r.compact()
+    r.compact()
+    assert r.committed() == ["a", "b", "c"] and {(x.lang, x.n_docs, x.n_tokens) for x in r.totals().collect()} == {("en", 3, 30), ("de", 3, 15)}
+    # a batch that two drivers wrote, one of them beside the other's compaction, counts once
+    storage.commit(spark, f"{r.root}/batches/a.commit", "a-late")
+    assert {(x.lang, x.n_docs) for x in r.totals().collect()} == {("en", 3), ("de", 3)}
+
+
+def test_of_two_writers_one_commits(spark):
+    path = f"{shared_dir(spark)}/commit-{uuid.uuid4().hex}"
+    assert storage.commit(spark, path, "first") and not storage.commit(spark, path, "second")
+    assert list(storage.commits(spark, path).values()) == ["first"]
+
+
 def test_document_rollup_as_brute_force(spark, frame):
     docs = [(1, "a b  \n\nc", "s1", "en"), (2, "a b  \n\nc", "s2", "en"), (3, None, "s1", "de"), (4, "", None, None), (5, "hello world", "s1", "en"), (None, "hello world", "s1", "en"), (6, "word " * 20_000, "s3", "fr"), (5, "hello world", "s1", "en")]
     tok = rollup_tokenizers()
