@@ -30,18 +30,46 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored payload of every document, found through its page's media reference.
+
+    One row for each row of documents. Null and empty texts are one row of
+    padding; texts of any length are stored whole; equal texts give equal
+    values; repeated rows and null ids pass through; other columns are ignored;
+    an empty table gives none.
+    """
     return document_media(read_table(spark, sf_dir, "documents"))
 
 
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that no longer one begins with, rendered.
+
+    Equal turns of a conversation are one; null turn numbers come first, null
+    roles and texts are empty, rows without a conv_id are left out; turns of
+    one number follow role and text. Conversations of more than 256 turns have
+    several parts. Other columns are ignored; an empty table gives none.
+    """
     return collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
 
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, read back from its archive through the index.
+
+    One row for each row of pages. Null html is an empty payload, a null url
+    about:blank, a null page_id revisits; rows that repeat the least page_id
+    of a payload are all responses. Other columns are ignored; an empty table
+    gives none.
+    """
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, at a similarity of 85 in 100.
+
+    One row for each row of documents. Texts without words, null ones too, link
+    with nothing; ties at the threshold are links; rows that repeat a doc_id
+    are linked each by its text, a null doc_id names no component. Other
+    columns are ignored; an empty table gives none.
+    """
     return near_duplicates(read_table(spark, sf_dir, "documents"), threshold_pct=85)
 
 
@@ -52,6 +80,12 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and what they decode to.
+
+    One row for each row of documents. Null texts are as empty ones, with no
+    ids; texts of any length are encoded whole; repeated rows and null ids pass
+    through; other columns are ignored; an empty table gives none.
+    """
     return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
@@ -70,6 +104,12 @@ def _dated_entries(pages: DataFrame) -> DataFrame:
 
 
 def op5_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the list entries that are active when it is fetched.
+
+    One row for each row of pages. Null and hostless URLs match nothing;
+    repeated rows are judged each; of active patterns the longest decides, then
+    the list and its name. Other columns are ignored; an empty table gives none.
+    """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
     out = judge(pages.withColumn("fetched", fetched), _dated_entries(pages))
@@ -87,6 +127,13 @@ def rollup_tokenizers() -> dict[str, tuple[str, str]]:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of documents and tokens by source, language and tokenizer version, after four batches of deltas.
+
+    Null sources and languages are keys of their own; null and empty texts have
+    no tokens; rows that repeat a text are taken out again as copies, but for
+    those of its least doc_id and those without one. Other columns are ignored;
+    an empty table gives none.
+    """
     docs, work = read_table(spark, sf_dir, "documents"), Workspace(spark, "token-rollup")
     counted = work.keep(count_tokens(docs, rollup_tokenizers()))
     totals = document_rollup(docs, rollup_tokenizers(), Rollup(spark, work.path("batches")), counted)
@@ -95,14 +142,36 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from labels that are not held out.
+
+    One row for each row of documents. Null and empty texts get the score of
+    the bias; texts of any length are read whole; a doc_id with several labels
+    is toxic if any is, null labels don't count; repeated rows are scored each,
+    a null doc_id is held out. Other columns are ignored; an empty table gives
+    none.
+    """
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The votes, posterior and score of every document.
+
+    One row for each row of documents. Null and empty texts are texts without
+    words, which a labeller calls bad; texts of any length are read whole;
+    repeated rows and null ids are scored each; other columns are ignored; an
+    empty table gives none.
+    """
     return quality(read_table(spark, sf_dir, "documents"))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that are in windows of benchmark items.
+
+    One row for each row of documents. Null and empty texts have no words and
+    are never contaminated; texts of any length are read whole; repeated rows
+    and null ids pass through; repeated items count once by id. Other columns
+    are ignored; an empty table gives none, an empty benchmark no hits.
+    """
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
@@ -125,11 +194,11 @@ WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
   SELECT conv_id, count(*) AS n, list(role || chr(31) || text ORDER BY turn NULLS FIRST, role, text) AS turns,
-         string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+         list('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, role, text) AS pieces
   FROM t GROUP BY conv_id),
-k AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n, count(*) AS n_copies, any_value(rendered) AS rendered FROM c GROUP BY turns)
-SELECT conv_id, n AS n_turns, n_copies, 0::BIGINT AS part, rendered FROM k
-WHERE NOT EXISTS (SELECT 1 FROM k AS other WHERE other.n > k.n AND other.turns[1:k.n] = k.turns)
+k AS (SELECT min(conv_id) AS conv_id, turns, any_value(n) AS n, count(*) AS n_copies, any_value(pieces) AS pieces FROM c GROUP BY turns),
+kept AS (SELECT *, unnest(range(0, (n + 255) // 256)) AS part FROM k WHERE NOT EXISTS (SELECT 1 FROM k AS other WHERE other.n > k.n AND other.turns[1:k.n] = k.turns))
+SELECT conv_id, n AS n_turns, n_copies, part, array_to_string(pieces[part * 256 + 1:part * 256 + 256], '') AS rendered FROM kept
 """,
     "op5_url_list_asof": r"""
 WITH p AS (
