@@ -12,34 +12,29 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import Workspace
 
 
-def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Link each node's neighbours to the smallest of them.
-
-    both_ways: large star (larger neighbours only move); else small star, for
-    which each edge points from the larger end to the smaller.
-    """
-    if both_ways:
-        e = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return e.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u")
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v")
+def _stars(edges: DataFrame) -> DataFrame:
+    """A large and a small star over (u, v), u > v: first each node's larger neighbours, then all of its neighbours, move to its least neighbour."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
-def components(edges: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "edges", rounds: int = 60) -> DataFrame:
     """(u, v) pairs of one orderable type -> (node, root) for every node of an edge.
 
     root is the smallest node of the component. Self links and nulls are
     ignored; no edges give no rows.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    e = work.small(e, "edges0")
+    e = work.table(e, f"{name}-0")
     before = None
     for i in range(1, rounds + 1):
-        e = work.small(_stars(_stars(e, True).distinct(), False).distinct(), f"edges{i}")
+        e = work.table(_stars(e), f"{name}-{i}")
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        work.drop(f"edges{i - 1}")
+        work.drop(f"{name}-{i - 1}")
         if now == before:
             break
         before = now

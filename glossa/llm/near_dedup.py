@@ -1,15 +1,22 @@
 """MinHash near-duplicate detection by a chosen-path set similarity join.
 
 A document is its set of distinct k-word shingles. Equal sets form one class.
-Each class follows several independent trees: the first ``depth`` levels branch
-on minwise tokens of its set; a node that holds more than ``node_limit`` classes
-is branched again, on two further minwise tokens that the node's path selects.
-Nodes that are small enough are compared exhaustively: first by sketches, then
-candidates on their full sets inside the node. A node hands on only the links of
-a spanning forest, never all its pairs.
-
-The number of trees follows from the target recall for a pair exactly at the
-threshold: (1 - s**depth) ** trees <= 1 - recall.
+Every tree starts with all classes in its root. A node branches on 1 / s minwise
+tokens on average (s: the threshold), which the path to the node selects; the
+classes that agree on such a token meet in a child. A node of at most
+``node_limit`` classes is a leaf and compared exhaustively: first by sketches,
+then candidates on their full sets. A larger node right below a root is dealt
+into blocks, and each block is compared together with the node's pivots, a few
+dozen of its classes; this links a large group of near copies through its pivots
+by rows in proportion to its size. Then the node branches.
+
+The links that a first few trees find become components before the other trees
+start, and theirs before anything branches further. A node whose classes all lie
+in one component has nothing left to find and is dropped, so copies that are
+linked cost the other trees one grouping and no more.
+
+A pair at the threshold meets in the leaves of a tree with a probability that
+``survival`` gives; the number of trees follows from it and the target recall.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.components import components
-from glossa.llm.hashing import WordHashes, shingle_set
-from glossa.llm.shared import Workspace, slices
+from glossa.llm.hashing import Words, shingle_set
+from glossa.llm.shared import Workspace, among, hash_bits, slices
 
 PERMUTATIONS = 64
-DEPTH = 3
-#: Bits of the filter that says which documents' sets a later pass needs.
-FILTER_BITS = 1 << 26
+#: Branchings that the target recall allows for.
+DEPTH = 4
+#: Trees that go first, so that most copies are linked before the others start.
+PILOT = 3
+#: Classes of a large node that every block of it is compared with, on average.
+PIVOTS = 32
 
 _SKETCH = "doc_id long, n_shingles long, cid binary, sig array<int>"
 
@@ -40,32 +51,46 @@ def _permutations() -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of bytes other than space and \\x09-\\x0D, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: What parts words: space and \x09-\x0D.
+SEPARATORS = b" \t\n\x0b\x0c\r"
+
+
+def survival(threshold: float, depth: int = DEPTH) -> float:
+    """The probability that a pair at the threshold is still together in some node after ``depth`` branchings of a tree."""
+    base, more = divmod(1 / threshold, 1)
+    p = 1.0
+    for _ in range(depth):
+        lost = 1 - threshold * p
+        p = 1 - lost**base * (1 - more + more * lost)
+    return p
 
 
 def trees_for(threshold: float, recall: float, depth: int = DEPTH) -> int:
-    return min(PERMUTATIONS // depth, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+    lost = 1 - survival(threshold, depth)
+    trees = math.ceil(math.log(1 - recall) / math.log(lost)) if lost > 0 else 1
+    if trees > PERMUTATIONS:
+        raise ValueError(f"a recall of {recall} at {threshold} needs {trees} trees, more than {PERMUTATIONS} minwise tokens can start")
+    return trees
+
+
+def minwise(s: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """The least 32 high bits of a set's values under each permutation."""
+    low = np.full(len(perms), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 1024):
+        np.minimum(low, np.multiply.outer(perms, s[at : at + 1024]).min(1), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, perms, shift = WordHashes(), _permutations(), np.uint64(32)
+        words, perms = Words(SEPARATORS), _permutations()
         for batch in slices(batches):
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column("text").to_pylist():
-                s = shingle_set(hashes.of(words_of(text)), k)
+                s = shingle_set(words(text), k)
                 rows[0].append(len(s))
-                if len(s):
-                    low = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint64)
-                    for at in range(0, len(s), 4096):
-                        low = np.minimum(low, (np.multiply.outer(perms, s[at : at + 4096]) >> shift).min(1))
-                    rows[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    rows[2].append(low.astype(np.uint32).view(np.int32))
-                else:
-                    rows[1].append(None)
-                    rows[2].append(None)
+                rows[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                rows[2].append(minwise(s, perms) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.list_(pa.int32()))],
                 ["doc_id", "n_shingles", "cid", "sig"],
@@ -92,11 +117,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFra
 
 
 class _Frame:
-    """The columns of whole groups as arrays."""
+    """The columns of whole groups as arrays; components are numbered within the frame."""
 
     def __init__(self, frame: pd.DataFrame):
-        self.node, self.cid = frame["node"].to_numpy(), frame["cid"].to_numpy()
-        self.leaf, self.side, self.n = frame["leaf"].to_numpy(), frame["side"].to_numpy(), frame["n"].to_numpy()
+        self.node, self.cid, self.n = frame["node"].to_numpy(), frame["cid"].to_numpy(), frame["n"].to_numpy()
+        self.comp, self.comps = pd.factorize(frame["comp"])
         self.sig = np.stack(frame["sig"].to_list()).view(np.uint32)
         self.leaves = frame["leaves"].to_list()
         self.shingles = frame["shingles"].to_numpy() if "shingles" in frame else None
@@ -108,52 +133,61 @@ class _Frame:
                 yield slice(int(a), int(b))
 
     def candidates(self, g: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i < j, from the group's start) of a node that may be linked.
+        """Pairs (i < j, from the group's start) that may be linked and whose components differ.
 
-        A pair is left to the first leaf that both ends share, so that no two
-        nodes do the same work; sides other than -1 are blocks of a node that
-        was too large, of which only pairs across count.
+        A pair is left to the first of the leaves that both ends are in, so that
+        no two trees do the same work.
         """
-        sig, n, side, leaf = self.sig[g], self.n[g], self.side[g], self.leaf[g][0]
+        sig, n, comp = self.sig[g], self.n[g], self.comp[g]
         margin = PERMUTATIONS * (threshold - 5.5 * math.sqrt(threshold * (1 - threshold) / PERMUTATIONS))
+        step = max(1, (1 << 20) // (len(n) * PERMUTATIONS))
         is_, js_ = [], []
-        for i in range(len(n) - 1):
-            rest = n[i + 1 :]
-            ok = np.minimum(n[i], rest) >= (threshold - 1e-9) * np.maximum(n[i], rest)
-            ok &= (sig[i + 1 :] == sig[i]).sum(1) >= margin
-            if side[i] >= 0:
-                ok &= side[i + 1 :] != side[i]
-            js = np.flatnonzero(ok) + i + 1
-            if len(js):
-                is_.append(np.full(len(js), i))
-                js_.append(js)
+        for at in range(0, len(n), step):
+            rows = slice(at, at + step)
+            ok = np.minimum(n[rows, None], n) >= (threshold - 1e-9) * np.maximum(n[rows, None], n)
+            ok &= comp[rows, None] != comp
+            ok &= np.arange(len(n)) > np.arange(len(n))[rows, None]
+            if ok.any():
+                ok &= (sig[rows, None, :] == sig).sum(2) >= margin
+                i, j = np.nonzero(ok)
+                is_.append(i + at)
+                js_.append(j)
         if not is_:
             return np.empty(0, int), np.empty(0, int)
         i, j = np.concatenate(is_), np.concatenate(js_)
-        lower = [x[x < leaf] for x in self.leaves[g]]
+        own = ~self._shared_before(g, i, j)
+        return i[own], j[own]
+
+    def _shared_before(self, g: slice, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs share a leaf with a lower number than the group's, by a bit for each leaf that several members are in."""
+        lower = [x[x < self.node[g.start]] for x in self.leaves[g]]
         values, inverse, counts = np.unique(np.concatenate(lower), return_inverse=True, return_counts=True)
         number = np.cumsum(counts > 1) - 1
         if not len(values) or number[-1] < 0:
-            return i, j
-        bits = np.zeros((len(n), (int(number[-1]) // 64 + 1) * 64), bool)
+            return np.zeros(len(i), bool)
+        bits = np.zeros((len(lower), (int(number[-1]) // 64 + 1) * 64), bool)
         keep = (counts > 1)[inverse]
-        bits[np.repeat(np.arange(len(n)), [len(x) for x in lower])[keep], number[inverse[keep]]] = True
+        bits[np.repeat(np.arange(len(lower)), [len(x) for x in lower])[keep], number[inverse[keep]]] = True
         packed = np.packbits(bits, axis=1).view(np.uint64)
-        own = np.concatenate([~(packed[i[a : a + 65536]] & packed[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)])
-        return i[own], j[own]
+        return np.concatenate([(packed[i[a : a + 65536]] & packed[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+
+
+_MEMBER = "node long, cid binary, comp binary, n long, sig array<int>, leaves array<bigint>"
 
 
 def _with_candidates(threshold: float):
-    """Rows of nodes -> the (node, class) rows that have a candidate in that node."""
+    """Rows of nodes -> those of the classes that have a candidate in that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _grouped(batches, "node"):
             frame, rows = _Frame(whole), []
             for g in frame.groups():
                 i, j = frame.candidates(g, threshold)
-                rows.append(np.union1d(i, j) + g.start)
-            at = np.concatenate(rows).astype(int) if rows else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(frame.node[at], pa.int64()), pa.array(frame.cid[at], pa.binary())], ["node", "cid"])
+                if len(i):
+                    rows.append(np.union1d(i, j) + g.start)
+            if rows:
+                busy = whole.iloc[np.concatenate(rows)]
+                yield pa.RecordBatch.from_pandas(busy, pa.schema([("node", pa.int64()), ("cid", pa.binary()), ("comp", pa.binary()), ("n", pa.int64()), ("sig", pa.list_(pa.int32())), ("leaves", pa.list_(pa.int64()))]), preserve_index=False)
 
     return run
 
@@ -181,73 +215,59 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return total
 
 
+def _forest(frame: _Frame, g: slice, threshold_pct: int) -> Iterator[tuple[int, int]]:
+    """Confirmed pairs of a node's components, in the frame's numbers: no pair that earlier ones already connect.
+
+    The members with the most candidates are compared first, as each of them
+    may connect many at once; what they leave is compared in one go.
+    """
+    i, j = frame.candidates(g, threshold_pct / 100)
+    if not len(i):
+        return
+    n, comp = frame.n[g], frame.comp[g].copy()
+    sets = [np.frombuffer(x, np.uint64) for x in frame.shingles[g]]
+    first = np.argsort(-np.bincount(np.r_[i, j], minlength=len(n)), kind="stable")[:4]
+    done = np.zeros(len(i), bool)
+    for p in [*first, -1]:
+        open_ = ~done & (comp[i] != comp[j])
+        if p >= 0:
+            open_ &= (i == p) | (j == p)
+        done |= open_
+        a, b = i[open_], j[open_]
+        for at in range(0, len(a), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            inter = _intersections(sets, a[part], b[part])
+            linked = 100 * inter >= threshold_pct * (n[a[part]] + n[b[part]] - inter)
+            for x, y in zip(a[part][linked].tolist(), b[part][linked].tolist(), strict=True):
+                if comp[x] != comp[y]:
+                    yield int(comp[x]), int(comp[y])
+                    comp[comp == comp[y]] = comp[x]
+
+
 def _links(threshold_pct: int):
-    """Rows of nodes with full sets -> confirmed links, one spanning forest for each node."""
+    """Rows of nodes with full sets -> confirmed links between components, one spanning forest for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _grouped(batches, "node"):
-            frame, us, vs = _Frame(whole), [], []
-            for g in frame.groups():
-                i, j = frame.candidates(g, threshold_pct / 100)
-                if not len(i):
-                    continue
-                n = frame.n[g]
-                inter = _intersections([np.frombuffer(x, np.uint64) for x in frame.shingles[g]], i, j)
-                linked = 100 * inter >= threshold_pct * (n[i] + n[j] - inter)
-                root = list(range(len(n)))
-
-                def find(x: int, root=root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for a, b in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
-                    ra, rb = find(a), find(b)
-                    if ra != rb:
-                        root[max(ra, rb)] = min(ra, rb)
-                        us.append(frame.cid[g.start + a])
-                        vs.append(frame.cid[g.start + b])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+            frame = _Frame(whole)
+            found = [pair for g in frame.groups() for pair in _forest(frame, g, threshold_pct)]
+            yield pa.RecordBatch.from_arrays([pa.array([frame.comps[x[k]] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def _filter_bits(needed: DataFrame) -> np.ndarray:
-    """A bit for each hash of the needed keys: at most FILTER_BITS / 8 bytes whatever the number of keys."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        found = False
-        for batch in batches:
-            at = batch.column("bit").to_numpy()
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            found |= len(at) > 0
-        if found:
-            used = np.flatnonzero(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits[used].astype(np.int16))], ["at", "bits"])
-
-    merged = needed.mapInArrow(partial, "at int, bits smallint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    got = merged.toPandas()
-    out[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
-    return out
-
-
 def _sets_of(k: int, bits):
-    """(doc_id, bit, text) -> full shingle sets of the documents whose bit is set."""
+    """(doc_id, hash, text) -> full shingle sets of the documents whose hash may be among those of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        have = bits.value
+        words, have = Words(SEPARATORS), bits.value
         for batch in slices(batches):
-            at = batch.column("bit").to_numpy()
-            rows = np.flatnonzero(have[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            rows = np.flatnonzero(among(have, batch.column("hash").to_numpy()))
             if not len(rows):
                 continue
             cids, sets = [], []
             for text in batch.column("text").take(pa.array(rows)).to_pylist():
-                raw = shingle_set(hashes.of(words_of(text)), k).tobytes()
+                raw = shingle_set(words(text), k).tobytes()
                 cids.append(hashlib.blake2b(raw, digest_size=16).digest())
                 sets.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(cids, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "cid", "shingles"])
@@ -255,41 +275,131 @@ def _sets_of(k: int, bits):
     return run
 
 
-def _nodes(classes: DataFrame, work: Workspace, trees: int, node_limit: int, levels: int) -> DataFrame:
-    """(node, leaf, side, cid): where classes meet. A class alone in a node is left out.
+def _roots(known: DataFrame, trees: range, threshold: float) -> DataFrame:
+    """(cid, comp, key, slot, stride, turn): the children of the trees' roots; as far as there are enough, no two of them branch on the same token.
 
-    Nodes above ``node_limit`` branch again, on two of their members' minwise
-    tokens each, for up to ``levels`` levels; what is still larger is cut into
-    blocks, and each pair of blocks is a node, so that its pairs are all compared.
+    A path goes on from its first token by a stride that its key selects: odd,
+    so that it meets each of the tokens once.
     """
-    start = [F.xxhash64(F.lit(t), *[F.col("sig")[DEPTH * t + d] for d in range(DEPTH)]) for t in range(trees)]
-    level = classes.select("cid", "sig", F.explode(F.array(*start)).alias("key"))
-    found = None
-    for depth in range(levels + 1):
-        sizes = level.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-        met = work.small(level.select("cid", "key").join(sizes, "key"), f"level{depth}")
-        leaf = met.filter(F.col("size") <= node_limit)
-        large = met.filter(F.col("size") > node_limit)
-        done = depth == levels or large.isEmpty()
-        if done:
-            leaf = met
-        found = leaf if found is None else found.unionByName(leaf)
-        if done:
-            break
-        child = [F.xxhash64("key", F.lit(b), F.element_at("sig", (F.pmod(F.xxhash64("key", F.lit(b)), F.lit(PERMUTATIONS)) + 1).cast("int"))) for b in (0, 1)]
-        level = large.join(classes.select("cid", "sig"), "cid").select("cid", "sig", F.explode(F.array(*child)).alias("key")).distinct()
-    half = max(1, node_limit // 2)
-    blocks = F.ceil(F.col("size") / half).cast("int")
-    mine = F.pmod(F.xxhash64("cid", "key"), blocks).cast("int")
-    other = F.explode(F.when(F.col("size") > node_limit, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1))))
-    split = found.withColumn("mine", F.when(F.col("size") > node_limit, mine).otherwise(F.lit(-1))).withColumn("other", other)
-    node = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    # in the node of a block with itself all pairs count, so its side is -1
-    side = F.when((F.col("other") < 0) | (F.col("mine") == F.col("other")), F.lit(-1)).otherwise(F.col("mine"))
-    return split.select(node.alias("node"), F.col("key").alias("leaf"), side.alias("side"), "cid")
-
-
-def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall: float = 0.999999, node_limit: int = 1024, levels: int = 6) -> DataFrame:
+    each = 1 / threshold
+    children = []
+    for t in trees:
+        for slot in range(int(t * each), int((t + 1) * each)):
+            children.append(F.struct(F.xxhash64(F.lit(t), F.lit(slot), F.col("sig")[slot % PERMUTATIONS]).alias("key"), F.lit(slot % PERMUTATIONS).alias("slot")))
+    rows = known.select("cid", "comp", F.explode(F.array(*children)).alias("child")).select("cid", "comp", "child.*")
+    stride = (F.pmod(F.xxhash64("key", F.lit("stride")), F.lit(PERMUTATIONS // 2)) * 2 + 1).cast("int")
+    return rows.select("cid", "comp", "key", "slot", stride.alias("stride"), F.lit(0).alias("turn"))
+
+
+#: Branchings of a large node that are made at once, at most.
+LEAP = 8
+
+
+def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit: int) -> DataFrame:
+    """Rows of large nodes with their size -> those of their children.
+
+    A node has 1 / threshold children on average: the whole part of it, and one
+    more if its key says so. A node that will still be large after several
+    branchings goes through them at once: as many as bring texts that are alike
+    at the threshold down to the limit, LEAP at most. Only the sizes in between
+    aren't looked at. A path that has used all tokens ends.
+    """
+    base, more = divmod(1 / threshold, 1)
+    rows = large.filter(F.col("turn") < PERMUTATIONS - 1 - base).join(known.select("cid", "comp", "sig"), "cid")
+    enough = F.floor(F.log(F.col("size") / node_limit) / math.log(1 / threshold)) + 1 if threshold < 1 else F.lit(1)
+    rows = rows.withColumn("steps", F.least(enough, F.lit(LEAP)))
+    for step in range(LEAP):
+        count = F.lit(int(base)) + F.when(F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1 << 20)) < int(more * (1 << 20)), 1).otherwise(0)
+        goes = (F.col("steps") > step) & (F.col("turn") < PERMUTATIONS - 1 - base)
+        rows = rows.withColumn("count", count).withColumn("branch", F.explode(F.when(goes, F.sequence(F.lit(1), F.col("count"))).otherwise(F.array(F.lit(0)))))
+        at = F.pmod(F.col("slot") + F.col("stride") * (F.col("turn") + F.col("branch")), F.lit(PERMUTATIONS))
+        path = F.xxhash64("key", at, F.get("sig", at))
+        rows = rows.withColumns({"key": F.when(F.col("branch") > 0, path).otherwise(F.col("key")), "turn": F.when(F.col("branch") > 0, F.col("turn") + F.col("count")).otherwise(F.col("turn"))})
+    return rows.select("cid", "comp", "key", "slot", "stride", "turn")
+
+
+def _blocks(rows: DataFrame, node_limit: int) -> DataFrame:
+    """Rows of nodes with their key and size -> with ``node``, the leaf or block to compare them in.
+
+    A node above the limit is dealt into blocks of half the limit; its pivots go
+    to every block. Block numbers of a pivot are made in two steps, so that no
+    row holds more of them than the square root of their number.
+    """
+    large, half = F.col("size") > node_limit, max(1, node_limit // 2)
+    count = F.when(large, F.ceil(F.col("size") / half)).otherwise(1).cast("long")
+    pivot = large & (F.pmod(F.xxhash64(F.lit("pivot"), "cid", "key"), F.col("size")) < min(PIVOTS, half))
+    side = F.ceil(F.sqrt("count")).cast("long")
+    one = F.array(F.lit(-1).cast("long"))
+    rows = rows.withColumn("count", count).withColumn("pivot", pivot)
+    rows = rows.withColumn("high", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), side - 1)).otherwise(one)))
+    rows = rows.withColumn("low", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), side - 1)).otherwise(one)))
+    block = F.when(F.col("pivot"), F.col("high") * side + F.col("low")).otherwise(F.pmod(F.xxhash64("cid", "key"), F.col("count")))
+    rows = rows.withColumn("block", block).filter("block < count")
+    return rows.withColumn("node", F.when(large, F.xxhash64("key", "block")).otherwise(F.col("key")))
+
+
+class _Join:
+    """One run of the join: the classes with their components so far, and the members of nodes that wait for their full sets."""
+
+    def __init__(self, source: DataFrame, classes: DataFrame, work: Workspace, k: int, threshold_pct: int, node_limit: int):
+        self.source, self.classes, self.work = source, classes, work
+        self.k, self.pct, self.node_limit = k, threshold_pct, node_limit
+        self.known = classes.withColumn("comp", F.col("cid"))
+        self.label: DataFrame | None = None
+        self.busy: list[DataFrame] = []
+        self.level = self.confirmed = 0
+
+    def _at_nodes(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("node").sortWithinPartitions("node", "cid")
+
+    def compare(self, level: DataFrame, pivots: bool) -> DataFrame | None:
+        """Look for candidates in the nodes of a level, and give its large nodes, None if there are none.
+
+        Large nodes are compared with their pivots, or only branched: further
+        down a pivot could tell nothing new before the last components are known.
+        """
+        self.level += 1
+        hashed = F.xxhash64("comp")  # a number can be aggregated without a sort
+        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+        met = self.work.table(level.join(sizes.filter("low <> high").select("key", "size"), "key").select("cid", "key", "slot", "stride", "turn", "size"), f"met{self.level}")
+        # a class is in as many nodes of a level as there are branches of all trees at most
+        nodes = met.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("nodes")).join(self.known, "cid")
+        small = F.filter("nodes", lambda x: x["size"] <= self.node_limit)
+        nodes = nodes.withColumn("leaves", F.array_sort(F.transform(small, lambda x: x["key"]))).withColumn("in", F.explode("nodes" if pivots else small))
+        dealt = _blocks(nodes.select("cid", "comp", "n", "sig", "leaves", "in.*"), self.node_limit).select("node", "cid", "comp", "n", "sig", "leaves")
+        self.busy.append(self.work.table(self._at_nodes(dealt).mapInArrow(_with_candidates(self.pct / 100), _MEMBER), f"busy{self.level}"))
+        large = met.filter(F.col("size") > self.node_limit)
+        return None if large.isEmpty() else large
+
+    def _sets(self, cids: DataFrame) -> DataFrame:
+        """(cid, shingles) of some classes, from the texts of the documents that stand for them."""
+        needed = self.work.table(cids.distinct().join(self.classes.select("cid", "rep"), "cid"), f"needed{self.confirmed}")
+        bits = self.source.sparkSession.sparkContext.broadcast(hash_bits(needed.select(F.xxhash64("rep").alias("hash")), "hash"))
+        found = self.source.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(_sets_of(self.k, bits), "doc_id long, cid binary, shingles binary")
+        return found.join(needed, "cid").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "shingles")
+
+    def confirm(self) -> None:
+        """Compare the waiting candidates on their full sets, and bring the links into the components."""
+        self.confirmed += 1
+        busy, self.busy = reduce(DataFrame.unionByName, self.busy), []
+        if busy.isEmpty():
+            return
+        full = busy.join(self._sets(busy.select("cid")), "cid")
+        edges = self.work.table(self._at_nodes(full).mapInArrow(_links(self.pct), "u binary, v binary"), f"links{self.confirmed}")
+        if edges.isEmpty():
+            return
+        moved = components(edges, self.work, f"edges{self.confirmed}").withColumnRenamed("node", "cid")
+        if self.label is not None:
+            # a component's name is one of its classes, so its own row moves it
+            moved = self.work.table(moved, f"moved{self.confirmed}")
+            to = moved.select(F.col("cid").alias("root"), F.col("root").alias("new"))
+            old = self.label.join(to, "root", "left").select("cid", F.coalesce("new", "root").alias("root"))
+            moved = old.unionByName(moved).distinct()
+        self.label = self.work.table(moved, f"label{self.confirmed}")
+        self.known = self.work.table(self.classes.join(self.label, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"), f"known{self.confirmed}")
+
+
+def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall: float = 0.999999, node_limit: int = 512, levels: int = PERMUTATIONS) -> DataFrame:
     """Near-duplicate components of (doc_id, text).
 
     Returns one row per input row: doc_id, n_shingles, component_id (the
@@ -303,35 +413,43 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     the smallest id that is not null, and it is kept only if there is none.
     Rows that repeat a doc_id are linked each by its own text. Other columns
     are ignored. An empty table gives an empty result.
+
+    Nodes branch until they are small or connected. Each level divides a group
+    of texts that are less alike than the threshold; ``recall`` is promised for
+    a pair whose nodes are small after DEPTH branchings. A path ends where it
+    has used all minwise tokens; ``levels`` is beyond that.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "near-dedup")
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = work.keep(source.mapInArrow(_sketches(k), _SKETCH))
     # a class is made of equal sets, so any of its sketches is all of theirs
-    classes = work.small(base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
-    where = work.small(_nodes(classes, work, trees_for(threshold_pct / 100, recall), node_limit, levels), "where")
-    member = where.groupBy("cid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves")).join(classes, "cid")
-    member = work.small(member, "members")
-
-    def at_nodes(rows: DataFrame, what: DataFrame) -> DataFrame:
-        joined = rows.join(what, "cid")
-        return joined.repartition("node").sortWithinPartitions("node", "cid")
-
-    busy = at_nodes(where, member.select("cid", "n", "sig", "leaves")).mapInArrow(_with_candidates(threshold_pct / 100), "node long, cid binary")
-    busy = work.small(busy.join(where, ["node", "cid"]).select("node", "leaf", "side", "cid"), "busy")
-    needed = work.small(busy.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), "needed")
-    bits = spark.sparkContext.broadcast(_filter_bits(needed.select(F.pmod(F.xxhash64(F.col("rep")), F.lit(FILTER_BITS)).alias("bit"))))
-    sets = source.withColumn("bit", bit).mapInArrow(_sets_of(k, bits), "doc_id long, cid binary, shingles binary")
-    sets = sets.join(needed, "cid").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cid"]).select("cid", "shingles")
-    full = member.select("cid", "n", "sig", "leaves").join(sets, "cid")
-    edges = work.table(at_nodes(busy, full).mapInArrow(_links(threshold_pct), "u binary, v binary"), "links")
-    label = components(edges, work)
-    linked = label.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    named = work.small(linked.groupBy("root").agg(F.min("rep").alias("component_id")).join(label, "root").select(F.col("node").alias("cid"), "component_id"), "named")
-    by_class = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
-    shingled = base.filter("cid is not null").join(by_class, "cid").select("doc_id", "n_shingles", "component_id")
+    classes = work.table(base.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
+    threshold = threshold_pct / 100
+    trees = trees_for(threshold, recall)
+    join = _Join(source, classes, work, k, threshold_pct, node_limit)
+    large = join.compare(_roots(join.known, range(min(PILOT, trees)), threshold), True)
+    join.confirm()
+    level = _roots(join.known, range(PILOT, trees), threshold) if trees > PILOT else None
+    for depth in range(levels):
+        if large is not None:
+            children = _branched(large, join.known, threshold, node_limit)
+            level = children if level is None else level.unionByName(children)
+        if level is None:
+            break
+        large, level = join.compare(level, depth == 0), None
+        if depth == 0:
+            join.confirm()
+    if join.busy:
+        join.confirm()
+    if join.label is None:
+        by_class = classes.select("cid", F.col("rep").alias("component_id"))
+    else:
+        linked = join.label.join(classes.select("cid", "rep"), "cid")
+        named = linked.groupBy("root").agg(F.min("rep").alias("component_id")).join(join.label, "root").select("cid", "component_id")
+        by_class = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    by_class = work.table(by_class, "by_class")
+    shingled = base.filter("cid is not null").select("doc_id", "n_shingles", "cid").join(by_class, "cid").select("doc_id", "n_shingles", "component_id")
     out = shingled.unionByName(base.filter("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     result = work.table(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "result")
     work.free()

@@ -43,10 +43,6 @@ class Workspace:
         while self.kept:
             self.kept.pop().unpersist()
 
-    def small(self, df: DataFrame, name: str) -> DataFrame:
-        """``table`` for a light step after a shuffle, in an eighth of its partitions, so that it makes few files."""
-        return self.table(df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -71,6 +67,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a filter over hashes: its size is the same for any number of them.
+FILTER_BITS = 1 << 26
+
+
+def hash_bits(hashes: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A bit for each 64-bit hash: 8 MB whatever their number, of which the driver gets FILTER_BITS / 64 numbers at most."""
+    size = bits or FILTER_BITS
+    bit = F.pmod(F.col(column), F.lit(size))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    got = hashes.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(word).alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.int64)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of the filter: all that are, and by chance a few others."""
+    at = hashes.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 #: Bytes of text that a worker turns into Python objects at once; a row above that goes alone.
 SLICE_BYTES = 4 << 20
 

@@ -4,8 +4,12 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from glossa.llm import near_dedup
 from glossa.llm.components import components
-from glossa.llm.near_dedup import drop_near_duplicates, near_duplicates, trees_for
+from glossa.llm.hashing import Words
+from glossa.llm.near_dedup import drop_near_duplicates, near_duplicates, survival, trees_for
 from glossa.llm.shared import Workspace
 
 
@@ -55,10 +59,10 @@ def corpus(seed, n=120):
 
 @pytest.mark.parametrize("pct,limit", [(85, 1024), (80, 1024), (80, 8)])
 def test_as_brute_force(frame, pct, limit):
-    """Also where nodes are so small that they branch and are cut into blocks."""
+    """Also where nodes are so small that they branch and are dealt into blocks."""
     rows = corpus(pct + limit)
     df = frame(rows, "doc_id long, text string")
-    assert got(near_duplicates(df, pct, node_limit=limit, levels=2)) == brute(rows, pct)
+    assert got(near_duplicates(df, pct, node_limit=limit)) == brute(rows, pct)
 
 
 def test_edges(frame):
@@ -89,8 +93,77 @@ def test_drop_keeps_one_of_a_group(frame):
 
 
 def test_trees_reach_the_recall():
-    for s in (0.8, 0.85, 0.9):
-        assert (1 - s**3) ** trees_for(s, 0.999999) <= 2e-6
+    for s in (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 1.0):
+        assert (1 - survival(s)) ** trees_for(s, 0.999999) <= 1e-6
+    with pytest.raises(ValueError):
+        trees_for(0.3, 1 - 1e-15)
+
+
+def test_survival_as_simulated():
+    """A pair whose tokens agree with probability s, followed down a tree."""
+    rng = random.Random(3)
+
+    def together(s, depth):
+        if depth == 0:
+            return True
+        children = int(1 / s) + (rng.random() < 1 / s % 1)
+        return any(rng.random() < s and together(s, depth - 1) for _ in range(children))
+
+    for s in (0.6, 0.8, 0.85):
+        assert abs(sum(together(s, 4) for _ in range(20_000)) / 20_000 - survival(s)) < 0.015
+
+
+def test_recall_at_the_threshold(frame):
+    """5,000 pairs of similarity 80 to 83 in 100 behind one passage that all texts share: each pair is linked, nothing else."""
+    rng = random.Random(11)
+    shared, rows = [f"common{i}" for i in range(12)], []
+    for p in range(5_000):
+        words = [f"p{p}w{i}" for i in range(88)]
+        other = words[: 88 - (changed := rng.randint(8, 10))] + [f"q{p}w{i}" for i in range(changed)]
+        rows += [(2 * p, " ".join(shared + words)), (2 * p + 1, " ".join(shared + other))]
+    df = frame(rows, "doc_id long, text string", clash=False)
+    found = {r.doc_id: r.component_id for r in near_duplicates(df, 80).collect()}
+    linked = sum(found[2 * p] == found[2 * p + 1] == 2 * p for p in range(5_000))
+    assert linked >= 4_950
+    print(f"recall at the threshold: {linked / 5_000}")
+
+
+def test_a_large_group_grows_in_proportion(spark, frame):
+    """Near copies of one text beyond the node limit: one component, by rows in proportion to their number."""
+    made = {}
+    for n in (600, 2400):
+        rng = random.Random(n)
+        words, rows = [f"w{i}" for i in range(200)], []
+        for d in range(n):
+            mine = list(words)
+            for _ in range(rng.randint(1, 2)):
+                mine[rng.randrange(200)] = f"x{d}"
+            rows.append((d, " ".join(mine)))
+        df = frame(rows, "doc_id long, text string", clash=False)
+        base = df.mapInArrow(near_dedup._sketches(5), near_dedup._SKETCH)
+        classes = base.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"))
+        level = near_dedup._roots(classes.withColumn("comp", F.col("cid")), range(3), 0.8)
+        sized = level.join(level.groupBy("key").agg(F.count("*").alias("size")), "key")
+        made[n] = near_dedup._blocks(sized, 64).count(), level.count()
+        assert {r.component_id for r in near_duplicates(df, 80, node_limit=64).collect()} == {0}
+    assert made[2400][0] / made[2400][1] < 1.2 * made[600][0] / made[600][1] + 0.5
+
+
+def test_words_are_hashed_alike_wherever_they_are():
+    """Words of any length, over chunk ends and in any case, against splitting: equal hashes for equal words only."""
+    rng = random.Random(5)
+    words, seen = Words(near_dedup.SEPARATORS), {}
+    vocabulary = ["".join(rng.choice("abé\x00\x1cẞ-9") for _ in range(rng.randint(1, 4))) for _ in range(50)] + ["ab" * 3000, "ba" * 3000, "x" * 70_000, "x" * 70_001, "y" * 4095, "y" * 4096]
+    for n in (0, 1, 2, 5, 30, 300, 20_000):
+        text = "".join(rng.choice(vocabulary[: 50 if n > 300 else None]) + rng.choice([" ", "\n", "\t \r", "\x0b", "\x0c"]) for _ in range(n))
+        text = rng.choice(["", " "]) + (text.rstrip() if n % 2 else text)
+        got, want = words(text).tolist(), text.encode().split()
+        assert len(got) == len(want)
+        for h, w in zip(got, want, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert words("AbC é").tolist() == words("aBc é").tolist() != words("abc É").tolist()
+    assert words(None).tolist() == words("").tolist() == words(" \n").tolist() == []
 
 
 def test_components_of_a_long_path(spark):

@@ -58,6 +58,25 @@ def test_stages_of_nothing_and_of_nulls(spark, sf):
         assert docs.count() <= len(rows)
 
 
+def test_stages_with_clashing_columns_and_long_texts(spark, sf, frame):
+    """Columns named like the operators' own stay as they are; long, repeated and null texts are decided like others."""
+    import random
+
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    text = [" ".join(rng.choice(vocabulary) for _ in range(n)) + "." for n in (60_000, 80, 90, 120, 70, 100)]
+    rows = [*enumerate(text), (1, text[1]), (50, text[2]), (60, None), (61, ""), (None, text[3])]
+    docs = frame(rows, "doc_id long, text string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        got = sorted((r.doc_id for r in out.collect()), key=str)
+        want = sorted((r.doc_id for r in quality(docs).filter("kept").collect()) if k == 0 else (d for d, _ in rows), key=str)
+        if k == 2:
+            want.remove(50)
+        assert got == want, k
+
+
 def norm(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
