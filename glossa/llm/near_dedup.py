@@ -305,7 +305,8 @@ def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit:
     aren't looked at. A path that has used all tokens ends.
     """
     base, more = divmod(1 / threshold, 1)
-    rows = large.filter(F.col("turn") < PERMUTATIONS - 1 - base).join(known.select("cid", "comp", "sig"), "cid")
+    # the members of a large node lie together where it was met: dealt anew, they branch in all tasks
+    rows = large.filter(F.col("turn") < PERMUTATIONS - 1 - base).repartition("cid").join(known.select("cid", "comp", "sig"), "cid")
     enough = F.floor(F.log(F.col("size") / node_limit) / math.log(1 / threshold)) + 1 if threshold < 1 else F.lit(1)
     rows = rows.withColumn("steps", F.least(enough, F.lit(LEAP)))
     for step in range(LEAP):
