@@ -6,29 +6,32 @@ that two texts share contain a fingerprint of both, so joining fingerprints
 misses no shared span; each hit is then extended to the windows around it, which
 are compared whole.
 
-The benchmark is read in blocks of bounded size. Each block's index is
-broadcast, and the documents go through the blocks one after another without a
-shuffle; hits of earlier blocks travel along as runs of word positions.
+The benchmark's fingerprints and windows are tables. Documents are read once
+beside two bitmaps over their hashes, whose size is fixed: a fingerprint that
+the first one lacks is in no item, and of the windows around the others only
+those that the second one has go on. These few rows are joined with the table
+of windows, so that neither texts are shuffled nor the benchmark is held in
+memory, however large it is.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glossa.llm.hashing import WordHashes, ngram_hashes
-from glossa.llm.shared import slices
+from glossa.llm.hashing import Words, distinct, ngram_hashes
+from glossa.llm.shared import Workspace, among, hash_bits, slices
 
 SPAN = 13
 K = 6
-#: Bytes of benchmark text in a block; an item above that is a block of its own.
-BLOCK_BYTES = 8 << 20
 
+#: What parts words: all ASCII but digits and letters.
+SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -55,110 +58,108 @@ def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     return high == grams
 
 
-def _found(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of x among the sorted values, and whether each is there."""
-    at = np.searchsorted(sorted_values, x)
-    at[at == len(sorted_values)] = 0
-    return at, sorted_values[at] == x if len(sorted_values) else np.zeros(len(x), bool)
+_WINDOWS = "item string, m int, g long, print boolean"
 
 
-class Index:
-    """Windows and fingerprints of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str | None]]):
-        hashes = WordHashes()
-        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
-        prints = [np.empty(0, np.uint64)]
-        self.ids = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.ids)}
-        for i, text in items:
-            w = hashes.of(words_of(text))
-            if len(w):
-                by_length.setdefault(min(SPAN, len(w)), []).append((number[i], ngram_hashes(w, min(SPAN, len(w)))))
-            if len(w) >= SPAN:
-                grams = ngram_hashes(w, K)
-                prints.append(grams[fingerprints(grams, SPAN - K + 1)])
-        self.prints = np.unique(np.concatenate(prints))
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m, found in by_length.items():
-            grams = np.concatenate([g for _, g in found])
-            owner = np.repeat([k for k, _ in found], [len(g) for _, g in found])
-            pairs = np.unique(np.rec.fromarrays([grams, owner], names="g,o"))
-            values, starts = np.unique(pairs["g"], return_index=True)
-            self.windows[m] = values, np.r_[starts, len(pairs)], pairs["o"]
-
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, set[str]]:
-        """Word positions inside windows of the block's items, and these items."""
-        hit, items = np.zeros(len(w) + 1, np.int32), set()
-        for m, (values, starts, owner) in self.windows.items():
-            if len(w) < m:
-                continue
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> the hashes of their windows, by their number of words m, and of their fingerprints."""
+    words = Words(SEPARATORS)
+    for batch in slices(batches, rows=64):
+        items, ms, grams, prints = [], [], [], []
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            w = words(text)
+            m = min(SPAN, len(w))
+            found = [(ngram_hashes(w, m), False)] if m else []
             if m == SPAN:
-                grams = ngram_hashes(w, K)
-                at = np.flatnonzero(fingerprints(grams, SPAN - K + 1))
-                at = at[_found(self.prints, grams[at])[1]]
-                if not len(at):
-                    continue
-                near = (at[:, None] + np.arange(K - SPAN, 1)).ravel()
-                near = np.unique(near[(near >= 0) & (near <= len(w) - SPAN)])
-            else:
-                near = np.arange(len(w) - m + 1)
-            place, there = _found(values, ngram_hashes(w, m)[near])
-            np.add.at(hit, near[there], 1)
-            np.add.at(hit, near[there] + m, -1)
-            for p in np.unique(place[there]):
-                items.update(self.ids[o] for o in owner[starts[p] : starts[p + 1]])
-        return np.cumsum(hit[:-1]) > 0, items
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded size; the driver holds one at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").cast("string").alias("t")).distinct()
-    block: list[tuple[str, str | None]] = []
-    size = 0
-    for i, t in rows.toLocalIterator():
-        n = len(t or "")
-        if block and size + n > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((i, t))
-        size += n
-    yield block
-
-
-_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def _through(index, first: bool, last: bool):
-    """Rows with text, and after the first block runs and items, through one block."""
+                short = ngram_hashes(w, K)
+                found.append((short[fingerprints(short, SPAN - K + 1)], True))
+            for g, is_print in found:
+                g = distinct(g)
+                items += [item] * len(g)
+                ms.append(np.full(len(g), m, np.int32))
+                grams.append(g.view(np.int64))
+                prints.append(np.full(len(g), is_print))
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(np.concatenate(ms)), pa.array(np.concatenate(grams)), pa.array(np.concatenate(prints))], [x.split()[0] for x in _WINDOWS.split(", ")])
+
+
+class Index:
+    """A benchmark's windows as a table (m, g, item), the bitmaps over its hashes, and the lengths of its short items."""
+
+    def __init__(self, benchmark: DataFrame, work: Workspace):
+        items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+        table = work.table(items.mapInArrow(_item_windows, _WINDOWS), "windows")
+        windows = table.filter("not print")
+        self.windows = windows.select("m", "g", "item").distinct()
+        self.short = sorted(r["m"] for r in windows.filter(F.col("m") < SPAN).select("m").distinct().collect())  # 12 at most
+        self.bits = benchmark.sparkSession.sparkContext.broadcast((hash_bits(table.filter("print"), "g"), hash_bits(windows, "g")))
+
+
+_SCANNED = "d1 long, d2 long, n_words long, candidates array<struct<m:int,at:int,g:bigint>>"
+_CANDIDATE = pa.struct([("m", pa.int32()), ("at", pa.int32()), ("g", pa.int64())])
+
+
+def _scanned(bits, short: list[int], columns: list[str]):
+    """Texts -> their number of words, and the windows that the benchmark may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        words, (prints, windows) = Words(SEPARATORS), bits.value
         for batch in slices(batches):
-            earlier = [(None, None)] * batch.num_rows if first else zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            rows: list[tuple] = []
-            for text, (runs, items) in zip(batch.column("text").to_pylist(), earlier, strict=True):
-                w = hashes.of(words_of(text))
-                hit, found = index.value.hits(w)
-                for a, b in zip(runs[::2], runs[1::2], strict=True) if runs else ():
-                    hit[a:b] = True
-                found |= set(items or ())
-                if last:
-                    n = int(hit.sum())
-                    rows.append((len(w), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0 and 20 * n >= len(w)))
-                else:
-                    rows.append((np.flatnonzero(np.diff(np.r_[False, hit, False])).tolist(), sorted(found)))
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"] if last else ["runs", "items"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if last else [pa.list_(pa.int32()), pa.list_(pa.string())]
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
-            old = ["doc_id"] if last else ["doc_id", "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in old], *made], [*old, *names])
+            counts, ends, found = [], [0], [[], [], []]
+            for text in batch.column("text").to_pylist():
+                w = words(text)
+                n = 0
+                for m in [*short, SPAN]:
+                    if len(w) < m:
+                        continue
+                    if m == SPAN:
+                        grams = ngram_hashes(w, K)
+                        at = np.flatnonzero(fingerprints(grams, SPAN - K + 1))
+                        at = at[among(prints, grams[at])]
+                        if not len(at):
+                            continue
+                        near = (at[:, None] + np.arange(K - SPAN, 1)).ravel()
+                        near = np.unique(near[(near >= 0) & (near <= len(w) - SPAN)])
+                    else:
+                        near = np.arange(len(w) - m + 1)
+                    g = ngram_hashes(w, m)[near]
+                    there = among(windows, g)
+                    k = int(there.sum())
+                    if k:
+                        n += k
+                        for column, values in zip(found, (np.full(k, m, np.int32), near[there].astype(np.int32), g[there].view(np.int64)), strict=True):
+                            column.append(values)
+                counts.append(len(w))
+                ends.append(ends[-1] + n)
+            parts = [pa.array(np.concatenate(c) if c else [], t.type) for c, t in zip(found, _CANDIDATE, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_CANDIDATE)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(counts, pa.int64()), lists], [*columns, "n_words", "candidates"])
 
     return run
 
 
-def _indexes(benchmark: DataFrame) -> list:
-    return [benchmark.sparkSession.sparkContext.broadcast(Index(b)) for b in _blocks(benchmark)]
+def _digest() -> list:
+    """128 bits of a text: what equal texts are told by."""
+    return [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2")]
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, work: Workspace, columns: list[str]) -> DataFrame:
+    """Rows with d1, d2, text -> their ``columns``, n_words, n_hit, items, contaminated."""
+    index = Index(benchmark, work)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema if f.name not in ("d1", "d2")]
+    scanned = work.table(docs.select(*columns, "text").mapInArrow(_scanned(index.bits, index.short, columns), ", ".join([*kinds, _SCANNED])), "scanned")
+    # equal texts are one from here on, so a text with many copies is joined once
+    text = ["d1", "d2"]
+    c = scanned.select(*text, F.explode("candidates").alias("c")).select(*text, "c.*").distinct()
+    spans = c.join(index.windows.select("m", "g").distinct(), ["m", "g"]).select(*text, "at", (F.col("at") + F.col("m")).alias("end"))
+    earlier = W.partitionBy(*text).orderBy("at", "end").rowsBetween(W.unboundedPreceding, -1)  # one text's windows
+    fresh = F.greatest(F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(earlier), F.lit(0))), F.lit(0))
+    hit = spans.withColumn("fresh", fresh).groupBy(*text).agg(F.sum("fresh").cast("long").alias("hit"))
+    items = c.select(*text, "m", "g").distinct().join(index.windows, ["m", "g"]).groupBy(*text).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = work.table(hit.join(items, text), "found")
+    out = scanned.drop("candidates").join(found, text, "left")
+    out = out.withColumn("n_hit", F.coalesce("hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select(*columns, "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -167,34 +168,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A window is SPAN consecutive words of an item, or the whole of a shorter
     item that has words. A document word inside an occurrence of a window is
     hit; the document is contaminated if 20 * n_hit >= n_words > 0 and n_hit >
-    0. Null and empty texts have no words and are never contaminated. Rows of
-    documents are independent: repeats and null ids pass through. Repeated
-    items count once by id; an item whose id is null goes by the name "null".
-    With an empty benchmark nothing is hit. Other columns are ignored.
+    0. Null and empty texts have no words and are never contaminated. Texts of
+    any length are read whole. Rows of documents are independent: repeats and
+    null ids pass through, and equal texts get equal results. Repeated items
+    count once by id; an item whose id is null goes by the name "null". With an
+    empty benchmark nothing is hit; an empty table gives none. Other columns
+    are ignored. Windows are told apart by 64-bit, texts by 128-bit hashes.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    indexes = _indexes(benchmark)
-    for k, index in enumerate(indexes):
-        last = k == len(indexes) - 1
-        out = out.mapInArrow(_through(index, k == 0, last), "doc_id long, " + (_RESULT if last else "text string, runs array<int>, items array<string>"))
-    return out
+    work = Workspace(docs.sparkSession, "decontamination")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = _judged(rows.select("doc_id", "text", *_digest()), benchmark, work, ["doc_id", "d1", "d2"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    indexes = _indexes(benchmark)
+    """The rows of docs that are not contaminated, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches):
-            keep = []
-            for text in batch.column("text").to_pylist():
-                w = hashes.of(words_of(text))
-                hit = np.zeros(len(w), bool)
-                for index in indexes:
-                    hit |= index.value.hits(w)[0]
-                n = int(hit.sum())
-                keep.append(not (n > 0 and 20 * n >= len(w)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Only the text of a row decides: repeated rows and null ids stay or go alike,
+    null and empty texts stay. An empty table gives none, an empty benchmark all
+    rows. Contaminated texts are few; their hashes are joined, no text is.
+    """
+    work = Workspace(docs.sparkSession, "decontamination")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"))
+    gone = _judged(rows.select("text", *_digest()), benchmark, work, ["d1", "d2"]).filter("contaminated").select("d1", "d2").distinct()
+    gone = work.table(gone, "gone")
+    same = (F.xxhash64(text) == gone["d1"]) & (F.xxhash64(F.lit("second"), text) == gone["d2"])
+    return docs.join(gone, same, "left_anti")

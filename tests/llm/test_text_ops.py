@@ -8,6 +8,7 @@ import pytest
 
 from glossa.llm import decontaminate as D
 from glossa.llm import quality as Q
+from glossa.llm import shared
 from glossa.llm import toxicity as X
 from glossa.llm.pieces import LONG, PieceModel, encode_and_decode
 from glossa.llm.queries import PIECE_MODEL, tokenizer_path
@@ -55,10 +56,10 @@ def contaminated():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [8 << 20, 200])
-def test_winnowing_as_brute_force(frame, contaminated, monkeypatch, block):
-    """In one block and in several."""
-    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_winnowing_as_brute_force(frame, contaminated, monkeypatch, bits):
+    """Also where the bitmaps are full, as they would be with a huge benchmark."""
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
     docs, items = contaminated
     df, bench = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
     got = sorted((tuple(r) for r in D.contamination(df, bench).collect()), key=str)
@@ -68,6 +69,19 @@ def test_winnowing_as_brute_force(frame, contaminated, monkeypatch, block):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((x[0] for x in brute(docs, items) if not x[5]), key=str)
 
 
+def test_winnowing_of_a_large_benchmark(frame):
+    """Items beyond number take no more Python stages than a few, and texts are never shuffled."""
+
+    def plan(n):
+        items = frame([(i, " ".join(f"i{i}w{j}" for j in range(60))) for i in range(n)], "item_id long, text string", clash=False)
+        docs = frame([(1, " ".join(f"i{n - 1}w{j}" for j in range(5, 50)))], "doc_id long, text string", clash=False)
+        out = D.contamination(docs, items)
+        assert [tuple(r)[1:4] for r in out.collect()] == [(45, 45, 1)]
+        return out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+    assert plan(3) == plan(3000) <= 2
+
+
 def test_winnowing_of_nothing(frame):
     none = frame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in D.contamination(frame([(1, "a b")], "doc_id long, text string"), none).collect()] == [(2, 0, 0)]
