@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm.byte_pairs import encode_and_decode_words
 from glossa.llm.chat import collapse_and_render
 from glossa.llm.decontaminate import contamination
+from glossa.llm.infill import infill, restored
 from glossa.llm.media import document_media
 from glossa.llm.near_dedup import near_duplicates
 from glossa.llm.pieces import encode_and_decode
@@ -25,6 +27,7 @@ from glossa.llm.warc import archive_and_read
 
 #: The vocabulary file's name; where the files lie is a parameter of the operator.
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -175,6 +178,29 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and restored from that.
+
+    One row for each row of documents. Null and empty texts, and texts that
+    contain a sentinel, stay plain; texts of any length are read whole; repeated
+    rows get the same cuts, a null doc_id those of an empty id. Other columns
+    are ignored; an empty table gives none.
+    """
+    out = infill(read_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level BPE ids of every document, and what they decode to.
+
+    One row for each row of documents. Null texts are as empty ones, with no
+    ids; texts of any length are encoded whole; repeated rows and null ids pass
+    through; other columns are ignored; an empty table gives none.
+    """
+    return encode_and_decode_words(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_sequences": op1_media_sequences,
     "op2_snapshot_collapse": op2_snapshot_collapse,
@@ -186,6 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op9_weak_label_quality": op9_weak_label_quality,
     "op10_winnowing": op10_winnowing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_pairs": op13_byte_pairs,
 }
 
 ORACLE: dict[str, str] = {
@@ -276,5 +304,19 @@ item AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS id
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id
+""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::BIGINT % (length(text) + 1) AS a, ('0x' || h[9:16])::BIGINT % (length(text) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, substring(text, 1, least(a, b)) AS pre, substring(text, least(a, b) + 1, abs(a - b)) AS mid, substring(text, greatest(a, b) + 1) AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
 """,
 }
