@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.byte_pairs import encode_and_decode_words
 from glossa.llm.chat import collapse_and_render
+from glossa.llm.collocations import collocations
 from glossa.llm.decontaminate import contamination
 from glossa.llm.infill import infill, restored
 from glossa.llm.media import document_media
@@ -178,6 +179,16 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language.
+
+    Null texts are as empty ones, a null lang is und; texts of any length are
+    read whole; repeated rows count each; ties in score and count go by the
+    phrase's bytes. Other columns are ignored; an empty table gives none.
+    """
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its middle moved to the end, and restored from that.
 
@@ -212,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_ftrl": op8_toxicity_ftrl,
     "op9_weak_label_quality": op9_weak_label_quality,
     "op10_winnowing": op10_winnowing,
+    "op11_collocations": op11_collocations,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_byte_pairs": op13_byte_pairs,
 }
@@ -304,6 +316,28 @@ item AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS id
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN item ON item.doc_id = d.doc_id
+""",
+    "op11_collocations": rf"""
+WITH p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, m, w[i:i + m - 1] AS ph, count(*) AS a FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS t(m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT * FROM g WHERE m > 1),
+cut AS (
+  SELECT c.lang, c.ph, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN g x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN g y ON y.lang = c.lang AND y.ph = c.ph[k + 1:c.m]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, ph[i:i + j - 1] AS ph, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c WHERE m > 2)) GROUP BY ALL),
+free AS (
+  SELECT b.*, array_to_string(b.ph, ' ') AS phrase FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.ph = b.ph
+  WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * b.a::HUGEINT)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM free JOIN words USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """,
     "op12_fill_in_middle": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
