@@ -6,7 +6,6 @@ pair of blocks of a larger one, so that no task holds it and no pair is lost.
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -16,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions.sequences import lcs_length, operations
-from glossa.sources.storage import shared_dir, written
+from glossa.operators.components import components
+from glossa.sources.storage import written
 
 
 def agglomerate(n: int, similarity: Callable[[int, int], float], threshold: float, link: str = "single") -> tuple[list[int], list[tuple[int, float]]]:
@@ -105,37 +105,6 @@ def linked(df: DataFrame, group: str, item: str, tokens: str, threshold: float,
     return block_pairs(df.select(group, item, tokens), group, item, most).groupBy(group, "lo", "hi").applyInPandas(run, f"g {g}, u {i}, v {i}")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(g, u, v) -> (g, u, root): the least node that links within g reach, by large and small stars.
-
-    Each round is written to the shared folder, which cuts its lineage; no task holds a component.
-    """
-    spark = edges.sparkSession
-    where = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{where}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.filter("v > u").join(low, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("g", "u").agg(F.min("v").alias("m"))
-        moved = e.join(low, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(low.select("g", "u", F.col("m").alias("v"))).filter("u > v").distinct()
-
-    e, before = kept(edges.select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges0"), None
-    for k in range(1, rounds + 1):
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("g", "u", "v")), F.bit_xor(F.xxhash64("v", "u", "g"))).first())
-        if now == before or not now[0]:
-            return e.select("g", "u", F.col("v").alias("root"))
-        before, e = now, kept(small(large(e)), f"edges{k}")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def cluster_groups(df: DataFrame, group: str, item: str, tokens: str, threshold: float, link: str = "single", most: int = 500) -> DataFrame:
     """group, block, item, cluster by subsequence similarity of token arrays (C1); clusters are numbered by their least items.
 
@@ -144,7 +113,7 @@ def cluster_groups(df: DataFrame, group: str, item: str, tokens: str, threshold:
     agglomerated in one call. block is always 0: clusters span the whole group.
     """
     df = df.select(group, item, tokens)
-    roots = components(linked(df, group, item, tokens, threshold, most)).select(F.col("g").alias(group), F.col("u").alias(item), "root")
+    roots = components(linked(df, group, item, tokens, threshold, most), "g").select(F.col("g").alias(group), F.col("node").alias(item), "root")
     named = df.join(roots, [group, item], "left").withColumn("root", F.coalesce("root", item)).filter(F.col(group).isNotNull())
     g, i = _kinds(df, group, item)
     if link != "single":

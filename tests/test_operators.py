@@ -282,3 +282,18 @@ def test_late_rows_fall_out_of_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:01:00", "x"), ("2024-01-01 00:04:00", "x"), ("2024-01-01 00:06:00", "x")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r.n for r in streaming.windowed(df, "ts", ["k"], "5 minutes").collect()) == [1, 2]
     assert [r.n for r in streaming.sessions(df, "ts", "k", "10 minutes").collect()] == [3]
+
+
+def test_components_with_a_hub_and_groups(spark):
+    """A hub with most of the links, chains, self links and nulls, within groups and without."""
+    from glossa.operators.components import components
+
+    hub = [("a", 500, i) for i in range(500)] + [("a", 499, 1000), ("a", 1000, 1001)]
+    chain = [("b", i, i + 1) for i in range(20)] + [("b", 100, 100), ("b", None, 3), (None, 1, 2)]
+    edges = spark.createDataFrame(hub + chain, "g string, u long, v long")
+    found = {(r.g, r.node): r.root for r in components(edges, "g").collect()}
+    assert {found["a", i] for i in [*range(501), 1000, 1001]} == {0}
+    assert {found["b", i] for i in range(21)} == {0} and ("b", 100) not in found and len(found) >= 503 + 21
+    plain = {r.node: r.root for r in components(edges.drop("g")).collect()}
+    assert set(plain.values()) == {0} and len(plain) == 503
+    assert components(edges.filter("u < 0")).count() == 0
