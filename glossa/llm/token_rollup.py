@@ -81,27 +81,36 @@ class Rollup:
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over the committed batches."""
         compacted, batches = self._compacted(), self._batches()
+        return self._sum_of(compacted, batches)
+
+    def _sum_of(self, compacted: str | None, batches: dict[str, str]) -> DataFrame:
+        """Totals of one listing: a compaction and the batches that it doesn't know by name."""
         known = {r["name"] for r in self._old_names(compacted).filter(F.col("name").isin(list(batches))).collect()} if batches else set()
         return self._sum(compacted, [f for b, f in sorted(batches.items()) if b not in known])
 
     def compact(self) -> None:
         """Sum up what is committed; a batch that was summed up is still known by its name.
 
-        The old files go after the commit of the new table, so a run that dies
-        on the way changes nothing that counts.
+        The batches are listed once: one that is committed meanwhile is neither
+        summed up nor named, and counts as before. Commit files go after the
+        commit of the new table, so a run that dies on the way changes nothing
+        that counts. The folders of the batches go with the next compaction:
+        totals that were listed before this one can still read them.
         """
         before, batches = self._compacted(), self._batches()
         if not batches:
             return
         name = f"{len(commits(self.spark, f'{self.root}/compact/*.commit')):012d}"
         folder = f"{name}-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.root}/compact/{folder}/totals")
+        self._sum_of(before, batches).write.parquet(f"{self.root}/compact/{folder}/totals")
         names = self._old_names(before).unionByName(self.spark.createDataFrame([(b,) for b in batches], "name string")).distinct()
         names.write.parquet(f"{self.root}/compact/{folder}/names")
+        self.spark.createDataFrame([(f,) for f in batches.values()], "folder string").coalesce(1).write.parquet(f"{self.root}/compact/{folder}/folders")
         if commit(self.spark, f"{self.root}/compact/{name}.commit", folder):
-            for b, f in batches.items():
+            for b in batches:
                 remove(self.spark, f"{self.root}/batches/{b}.commit")
-                remove(self.spark, f"{self.root}/batches/{f}")
+            for r in self.spark.read.schema("folder string").parquet(f"{self.root}/compact/{before}/folders").collect() if before else []:
+                remove(self.spark, f"{self.root}/batches/{r['folder']}")
 
 
 _ENCODINGS: dict = {}

@@ -266,6 +266,30 @@ def test_compaction_changes_nothing(spark):
     assert {(x.lang, x.n_docs) for x in r.totals().collect()} == {("en", 3), ("de", 3)}
 
 
+def test_a_batch_that_is_committed_during_a_compaction_counts_once(spark):
+    r = rollup(spark)
+    schema = "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long"
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", "insert", n, None)], schema)
+    assert r.apply("a", rows(10))
+    summed = r._sum_of
+
+    def late(compacted, batches):
+        r._sum_of = summed
+        assert r.apply("b", rows(5))  # after the listing, before the sum
+        return summed(compacted, batches)
+
+    r._sum_of = late
+    r.compact()
+    assert r.committed() == ["a", "b"] and sorted(r._batches()) == ["b"]
+    assert [(x.n_docs, x.n_tokens) for x in r.totals().collect()] == [(2, 15)]
+    lazy = r.totals()
+    r.compact()
+    assert [(x.n_docs, x.n_tokens) for x in lazy.collect()] == [(2, 15)]  # what was listed before is still there
+    assert r.apply("c", rows(1))
+    r.compact()
+    assert [(x.n_docs, x.n_tokens) for x in r.totals().collect()] == [(3, 16)] and r.committed() == ["a", "b", "c"]
+
+
 def test_of_two_writers_one_commits(spark):
     path = f"{shared_dir(spark)}/commit-{uuid.uuid4().hex}"
     assert storage.commit(spark, path, "first") and not storage.commit(spark, path, "second")
