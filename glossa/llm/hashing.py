@@ -25,7 +25,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """bytes -> xxh64, filled on demand and emptied beyond ``limit`` entries."""
+    """bytes -> xxh64, filled on demand and emptied beyond ``limit`` entries; words of more than ``longest`` bytes aren't kept."""
+
+    longest = 64
 
     def __init__(self, limit: int = 150_000):
         super().__init__()
@@ -33,12 +35,13 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        self[word] = value
+        if len(word) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -247,10 +247,11 @@ class PieceModel:
         for w in new.intersection(self.older):
             self.ids_of[w] = self.older[w]
         ordered = list(new.difference(self.older))
-        for w, ids in zip(ordered, self.encode_fragments([w[1:].replace(" ", SPACE) if w[:1] == PLAIN else SPACE + w for w in ordered]), strict=True):
-            self.ids_of[w] = ids
+        fresh = dict(zip(ordered, self.encode_fragments([w[1:].replace(" ", SPACE) if w[:1] == PLAIN else SPACE + w for w in ordered]), strict=True))
         for k in open_:
-            found[k] = [self.ids_of[w] if ids is None else ids for w, ids in zip(cut[k], found[k], strict=True)]
+            found[k] = [(fresh[w] if w in fresh else self.ids_of[w]) if ids is None else ids for w, ids in zip(cut[k], found[k], strict=True)]
+        # a long fragment may be a whole text, and is hardly met again: it isn't remembered
+        self.ids_of.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
         out = []
         for each in found:
             ids = np.frombuffer(b"".join(each), self.code).tolist()
@@ -306,8 +307,10 @@ def encode_and_decode(docs: DataFrame, model_path: str, keep_ids: bool = False)
     No begin or end ids. A null text is as an empty one: no ids, decoded to the
     empty text. Rows are independent, so repeated rows, ties and null ids pass
     through as they are; other columns are ignored; an empty table gives none.
-    Memory is bounded by 1,024 texts and the fragment table, whatever the input;
-    very long texts without spaces go to the heap, in n log n steps.
+    Memory is bounded by a slice of texts (4 MB, or one text above that) and the
+    fragment table, which has at most two times 150,000 and a slice's fragments
+    of up to LONG characters; very long texts without spaces go to the heap, in
+    n log n steps, and aren't remembered.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_coded(model_path, keep_ids), schema)

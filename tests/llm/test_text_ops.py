@@ -234,3 +234,31 @@ def test_quality_edges(frame):
     kept = Q.keep_good(df)
     assert kept.columns == df.columns and 902 not in {r.doc_id for r in kept.collect()}
     assert Q.quality(frame([], "doc_id long, text string")).collect() == []
+
+
+# -- bounded tables of workers -------------------------------------------------------------------
+
+
+def test_long_fragments_are_not_remembered():
+    model = PieceModel(tokenizer_path(PIECE_MODEL))
+    rng = random.Random(9)
+    held = lambda: sum(len(w) + len(ids) for half in (model.ids_of, model.older) for w, ids in half.items())
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(20_000)) for _ in range(12)]
+    model.encode_batch(["some words first"])
+    before = held()
+    for t in texts:
+        (ids, _), (again, _) = model.encode_batch([t, t])
+        assert ids == again == model.library.encode(t)
+    assert held() - before < 100
+    (ids, _), *_ = model.encode_batch([texts[0] + " words first " + texts[1]])
+    assert ids == model.library.encode(texts[0] + " words first " + texts[1])
+
+
+def test_long_words_are_not_remembered():
+    from glossa.llm.hashing import WordHashes
+
+    hashes = WordHashes(limit=10)
+    words = [b"w%d" % k for k in range(25)] + [b"x" * 1000, b"w1"]
+    got = hashes.of(words).tolist()
+    assert got[1] == got[-1] and len(set(got)) == 26
+    assert len(hashes) <= 10 and max(map(len, hashes)) <= 64
