@@ -45,7 +45,8 @@ def numbered(said: DataFrame, work: Workspace) -> DataFrame:
     tied = with_ordinal(said.join(ties, number).distinct(), [*number, "role", "text"], "tie").select(*_TURN, "tie")
     order = each.join(tied, _TURN, "left").withColumn("tie", F.coalesce("tie", F.lit(0)))
     order = with_ordinal(order, [*number, "tie"], "ord").drop("tie")
-    span = order.groupBy("conv_id").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    # written: the join's shuffles are then its own, and a conversation with most of all turns is split
+    span = work.table(order.groupBy("conv_id").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "span")
     return order.join(span, "conv_id").select(*_TURN, (F.col("ord") - F.col("first") + 1).alias("k"), "n")
 
 
