@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import Workspace, slices
+from glossa.sources.storage import written
 
 #: An archive is closed beyond this size.
 ARCHIVE_BYTES = 256 << 20
@@ -176,7 +177,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = p.groupBy("sha1").agg(F.min("page_id").alias("first"))
+    # written: the join's shuffles are then its own, and the pages of a payload that very many have are split
+    first = written(p.groupBy("sha1").agg(F.min("page_id").alias("first")), "payloads")
     both = p.join(first, "sha1")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return both.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_archived(folder, date), _CAPTURE)
