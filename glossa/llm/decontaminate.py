@@ -58,6 +58,9 @@ def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
     return high == grams
 
 
+#: What tells the item sets of windows apart.
+CLASS = ["c1", "c2", "size"]
+
 _WINDOWS = "item string, m int, g long, print boolean"
 
 
@@ -84,13 +87,22 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Index:
-    """A benchmark's windows as a table (m, g, item), the bitmaps over its hashes, and the lengths of its short items."""
+    """A benchmark's windows and their items as tables, the bitmaps over its hashes, and the lengths of its short items.
+
+    Windows that the same items have are of one class, so that a document's
+    windows are joined with classes, and only these with items.
+    """
 
     def __init__(self, benchmark: DataFrame, work: Workspace):
         items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
         table = work.table(items.mapInArrow(_item_windows, _WINDOWS), "windows")
         windows = table.filter("not print")
-        self.windows = windows.select("m", "g", "item").distinct()
+        each = windows.select("m", "g", "item").distinct()
+        digest = [F.bit_xor(F.xxhash64("item")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("second"), "item")).alias("c2"), F.count("*").alias("size")]
+        # written: a window that very many documents have is then split where it is joined
+        self.windows = work.table(each.groupBy("m", "g").agg(*digest), "by_window")
+        one = self.windows.groupBy(*CLASS).agg(F.min(F.struct("m", "g")).alias("w")).select(*CLASS, "w.*")
+        self.classes = work.table(each.join(one, ["m", "g"]).select(*CLASS, "item"), "classes")
         self.short = sorted(r["m"] for r in windows.filter(F.col("m") < SPAN).select("m").distinct().collect())  # 12 at most
         self.bits = benchmark.sparkSession.sparkContext.broadcast((hash_bits(table.filter("print"), "g"), hash_bits(windows, "g")))
 
@@ -151,11 +163,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame, work: Workspace, columns: lis
     # equal texts are one from here on, so a text with many copies is joined once
     text = ["d1", "d2"]
     c = scanned.select(*text, F.explode("candidates").alias("c")).select(*text, "c.*").distinct()
-    spans = c.join(index.windows.select("m", "g").distinct(), ["m", "g"]).select(*text, "at", (F.col("at") + F.col("m")).alias("end"))
+    matched = work.table(c.join(index.windows, ["m", "g"]), "matched")
+    spans = matched.select(*text, "at", (F.col("at") + F.col("m")).alias("end"))
     earlier = W.partitionBy(*text).orderBy("at", "end").rowsBetween(W.unboundedPreceding, -1)  # one text's windows
     fresh = F.greatest(F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(earlier), F.lit(0))), F.lit(0))
     hit = spans.withColumn("fresh", fresh).groupBy(*text).agg(F.sum("fresh").cast("long").alias("hit"))
-    items = c.select(*text, "m", "g").distinct().join(index.windows, ["m", "g"]).groupBy(*text).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = matched.select(*text, *CLASS).distinct().join(index.classes, CLASS).groupBy(*text).agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = work.table(hit.join(items, text), "found")
     out = scanned.drop("candidates").join(found, text, "left")
     out = out.withColumn("n_hit", F.coalesce("hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
