@@ -386,6 +386,14 @@ def _opened(floor: int):
     return run
 
 
+def _by_slot(slots: int, rows: Iterator) -> np.ndarray:
+    """The counts of one perfect hash, no more than its slots, from rows with block, places and counts."""
+    out = np.zeros(slots, np.int64)
+    for r in rows:
+        out[r["block"] * BLOCK + np.frombuffer(r["places"], np.uint16).astype(np.int64)] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
 def _read_by_slot(parts: int, part: int, state):
     """Fills in the counts of those hashes that lie in one range, read by slot."""
 
@@ -475,9 +483,7 @@ def collocations(docs: DataFrame, most: int = 2000, floor: int = 30, slots: int
         rows = each.mapInArrow(_opened(floor), _PHRASE)
         phrases = rows if phrases is None else phrases.unionByName(rows)
     for k, hashed in parts.items():
-        totals = np.zeros(len(hashed.value), np.int64)  # no longer than ``slots``
-        for r in sums[k].select("block", "places", "counts").toLocalIterator():
-            totals[r["block"] * BLOCK + np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["counts"], np.int64)
+        totals = _by_slot(len(hashed.value), sums[k].select("block", "places", "counts").toLocalIterator())
         phrases = phrases.mapInArrow(_read_by_slot(hashes.parts, k, spark.sparkContext.broadcast((hashed.value, totals))), _PHRASE)
     # the first hash is the phrase's own, then come first part and rest of each cut
     value = lambda k: F.get("values", k).cast("decimal(20,0)")

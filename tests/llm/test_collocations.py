@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glossa.llm.collocations import Scan, _tables, collocations
+from glossa.llm.collocations import BLOCK, Scan, _by_slot, _tables, collocations
 from glossa.llm.perfect_hash import PerfectHash
 
 
@@ -48,6 +48,12 @@ def test_scan_of_long_and_odd_texts():
     assert len(Scan(b"", _tables(0)).key) == 0 and len(Scan(b" ,. ", _tables(0)).key) == 0
 
 
+def test_counts_of_several_blocks():
+    rows = [{"block": b, "places": np.array([0, 7], np.uint16).tobytes(), "counts": np.array([b + 1, 9], np.int64).tobytes()} for b in (0, 2)]
+    out = _by_slot(3 * BLOCK, rows)
+    assert out[[0, 7, 2 * BLOCK, 2 * BLOCK + 7]].tolist() == [1, 9, 3, 9] and out.sum() == 22
+
+
 def plain_collocations(rows, most, floor):
     counts, words = {}, Counter()
     for lang, text in rows:
