@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import vectors as V
+from glossa.operators.vector_index import exhaustive
 
 
 def tfidf(tokens: DataFrame, doc: str, word: str) -> DataFrame:
@@ -65,16 +66,8 @@ def cosine_pairs(vectors: DataFrame, item: str, term: str, weight: str, df: Data
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """q, key, cosine, rank: the k nearest other vectors of each query.
-
-    Queries are a stated set: each block of vectors meets all of them, each task
-    keeps its k best a query before anything is shuffled.
-    """
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("_e"))
-    pairs = vectors.crossJoin(q).filter(F.col(key) != F.col("q")).select("q", key, F.round(V.dense_cosine("_e", vector), 6).alias("cosine"))
-    from glossa.operators.splits import top_per_group
-
-    return top_per_group(pairs, ["q"], [F.desc("cosine"), F.asc(key)], k)
+    """q, key, cosine, rank: the k nearest other vectors of each query, a stated set, all of them compared in blocks."""
+    return exhaustive(queries, vectors, key, vector, k)
 
 
 def unigram_perplexity(tokens: DataFrame, doc: str, word: str) -> DataFrame:

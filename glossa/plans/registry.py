@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import additions, corpus, events, further, models, pages, secondary, textual
+from glossa.plans import additions, corpus, events, further, indexes, models, pages, secondary, textual
 
-_PARTS = (corpus, textual, pages, models, events, secondary, further, additions)
+_PARTS = (corpus, textual, pages, models, events, secondary, further, additions, indexes)
 FLAGSHIP = "corpus_stats"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
