@@ -195,7 +195,10 @@ def leaked_any(contexts: DataFrame, references: DataFrame, context: str, referen
     # equal contexts are told by digests, so that no join deals out their words
     digest = F.unhex(F.md5(F.array_join(context, "\0")))
     said = contexts.select(digest.alias("_h"), F.col(context).alias("_c"))
-    pairs = said.select("_h", "_c", F.explode(F.array_distinct("_c")).alias("_w")).join(keys, "_w").filter(F.size("_c") > most * F.col("_l")).join(refs, "_id")
+    some = said.select("_h", F.size("_c").alias("_n"), F.explode(F.array_distinct("_c")).alias("_w")).join(keys, "_w")
+    some = some.filter(F.col("_n") > most * F.col("_l")).select("_h", "_id").distinct()
+    # the words are fetched once for each context that shares a key with some reference
+    pairs = some.join(said.dropDuplicates(["_h"]), "_h").join(refs, "_id")
     bad = pairs.filter(leaks("_c", "_r")).select("_h").distinct()
     return contexts.withColumn("_h", digest).join(bad, "_h", "left_anti").drop("_h")
 

@@ -1,9 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a join or an aggregation with map-side combining. The least
-neighbours of a round are written before they are joined: both inputs of a join
-are then shuffles of their own, so that Spark splits a hub, a node with a great
-part of all edges, over several tasks.
+neighbours of a round are written before they are joined, unless there are few
+links: both inputs of a join are then shuffles of their own, so that Spark
+splits a hub, a node with a great part of all links, over several tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from glossa.sources.storage import remove, shared_dir
 
 
+#: Links up to which all of them may be one node's without being split.
+SMALL = 1 << 19
+
+
 def components(edges: DataFrame, group: str | None = None, rounds: int = 60) -> DataFrame:
     """(u, v) links, within ``group`` if there is one -> (group, node, root) for every node of a link.
 
@@ -34,12 +38,14 @@ def components(edges: DataFrame, group: str | None = None, rounds: int = 60) ->
     def turned(df: DataFrame, u: str, v: str) -> DataFrame:
         return df.select(*by, F.col(u).alias("u"), F.col(v).alias("v"))
 
-    def stars(e: DataFrame, k: int) -> DataFrame:
+    def stars(e: DataFrame, k: int, links: int) -> DataFrame:
         """First each node's larger neighbours, then all of its neighbours, move to its least one."""
+        # a hub of so few links is no burden on a task, and its round is one job
+        own = kept if links > SMALL else lambda df, name: df
         both = e.unionByName(turned(e, "v", "u"))
-        low = kept(both.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m")), f"low{k}")
-        large = kept(turned(both.filter("v > u").join(low, key), "v", "m").distinct(), f"large{k}")
-        low = kept(large.groupBy(*key).agg(F.min("v").alias("m")), f"least{k}")
+        low = own(both.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m")), f"low{k}")
+        large = own(turned(both.filter("v > u").join(low, key), "v", "m").distinct(), f"large{k}")
+        low = own(large.groupBy(*key).agg(F.min("v").alias("m")), f"least{k}")
         moved = turned(large.join(low, key), "v", "m")
         return moved.unionByName(turned(low, "u", "m")).filter("u > v").distinct()
 
@@ -49,7 +55,7 @@ def components(edges: DataFrame, group: str | None = None, rounds: int = 60) ->
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64(*by, "u", "v")), F.bit_xor(F.xxhash64("v", "u", *by))).first())
         if now == before or not now[0]:
             break
-        before, e = now, kept(stars(e, k), f"edges{k}")
+        before, e = now, kept(stars(e, k, now[0]), f"edges{k}")
         for name in (f"edges{k - 1}", f"low{k}", f"large{k}", f"least{k}"):
             remove(spark, f"{where}/{name}")
     else:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.sources.storage import written
+
 #: Characters of vocabulary in one broadcast; more of it is searched for block by block.
 BLOCK_CHARS = 4 << 20
 
@@ -86,6 +88,39 @@ def find_terms(df: DataFrame, key: str, text: str, vocabulary: DataFrame, term:
     return rows.select(key, "found").mapInArrow(choose, f"`{key}` {kind}, start int, term string")
 
 
+def find_phrases(df: DataFrame, key: str, words: str, vocabulary: DataFrame, term: str) -> DataFrame:
+    """key, start, term of the vocabulary's terms in arrays of words (J14): longest first, matches consumed; lower case on both sides.
+
+    start counts words from 0. Terms of one word or more are parted by spaces.
+    Texts and vocabulary are joined on runs of words, of the lengths that terms
+    have, so neither passes through the driver or one task; the vocabulary is
+    written first, so that the occurrences of a frequent term are split. Only
+    the matches of a text that overlap others are chosen among in one group.
+    """
+    v = vocabulary.select(F.trim(F.regexp_replace(F.lower(term), r"\s+", " ")).alias("_g")).filter("_g <> ''").distinct()
+    v = written(v.withColumn("_m", F.size(F.split("_g", " "))), "terms")
+    lengths = sorted(r["_m"] for r in v.select("_m").distinct().collect())  # as many as terms differ in length
+    low = df.select(F.col(key).alias("_k"), F.transform(words, F.lower).alias("_w"))
+    if not lengths:
+        return df.select(key, F.lit(0).alias("start"), F.lit("").alias("term")).limit(0)
+
+    def runs(m: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size("_w") - m), lambda i: F.struct(i.alias("start"), F.lit(m).alias("_m"), F.array_join(F.slice("_w", i + 1, m), " ").alias("_g")))
+        return F.when(F.size("_w") >= m, made).otherwise(F.array().cast("array<struct<start:int,_m:int,_g:string>>"))
+
+    each = low.withColumn("_id", F.monotonically_increasing_id()).select("_k", "_id", F.explode(F.concat(*map(runs, lengths))).alias("x")).select("_k", "_id", "x.*")
+    hits = each.join(v, ["_g", "_m"]).select("_k", "_id", "start", "_m", "_g")
+    if lengths == [1]:
+        return hits.select(F.col("_k").alias(key), "start", F.col("_g").alias("term"))
+
+    def chosen(rows: pa.Table) -> pa.Table:
+        found = greedy([(a, a + m, g) for a, m, g in zip(*(rows[c].to_pylist() for c in ("start", "_m", "_g")), strict=True)])
+        return pa.table({key: pa.array([rows["_k"][0].as_py()] * len(found), rows["_k"].type), "start": pa.array([a for a, _, _ in found], pa.int32()), "term": pa.array([g for *_, g in found], pa.string())})
+
+    hits = written(hits, "hits")  # row numbers are given once
+    return hits.groupBy("_id").applyInArrow(chosen, f"`{key}` {df.schema[key].dataType.simpleString()}, start int, term string")
+
+
 def segment(word: str, dictionary: set[str]) -> list[str]:
     """A URL word cut into dictionary words: the longest from the left, character by character (T24, T25); a rest stays whole."""
     if word in dictionary:

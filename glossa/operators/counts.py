@@ -85,6 +85,31 @@ def vocabulary_select(counts: DataFrame, word: str, count: str, least: int, top:
     return kept.unionByName(oov)
 
 
+def whole_vocabulary(tokens: DataFrame, word: str) -> DataFrame:
+    """word, n, id: every word by falling occurrences, ids from 1 (X3); numbered by a range sort, whatever its size."""
+    n = tokens.groupBy(F.col(word).alias("word")).agg(F.count("*").alias("n"))
+    return with_ordinal(n, [F.desc("n"), F.asc("word")], "id").select("word", "n", F.col("id").cast("long").alias("id"))
+
+
+def mapped_pairs(pairs: DataFrame, key: str, source: str, target: str) -> DataFrame:
+    """key, n, source, target: sentence pairs of token arrays as lines of ids of their two vocabularies.
+
+    n is the pair's count, 1; the vocabularies are those of ``whole_vocabulary``.
+    A pair with an empty side is an empty line there.
+    """
+
+    def lines(column: str) -> DataFrame:
+        each = pairs.select(key, F.posexplode(column).alias("_p", "_w"))
+        ids = whole_vocabulary(each, "_w").select(F.col("word").alias("_w"), F.col("id").alias("_v"))
+        lists = each.join(ids, "_w").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_i"))
+        return lists.select(key, F.array_join(F.transform("_i", lambda x: x["_v"].cast("string")), " ").alias(column))
+
+    out = pairs.select(key, F.lit(1).alias("n"))
+    for column in (source, target):
+        out = out.join(lines(column), key, "left")
+    return out.fillna("", [source, target])
+
+
 def map_to_ids(tokens: DataFrame, vocabulary: DataFrame, word: str = "word") -> DataFrame:
     """Ids of words, that of OOV for those that aren't in the vocabulary (T30, J4). A vocabulary is at most its top-n rows."""
     v = vocabulary.select(F.col("word").alias("_w"), F.col("id").alias("id"))

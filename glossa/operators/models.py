@@ -83,18 +83,14 @@ def logistic(rows: DataFrame, tokens: str, label: str, dimensions: int = 1 << 14
     return Pipeline(stages=[tf, LogisticRegression(featuresCol="features", labelCol=label, maxIter=steps, regParam=0.01)]).fit(rows)
 
 
-def topics(rows: DataFrame, tokens: str, k: int, vocabulary: int = 1 << 18, steps: int = 10, seed: int = 1):
-    """Fitted pipeline of token counts and LDA (K1, without labels) over words of two documents or more.
-
-    The library holds the vocabulary on the driver; ``vocabulary`` is its bound,
-    and the rarest words beyond it are left out.
-    """
+def topics(rows: DataFrame, tokens: str, k: int, dimensions: int = 1 << 18, steps: int = 10, seed: int = 1):
+    """Fitted pipeline of hashed token counts and LDA (K1, without labels): every word counts, the model has a fixed size."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import HashingTF
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary, minDF=2.0)
-    return Pipeline(stages=[cv, LDA(k=k, maxIter=steps, seed=seed, optimizer="online")]).fit(rows)
+    tf = HashingTF(inputCol=tokens, outputCol="features", numFeatures=dimensions)
+    return Pipeline(stages=[tf, LDA(k=k, maxIter=steps, seed=seed, optimizer="online")]).fit(rows)
 
 
 def shifted_distribution(df: DataFrame, group: str, value: str) -> DataFrame:

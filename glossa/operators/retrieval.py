@@ -157,13 +157,18 @@ def two_rank(df: DataFrame, group: list[str], length: Column, distance: Column,
 
 
 def homogeneity(ranked: DataFrame, pair_similarity: DataFrame, target: str, item: str, rank: str) -> DataFrame:
-    """target, rank, homogeneity: mean similarity of the pairs among the first ``rank`` items."""
+    """target, rank, homogeneity: mean similarity of all pairs among the first ``rank`` items, from the second on.
+
+    ranked has ranks from 1 on without gaps. pair_similarity is sparse: a pair
+    that it lacks has similarity 0 and counts in the mean.
+    """
     r = ranked.select(target, item, rank)
     a, b = r.select(target, F.col(item).alias("i"), F.col(rank).alias("_ri")), r.select(target, F.col(item).alias("j"), F.col(rank).alias("_rj"))
     pairs = pair_similarity.join(a, "i").join(b, [target, "j"]).filter("_ri <> _rj").select(target, F.greatest("_ri", "_rj").alias(rank), "score", F.least("_ri", "_rj").alias("_low")).dropDuplicates([target, rank, "_low"])
-    per = pairs.groupBy(target, rank).agg(F.sum("score").alias("_s"), F.count("*").alias("_n"))
+    per = pairs.groupBy(target, rank).agg(F.sum("score").alias("_s"))
+    each = r.filter(F.col(rank) > 1).select(target, rank).join(per, [target, rank], "left").fillna(0.0, ["_s"])
     w = W.partitionBy(target).orderBy(rank).rowsBetween(W.unboundedPreceding, 0)
-    return per.select(target, rank, (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("homogeneity"))
+    return each.select(target, rank, (2 * F.sum("_s").over(w) / (F.col(rank) * (F.col(rank) - 1))).alias("homogeneity"))
 
 
 def iterative_query(query: DataFrame, postings: DataFrame, similarity: DataFrame, q: str, term: str, rank: str, doc: str, rows: int = 20) -> DataFrame:

@@ -215,17 +215,16 @@ def global_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(
-    f"""WITH {_ITEMS}, t AS (SELECT item_id, x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(w) AS x FROM i) GROUP BY ALL), q AS (SELECT t.* FROM t JOIN (SELECT x FROM t GROUP BY x HAVING count(*) BETWEEN 2 AND 20) USING (x)), l AS (SELECT x, sqrt(sum(n * n)) AS l FROM q GROUP BY x),
+    f"""WITH {_ITEMS}, t AS (SELECT item_id, x, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(w) AS x FROM i) GROUP BY ALL), q AS (SELECT * FROM t), l AS (SELECT x, sqrt(sum(n * n)) AS l FROM q GROUP BY x),
 c AS (SELECT a.x AS a, b.x AS b, round(sum(a.n * b.n) / (any_value(la.l) * any_value(lb.l)), 6) AS cosine FROM q a JOIN q b ON a.item_id = b.item_id AND a.x <> b.x JOIN l la ON la.x = a.x JOIN l lb ON lb.x = b.x GROUP BY ALL),
 p AS (SELECT a.item_id, a.w AS s, list_distinct(b.w) AS t FROM i a JOIN i b ON b.item_id = a.item_id + 1), s AS (SELECT DISTINCT item_id, unnest(s) AS x, t FROM p),
 f AS (SELECT item_id, x, x AS y, 1.0 AS cosine FROM s WHERE list_contains(t, x) UNION ALL SELECT item_id, x, b, cosine FROM s JOIN c ON a = x AND list_contains(t, b))
 SELECT item_id, x AS "from", first(y ORDER BY cosine DESC, y) AS "to", max(cosine) AS similarity FROM f GROUP BY ALL"""
 )
 def embedding_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words aligned by their vectors over the items (M8), of words in 2 to 20 items."""
+    """Words aligned by their vectors over the items (M8); the pairs of a vector are those of its item's words."""
     t = items(spark, sf_dir).select("item_id", F.explode("w").alias("x")).groupBy("item_id", "x").agg(F.count("*").cast("double").alias("n"))
-    some = t.groupBy("x").agg(F.count("*").alias("_d")).filter("_d between 2 and 20").select("x")
-    cos = stats.cosine_pairs(t.join(some, "x"), "x", "item_id", "n").withColumn("cosine", F.round("cosine", 6))
+    cos = stats.cosine_pairs(t, "x", "item_id", "n").withColumn("cosine", F.round("cosine", 6))
     both = cos.unionByName(cos.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     return summarize.embedding_alignment(_neighbours(spark, sf_dir), "item_id", "w", "other", both)
 

@@ -65,16 +65,6 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
-@_R.query(
-    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]*)"', 1)) AS href FROM pages)
-SELECT href AS dst, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS sources FROM (SELECT href, page_id, row_number() OVER (PARTITION BY href ORDER BY page_id) AS k FROM (SELECT DISTINCT href, page_id FROM l)) WHERE k <= 5 GROUP BY href"""
-)
-def web_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In-links of each link target, five at most."""
-    links = load(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*href="([^"]*)"'), 1)).alias("dst"))
-    return readers.in_links(links, 5).select("dst", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
-
-
 @_R.query("SELECT page_id, length(html) AS n, CASE WHEN length(html) > 500000 THEN '__TOO_LARGE__' ELSE 'ok' END AS mark FROM pages")
 def capped_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("n"), readers.capped_content("html").alias("c"))

@@ -100,12 +100,23 @@ def crowd_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "system").withColumn("place", F.row_number().over(W.orderBy(F.desc("accuracy"), F.desc("informativeness"), "system")))
 
 
-@_R.query(f"WITH v AS (SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) GROUP BY w) SELECT w AS word, n, row_number() OVER (ORDER BY n DESC, w) AS id FROM v QUALIFY row_number() OVER (ORDER BY n DESC, w) <= 100")
+@_R.query(f"WITH v AS (SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) GROUP BY w) SELECT w AS word, n, row_number() OVER (ORDER BY n DESC, w) AS id FROM v")
 def vocabulary_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary by falling occurrences (X3), of its hundred commonest words."""
-    v = items(spark, sf_dir).select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = splits.head(v, [F.desc("n"), F.asc("word")], 100)
-    return top.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "word")).cast("long"))
+    """The whole vocabulary by falling occurrences."""
+    return counts.whole_vocabulary(items(spark, sf_dir).select(F.explode("w").alias("word")), "word")
+
+
+@_R.query(
+    f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), p AS (SELECT a.item_id, a.w AS s, b.w AS t FROM i a JOIN i b ON b.item_id = a.item_id + 1),
+x AS (SELECT item_id, k, s[k] AS w FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM p)), y AS (SELECT item_id, k, t[k] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM p)),
+vx AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM x GROUP BY w), vy AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM y GROUP BY w),
+lx AS (SELECT item_id, string_agg(id::VARCHAR, ' ' ORDER BY k) AS source FROM x JOIN vx USING (w) GROUP BY item_id), ly AS (SELECT item_id, string_agg(id::VARCHAR, ' ' ORDER BY k) AS target FROM y JOIN vy USING (w) GROUP BY item_id)
+SELECT item_id, 1 AS n, coalesce(source, '') AS source, coalesce(target, '') AS target FROM p LEFT JOIN lx USING (item_id) LEFT JOIN ly USING (item_id)"""
+)
+def mapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item and the next as lines of vocabulary ids, with their count."""
+    i = items(spark, sf_dir).select("item_id", F.col("w").alias("source"))
+    return counts.mapped_pairs(i.join(i.select((F.col("item_id") - 1).alias("item_id"), F.col("source").alias("target")), "item_id"), "item_id", "source", "target")
 
 
 @_R.query("SELECT l_orderkey, sum(n_small)::BIGINT AS n_small, max(reason) AS reason FROM (SELECT l_orderkey, CASE WHEN length(l_returnflag || l_linestatus) < 3 THEN 1 ELSE 0 END AS n_small, 'content' AS reason FROM lineitem) GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Word assignment on the category tree, pruned search and nearest vectors through cells."""
+"""Word assignment on the category tree, pruned search, nearest vectors through cells and labelled sequences."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import hierarchy
+from glossa.operators import crf, hierarchy
 from glossa.operators.search import ImpactIndex
 from glossa.operators.vector_index import Cells
 from glossa.plans import pages, textual
@@ -114,3 +114,20 @@ def vectors_through_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors to every fiftieth, through an inverted file, exact by the cells' radii."""
     e = load(spark, sf_dir, "embeddings")
     return Cells(e, "vec_id", "embedding").search(e.filter("vec_id % 50 = 0"), 5)
+
+
+@_R.query()
+def sequence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a conditional random field takes for content that the next text keeps (K4).
+
+    It is learnt from the references: a word's label says whether the next
+    reference has it.
+    """
+    i = items(spark, sf_dir)
+    pairs = i.join(i.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("other")), "item_id")
+    gold = F.transform("w", lambda x: F.array_contains("other", x).cast("int"))
+    model = crf.ConditionalRandomField(2).fit(pairs.select(crf.word_features("w").alias("features"), gold.alias("gold")))
+    d = load(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("w")).withColumn("features", crf.word_features("w"))
+    labels = model.label(d, "doc_id")
+    chosen = F.aggregate("labels", F.lit(0), lambda a, x: a + x).cast("long")
+    return labels.select("doc_id", F.size("labels").cast("long").alias("n_words"), chosen.alias("n_kept"), F.md5(F.array_join(F.col("labels").cast("array<string>"), "")).alias("digest"))

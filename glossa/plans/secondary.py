@@ -87,10 +87,10 @@ def title_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query(f"WITH w AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark), t AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) SELECT doc_id, w AS term, count(*) AS n FROM t JOIN w USING (w) GROUP BY ALL")
 def find_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the benchmark in the documents, by one pass of an automaton."""
+    """Words of the benchmark in the documents."""
     v = items(spark, sf_dir).select(F.explode("w").alias("word"))
-    d = load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens("text"), " ").alias("text"))
-    return containment.find_terms(d, "doc_id", "text", v, "word").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    d = load(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("words"))
+    return containment.find_phrases(d, "doc_id", "words", v, "word").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 @_R.query()
@@ -187,14 +187,6 @@ def whois_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(secondary.whois_lines(F.concat_ws("\n", *lines)), "|").alias("owner"))
 
 
-@_R.query(f"WITH x AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, url FROM pages) SELECT b.url AS target, string_agg('p' || a.page_id, ' <EOD> ' ORDER BY 'p' || a.page_id) AS anchors FROM x a JOIN x b ON b.page_id = a.page_id + 1 WHERE a.host <> b.host AND NOT contains(a.host, 'example.org') GROUP BY ALL")
-def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of links from other sites."""
-    p = load(spark, sf_dir, "pages")
-    links = p.select((F.col("page_id") + 1).alias("k"), F.col("url").alias("source"), F.concat(F.lit("p"), "page_id").alias("text")).join(p.select(F.col("page_id").alias("k"), F.col("url").alias("target")), "k")
-    return summarize.anchor_texts(links, "target", "source", "text", ("example.org",))
-
-
 @_R.query("SELECT a.s_suppkey, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training sets without one, for the suppliers of each nation."""
@@ -250,14 +242,14 @@ def modality_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_R.query(
     """WITH r AS (SELECT s_nationkey AS target, s_suppkey AS i, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS rank FROM supplier),
-p AS (SELECT a.target, greatest(a.rank, b.rank) AS rank, 1.0 / (1 + abs(a.i - b.i)) AS s FROM r a JOIN r b ON a.target = b.target AND a.rank < b.rank AND abs(a.i - b.i) <= 500), k AS (SELECT target, rank, sum(s) AS s, count(*) AS n FROM p GROUP BY target, rank)
+p AS (SELECT a.target, greatest(a.rank, b.rank) AS rank, CASE WHEN abs(a.i - b.i) <= 10 THEN 1.0 / (1 + abs(a.i - b.i)) ELSE 0 END AS s FROM r a JOIN r b ON a.target = b.target AND a.rank < b.rank), k AS (SELECT target, rank, sum(s) AS s, count(*) AS n FROM p GROUP BY target, rank)
 SELECT target, rank, round(sum(s) OVER (PARTITION BY target ORDER BY rank) / sum(n) OVER (PARTITION BY target ORDER BY rank), 6) AS homogeneity FROM k"""
 )
 def homogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean pair similarity among the first ranks of each nation's suppliers."""
+    """Mean similarity of all pairs among the first ranks of each nation's suppliers (W7); those more than ten numbers apart are not alike at all."""
     s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("target"), F.col("s_suppkey").alias("item"), "s_acctbal")
     r = splits.top_per_group(s, ["target"], [F.asc("s_acctbal"), F.asc("item")], 1 << 30).withColumn("rank", F.col("rank").cast("long")).drop("s_acctbal")
-    return retrieval.homogeneity(r, _near(s.select(F.col("item").alias("i")), 500), "target", "item", "rank").select("target", "rank", F.round("homogeneity", 6).alias("homogeneity"))
+    return retrieval.homogeneity(r, _near(s.select(F.col("item").alias("i")), 10), "target", "item", "rank").select("target", "rank", F.round("homogeneity", 6).alias("homogeneity"))
 
 
 @_R.query(

@@ -81,10 +81,16 @@ class KeyedTable:
         versions = self._versions()
         return self.spark.read.parquet(f"{self.root}/{versions[max(versions)]}") if versions else None
 
+    def _without(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """Rows whose key the others lack; a null is a key like any other."""
+        keys = others.select(F.col(self.key).alias("_other"))
+        return rows.join(keys, rows[self.key].eqNullSafe(keys["_other"]), "left_anti")
+
     def upsert(self, rows: DataFrame, overwrite: bool = True) -> None:
         """Put rows by key: new keys are added; those there are replaced, or with overwrite=False kept.
 
-        Of rows that repeat a key the greatest by its other columns counts.
+        Of rows that repeat a key the greatest by its other columns counts. A
+        null key is a key of its own.
         """
         others = [c for c in rows.columns if c != self.key]
         rows = rows.groupBy(self.key).agg(F.max(F.struct(*others)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) if c != self.key else F.col(c) for c in rows.columns])
@@ -94,9 +100,9 @@ class KeyedTable:
             if old is None:
                 merged = rows
             elif overwrite:
-                merged = old.join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
+                merged = self._without(old, rows).unionByName(rows)
             else:
-                merged = old.unionByName(rows.join(old.select(self.key), self.key, "left_anti"))
+                merged = old.unionByName(self._without(rows, old))
             folder = f"data-{uuid.uuid4().hex}"
             merged.write.parquet(f"{self.root}/{folder}")
             if commit(self.spark, f"{self.root}/v{v}.commit", folder):

@@ -284,10 +284,13 @@ def test_late_rows_fall_out_of_windows(spark):
     assert [r.n for r in streaming.sessions(df, "ts", "k", "10 minutes").collect()] == [3]
 
 
-def test_components_with_a_hub_and_groups(spark):
-    """A hub with most of the links, chains, self links and nulls, within groups and without."""
+@pytest.mark.parametrize("small", [0, 1 << 19])
+def test_components_with_a_hub_and_groups(spark, monkeypatch, small):
+    """A hub with most of the links, chains, self links and nulls, within groups and without; least neighbours written and not."""
+    from glossa.operators import components as module
     from glossa.operators.components import components
 
+    monkeypatch.setattr(module, "SMALL", small)
     hub = [("a", 500, i) for i in range(500)] + [("a", 499, 1000), ("a", 1000, 1001)]
     chain = [("b", i, i + 1) for i in range(20)] + [("b", 100, 100), ("b", None, 3), (None, 1, 2)]
     edges = spark.createDataFrame(hub + chain, "g string, u long, v long")
