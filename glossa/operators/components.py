@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every step is a join or an aggregation with map-side combining. The least
-neighbours of a round are written before they are joined, unless there are few
-links: both inputs of a join are then shuffles of their own, so that Spark
-splits a hub, a node with a great part of all links, over several tasks.
+neighbours of a round are written before they are joined: both inputs of a join
+are then shuffles of their own, so that Spark splits a hub, a node with a great
+part of all links, over several tasks. Links that fit in one partition go
+through the same steps there, without shuffles.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from glossa.sources.storage import remove, shared_dir
 
 
-#: Links up to which all of them may be one node's without being split.
-SMALL = 1 << 19
+#: Links that one partition holds: as few need no shuffle, and no hub among them is split.
+SMALL = 1 << 18
 
 
 def components(edges: DataFrame, group: str | None = None, rounds: int = 60) -> DataFrame:
@@ -40,14 +41,15 @@ def components(edges: DataFrame, group: str | None = None, rounds: int = 60) ->
 
     def stars(e: DataFrame, k: int, links: int) -> DataFrame:
         """First each node's larger neighbours, then all of its neighbours, move to its least one."""
-        # a hub of so few links is no burden on a task, and its round is one job
-        own = kept if links > SMALL else lambda df, name: df
-        both = e.unionByName(turned(e, "v", "u"))
+        few = links <= SMALL
+        own = (lambda df, name: df) if few else kept
+        one = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+        both = one(e.unionByName(turned(e, "v", "u")))
         low = own(both.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m")), f"low{k}")
         large = own(turned(both.filter("v > u").join(low, key), "v", "m").distinct(), f"large{k}")
         low = own(large.groupBy(*key).agg(F.min("v").alias("m")), f"least{k}")
         moved = turned(large.join(low, key), "v", "m")
-        return moved.unionByName(turned(low, "u", "m")).filter("u > v").distinct()
+        return one(moved.unionByName(turned(low, "u", "m"))).filter("u > v").distinct()
 
     e = kept(edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges0")
     before = None

@@ -284,7 +284,7 @@ def test_late_rows_fall_out_of_windows(spark):
     assert [r.n for r in streaming.sessions(df, "ts", "k", "10 minutes").collect()] == [3]
 
 
-@pytest.mark.parametrize("small", [0, 1 << 19])
+@pytest.mark.parametrize("small", [0, 1 << 18])
 def test_components_with_a_hub_and_groups(spark, monkeypatch, small):
     """A hub with most of the links, chains, self links and nulls, within groups and without; least neighbours written and not."""
     from glossa.operators import components as module
