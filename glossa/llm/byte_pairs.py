@@ -15,10 +15,12 @@ grow in number with the shuffle partitions.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from glossa.llm.shared import slices
 
 #: Bytes of text in a slice; a text above that is a slice by itself.
-SLICE = 16 << 20
+SLICE = 48 << 20
 #: Rows of a slice.
-ROWS = 1 << 16
+ROWS = 1 << 17
 #: Words above this many bytes are merged by a heap.
 LONG = 48
+#: Words of one length that are merged in one table.
+TABLE = 8192
 #: Buckets of words for each shuffle partition.
 BUCKETS = 4
 #: Code points below this are classed one by one as the library classes them; texts with others are split by it.
@@ -84,6 +88,10 @@ class BytePairs:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = rank << 32 | vocab[a + b]
+        pairs = sorted((a << 32 | b, x) for (a, b), x in self.merges.items())
+        self.pair_keys, self.pair_values = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.byte_ids = np.array(self.byte_id, np.int64)
+        self.byte_pairs = self._merged(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         n = max([*vocab.values(), *self.added.values()]) + 1
         #: The id-to-piece table.
@@ -126,24 +134,38 @@ class BytePairs:
             return split(text)
         return [w for k, part in enumerate(self.special.split(text)) if part for w in ([part] if k % 2 else split(part))]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a word: of adjacent pairs, that of least rank merges first, the leftmost among equals."""
-        if word in self.added:
-            return [self.added[word]]
-        ids = [self.byte_id[b] for b in word.encode()]
-        if len(ids) > LONG:
-            return self._by_heap(ids)
-        of = self.merges.get
-        ranks = [of(pair, _NEVER) for pair in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != _NEVER:
-            at = ranks.index(best)
-            ids[at : at + 2] = [new] = [best & 0xFFFFFFFF]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = of((ids[at - 1], new), _NEVER)
-            if at < len(ranks):
-                ranks[at] = of((new, ids[at + 1]), _NEVER)
-        return ids
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair in one number, _NEVER where there is none."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_values[at], _NEVER)
+
+    def _by_table(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words of one length, a merge of each of them at a time, so that they stay of one length until they are done."""
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        ids, ranks = self.byte_ids[raw], self.byte_pairs[raw[:, :-1], raw[:, 1:]]
+        out: list[list[int]] = [[]] * len(words)
+        place = np.arange(len(words))
+        while len(place):
+            best = ranks.min(1, initial=_NEVER)
+            done = best == _NEVER
+            for k, found in zip(place[done].tolist(), ids[done].tolist(), strict=True):
+                out[k] = found
+            place, ids, ranks, best = place[~done], ids[~done], ranks[~done], best[~done]
+            if not len(place):
+                break
+            row, at, width = np.arange(len(place)), ranks.argmin(1), ids.shape[1]
+            ids[row, at] = best & 0xFFFFFFFF
+            keep = np.ones(ids.shape, bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(place), width - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(len(place), width - 2)
+            for has, left in ((at > 0, at - 1), (at < width - 2, at)):
+                r, c = row[has], left[has]
+                ranks[r, c] = self._merged(ids[r, c], ids[r, c + 1])
+        return out
 
     def _by_heap(self, ids: list[int]) -> list[int]:
         n, merges = len(ids), self.merges
@@ -168,14 +190,31 @@ class BytePairs:
         return [i for i, lives in zip(ids, alive, strict=True) if lives]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, held against the library's."""
-        out = list(map(self.encode_word, words))
+        """Ids of each word, held against the library's: of adjacent pairs, that of least rank merges first, the leftmost among equals."""
+        raw = [w.encode() for w in words]
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, (word, x) in enumerate(zip(words, raw, strict=True)):
+            if word in self.added:
+                out[k] = [self.added[word]]
+            elif len(x) > LONG:
+                out[k] = self._by_heap([self.byte_id[b] for b in x])
+            elif x:
+                by_length.setdefault(len(x), []).append(k)
+        for places in by_length.values():
+            for a in range(0, len(places), TABLE):
+                part = places[a : a + TABLE]
+                for k, ids in zip(part, self._by_table([raw[k] for k in part]), strict=True):
+                    out[k] = ids
         if self.check:
             for word, ours, theirs in zip(words, out, self.library.encode_batch(words, add_special_tokens=False), strict=True):
                 if ours != theirs.ids:
                     raise RuntimeError(f"the merges disagree with the library on {word!r}")
         return out
 
+    def encode_word(self, word: str) -> list[int]:
+        return self.encode_words([word])[0]
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: their pieces' bytes, end to end; what is no UTF-8 is replaced."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -215,29 +254,29 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[list, list]]]:
-    """Runs of (ids, texts) that make up a slice."""
-    held, size, rows = [], 0, 0
-    for batch in slices(batches):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        more = sum(map(len, texts))
-        if held and (size + more > SLICE or rows + len(texts) > ROWS):
-            yield held
-            held, size, rows = [], 0, 0
-        held.append((batch.column("doc_id").to_pylist(), texts))
-        size, rows = size + more, rows + len(texts)
-    if held:
-        yield held
-
-
 _SLICE = "part int, seq int, mark long"
 _DOCS = f"{_SLICE}, doc_id long, places binary"
-_WORDS = f"{_SLICE}, bucket int, words array<string>, numbers array<int>"
-_IDS = f"{_SLICE}, numbers array<int>, sizes array<int>, ids array<int>"
+_WORDS = f"{_SLICE}, bucket int, numbers binary, sizes binary, words binary"
+_IDS = f"{_SLICE}, numbers binary, sizes binary, ids binary"
+_RESULT = "doc_id long, ids array<int>, decoded string"
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[t]) for k, (_, t) in enumerate(fields)], [name for name, _ in fields])
 
 
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
+def _in_buckets(number: dict[str, int], buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, numbers, sizes, words) of a slice's words, packed; numbers as steps from one to the next."""
+    raw = [w.encode() for w in number]
+    bucket = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    kinds, starts = np.unique(bucket[order], return_index=True)
+    for b, at in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True):
+        words = [raw[k] for k in at.tolist()]
+        yield b, pack(np.diff(at, prepend=0)), pack(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)
 
 
 def _split(path: str, buckets: int, want_words: bool):
@@ -249,95 +288,104 @@ def _split(path: str, buckets: int, want_words: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, part = _vocabulary(path), TaskContext.get().partitionId()
-        for seq, held in enumerate(_sliced(batches)):
-            number: dict[str, int] = {}
-            ids, places, mark = [], [], xxhash.xxh64()
-            for doc_ids, texts in held:
-                for text in texts:
-                    mark.update(text.encode())
-                    mark.update(b"\xff")
-                    words = vocabulary.words(text)
-                    for w in words:
-                        if w not in number:
-                            number[w] = len(number)
-                    if not want_words:
-                        places.append(pack(np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
-                ids += doc_ids
-            signed = mark.intdigest() - (1 << 63)
+        number: dict[str, int] = {}
+        ids, places, mark, size, rows, seq = [], [], xxhash.xxh64(), 0, 0, 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            key = (part, seq, mark.intdigest() - (1 << 63))
             if not want_words:
                 for a in range(0, len(ids), 1024):
-                    n = len(ids[a : a + 1024])
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array([signed] * n, pa.int64()), pa.array(ids[a : a + n], pa.int64()), pa.array(places[a : a + n], pa.binary())], _names(_DOCS))
-                continue
-            if not number:
-                continue
-            bucket = (np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable").astype(np.int32)
-            kinds, starts = np.unique(bucket[order], return_index=True)
-            offsets = pa.array(np.concatenate([starts, [len(order)]]).astype(np.int32))
-            n = len(kinds)
-            words = pa.array(list(number), pa.string()).take(pa.array(order))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array([signed] * n, pa.int64()), pa.array(kinds), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(order))],
-                _names(_WORDS),
-            )
+                    yield _table(_DOCS, [(*key, *x) for x in zip(ids[a : a + 1024], places[a : a + 1024], strict=True)])
+            elif number:
+                yield _table(_WORDS, [(*key, *x) for x in _in_buckets(number, buckets)])
+
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            more = sum(map(len, texts))
+            if rows and (size + more > SLICE or rows + len(texts) > ROWS):
+                yield from ended()
+                number, ids, places, mark, size, rows, seq = {}, [], [], xxhash.xxh64(), 0, 0, seq + 1
+            size, rows = size + more, rows + len(texts)
+            for text in texts:
+                mark.update(text.encode())
+                mark.update(b"\xff")
+                words = vocabulary.words(text)
+                for w in dict.fromkeys(words):
+                    if w not in number:
+                        number[w] = len(number)
+                if not want_words:
+                    places.append(pack(np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
+            if not want_words:
+                ids += batch.column("doc_id").to_pylist()
+        if rows:
+            yield from ended()
 
     return run
 
 
+def _parts(raw: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _encoded(path: str):
     """Words of the buckets, sorted by bucket -> the ids of each slice's words; each distinct word of a bucket is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, bucket, known = _vocabulary(path), None, {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                if (b := row.column("bucket")[0].as_py()) != bucket:
-                    bucket, known = b, {}
-                words = row.column("words").flatten().to_pylist()
-                new = [w for w in words if w not in known]
-                known.update(zip(new, vocabulary.encode_words(new), strict=True))
-                each = [known[w] for w in words]
-                sizes = np.fromiter(map(len, each), np.int32, len(each))
-                flat = np.fromiter((i for ids in each for i in ids), np.int32, int(sizes.sum()))
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-                yield pa.RecordBatch.from_arrays([row.column("part"), row.column("seq"), row.column("mark"), row.column("numbers"), one(sizes), one(flat)], _names(_IDS))
+        for batch in slices(batches, 4096, 16 << 20):
+            rows, words = batch.to_pylist(), []
+            fresh: dict[int, dict[bytes, None]] = {}
+            for r in rows:
+                words.append(_parts(r["words"], unpack(r["sizes"])))
+                have = known if r["bucket"] == bucket else {}
+                fresh.setdefault(r["bucket"], {}).update((w, None) for w in words[-1] if w not in have)
+            # the new words of all these rows in one go: tables are for many words
+            new = [(b, w) for b, each in fresh.items() for w in each]
+            found: dict[int, dict[bytes, tuple[int, bytes]]] = {bucket: known}
+            for (b, w), ids in zip(new, vocabulary.encode_words([w.decode() for _, w in new]), strict=True):
+                found.setdefault(b, {})[w] = (len(ids), ids)
+            out = []
+            for r, own in zip(rows, words, strict=True):
+                of = found.get(r["bucket"], {})
+                each = [of[w] for w in own]
+                out.append((r["part"], r["seq"], r["mark"], r["numbers"], pack(np.array([n for n, _ in each])), pack(np.fromiter(chain.from_iterable(x for _, x in each), np.int64))))
+            if rows:
+                yield _table(_IDS, out)
+                bucket = rows[-1]["bucket"]
+                known = found.get(bucket, {})
 
     return run
 
 
-_RESULT = "doc_id long, ids array<int>, decoded string"
-_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
 def _assembled(path: str, keep_ids: bool):
     """The texts of a slice and the ids of its words -> ids by position, and what they decode to."""
-    import hashlib
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        pieces = _vocabulary(path)
-        numbers = words.column("numbers").combine_chunks().flatten().to_numpy()
-        ids = words.column("ids").combine_chunks().flatten().to_numpy()
-        ends = np.cumsum(words.column("sizes").combine_chunks().flatten().to_numpy(), dtype=np.int64)
-        found: list[list[int] | None] = [None] * (int(numbers.max()) + 1 if len(numbers) else 0)
-        listed, a = ids.tolist(), 0
-        for number, b in zip(numbers.tolist(), ends.tolist(), strict=True):
-            found[number], a = listed[a:b], b
-        decimal = [",".join(map(str, x)) if x is not None else None for x in found]
+        pieces, found = _vocabulary(path).pieces, {}
+        for numbers, sizes, ids in zip(*(words.column(c).to_pylist() for c in ("numbers", "sizes", "ids")), strict=True):
+            flat, ends = unpack(ids).tolist(), np.cumsum(unpack(sizes)).tolist()
+            for k, a, b in zip(np.cumsum(unpack(numbers)).tolist(), [0, *ends], ends, strict=False):
+                found[k] = flat[a:b]
+        if sorted(found) != list(range(len(found))):
+            raise RuntimeError("some words of a slice are missing: the input was read twice and differs, write it first")
+        listed = [found[k] for k in range(len(found))]
+        counts = np.fromiter(map(len, listed), np.int64, len(listed))
+        decimal = [",".join(map(str, x)) for x in listed]
+        # ids and pieces are joined once for each word of the slice: a text's bytes are those of its words
+        spelled = [b"".join(map(pieces.__getitem__, x)) for x in listed]
         rows = []
         for doc_id, places in zip(texts.column("doc_id").to_pylist(), texts.column("places").to_pylist(), strict=True):
-            at = unpack(places).tolist()
-            if at and max(at) >= len(found):
-                raise RuntimeError("the input was read twice and its slices differ; write it first")
-            got = [i for k in at for i in found[k]]
-            text = pieces.decode(got)
+            at = unpack(places)
+            if len(at) and int(at.max()) >= len(listed):
+                raise RuntimeError("a slice has words of another: the input was read twice and differs, write it first")
+            n, at = int(counts[at].sum()), at.tolist()
+            text = b"".join(map(spelled.__getitem__, at)).decode("utf-8", "replace")
             if keep_ids:
-                rows.append((doc_id, got, text))
+                rows.append((doc_id, [i for k in at for i in listed[k]], text))
             else:
-                rows.append((doc_id, len(got), hashlib.sha256(",".join([decimal[k] for k in at]).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]) if keep_ids else pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
+                rows.append((doc_id, n, hashlib.sha256(",".join(map(decimal.__getitem__, at)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        return pa.Table.from_batches([_table(_RESULT if keep_ids else _DIGESTS, rows)])
 
     return run
 
@@ -351,7 +399,7 @@ def encode_and_decode_words(docs: DataFrame, path: str, keep_ids: bool = False)
     ids pass through; other columns are ignored; an empty table gives none.
 
     The input is read twice and must then give equal partitions, as tables on
-    disk do; a slice that differs ends the job. A worker holds a slice (16 MB of
+    disk do; a slice that differs ends the job. A worker holds a slice (48 MB of
     text, or one text above that) with its distinct words, or a bucket's
     distinct words.
     """
@@ -361,5 +409,5 @@ def encode_and_decode_words(docs: DataFrame, path: str, keep_ids: bool = False)
     words = source.mapInArrow(_split(path, buckets, True), _WORDS)
     ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(path), _IDS)
     texts = source.mapInArrow(_split(path, buckets, False), _DOCS)
-    keys = _names(_SLICE)
+    keys = ["part", "seq", "mark"]
     return texts.groupBy(*keys).cogroup(ids.groupBy(*keys)).applyInArrow(_assembled(path, keep_ids), _RESULT if keep_ids else _DIGESTS)
