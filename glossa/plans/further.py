@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossa.functions import sequences as Q
 from glossa.functions import text as T
 from glossa.functions import vectors as V
-from glossa.operators import clustering, counts, evaluation, models, retrieval, secondary, splits, stats, summarize
+from glossa.operators import clustering, counts, evaluation, models, retrieval, secondary, similarity, splits, stats, summarize
 from glossa.operators.joins import with_ordinal
 from glossa.plans.additions import translation_sql
 from glossa.plans.common import Registry, load
@@ -130,15 +130,17 @@ def length_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(
-    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS r FROM benchmark), p AS (SELECT doc_id, w, r FROM w JOIN i ON item_id = doc_id),
-t AS (SELECT doc_id, list_distinct(list_transform(range(1, len(r)), lambda k: array_to_string(r[k:k + 1], ' '))) AS g, list_transform(range(1, len(w)), lambda k: array_to_string(w[k:k + 1], ' ')) AS h FROM p)
-SELECT doc_id, round(CASE WHEN len(g) > 0 THEN len(list_intersect(g, h)) / len(g) ELSE 0 END, 6) AS coverage FROM t"""
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda k: array_to_string(w[k:k + 1], ' '))) AS g FROM w), r AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w)), lambda k: array_to_string(w[k:k + 1], ' '))) AS g FROM i),
+n AS (SELECT item_id, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT doc_id, item_id, round(sum(1 / n), 6) AS coverage FROM d JOIN r USING (g) JOIN n USING (item_id) GROUP BY ALL)
+SELECT doc_id, item_id, coverage FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coverage DESC, item_id) = 1"""
 )
 def bigram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a reference's bigrams that a document has."""
+    """Of every document the reference whose bigrams it covers best, and their share."""
+    pairs = lambda df, key: df.select(key, F.explode(F.array_distinct(T.ngrams("w", 2))).alias("gram"))
     d = load(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("w"))
-    p = d.join(items(spark, sf_dir).select(F.col("item_id").alias("doc_id"), F.col("w").alias("r")), "doc_id")
-    return p.select("doc_id", F.round(evaluation.coverage(F.col("r"), F.col("w"), 2), 6).alias("coverage"))
+    best = similarity.supported_references(pairs(d, "doc_id"), pairs(items(spark, sf_dir), "item_id"), "doc_id", "item_id", "gram", 1)
+    return best.select("doc_id", "item_id", F.col("score").alias("coverage"))
 
 
 @_R.query(

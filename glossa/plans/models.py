@@ -141,14 +141,14 @@ def centroid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(
-    f"""WITH s AS ({pages.ORACLE["support_ranker"]}), x AS (SELECT s.page_id, s.score, {pages._TITLE} AS title, b.text AS reference FROM s JOIN pages p USING (page_id) JOIN benchmark b USING (item_id))
+    f"""WITH s AS ({pages.ORACLE["support_ranker"]}), x AS (SELECT s.page_id, s.score, {pages._TITLE} AS title, b.text AS reference FROM s JOIN pages p USING (page_id) JOIN benchmark b USING (item_id) WHERE s.rank = 1)
 SELECT page_id, CASE WHEN score < 0.5 AND title <> '' THEN title ELSE reference END AS summary, title || ' | ' || reference AS joined FROM x"""
 )
 def hybrid_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference, or the page's title where the page supports it less than half (M6)."""
+    """The reference that the page supports best, or the page's title where that is less than half (M6)."""
     from glossa.plans.pages import support_ranker
 
-    s = support_ranker(spark, sf_dir).select("page_id", "item_id", "score")
+    s = support_ranker(spark, sf_dir).filter("rank = 1").select("page_id", "item_id", "score")
     p = load(spark, sf_dir, "pages").select("page_id", T.html_title("html").alias("title"))
     r = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
     x = s.join(p, "page_id").join(r, "item_id")

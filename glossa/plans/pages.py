@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import text as T
-from glossa.operators import counts, evaluation, retrieval, splits
+from glossa.operators import counts, evaluation, retrieval, similarity, splits
 from glossa.plans.common import Registry, load
 from glossa.plans.textual import items
 
@@ -105,17 +105,14 @@ def rank_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_R.query(
-    f"""WITH {_PAGE_TOKENS}, h AS (SELECT DISTINCT page_id, w FROM pt), r AS (SELECT item_id, unnest({_WORDS.format("text")}) AS w FROM benchmark),
-p AS (SELECT page_id, page_id % (SELECT count(*) FROM benchmark) AS item_id FROM pages)
-SELECT p.page_id, p.item_id, count(h.w) AS supported, count(*) AS total, round(count(h.w) / count(*), 6) AS score FROM p JOIN r USING (item_id) LEFT JOIN h ON h.page_id = p.page_id AND h.w = r.w GROUP BY ALL"""
+    f"""WITH {_PAGE_TOKENS}, h AS (SELECT DISTINCT page_id, w FROM pt), r AS (SELECT item_id, unnest({_WORDS.format("text")}) AS w FROM benchmark), c AS (SELECT item_id, w, count(*) AS c FROM r GROUP BY ALL), z AS (SELECT item_id, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT page_id, item_id, round(sum(c / n), 6) AS score FROM h JOIN c USING (w) JOIN z USING (item_id) GROUP BY ALL)
+SELECT page_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, item_id)::INT AS rank FROM s) WHERE rank <= 10"""
 )
 def support_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a reference's words that the page has (R6, P13), for one reference a page."""
-    refs = items(spark, sf_dir)
-    n = refs.agg(F.count("*").alias("n"))
-    pairs = load(spark, sf_dir, "pages").select("page_id").crossJoin(n).select("page_id", (F.col("page_id") % F.col("n")).alias("item_id"))
-    s = retrieval.support(refs.select("item_id", F.explode("w").alias("word")), page_tokens(spark, sf_dir), pairs, "item_id", "page_id", "word")
-    return s.select("page_id", "item_id", "supported", "total", F.round("score", 6).alias("score"))
+    """The ten references of which a page has the greatest share of words (R6, P13), among all references."""
+    refs = items(spark, sf_dir).select("item_id", F.explode("w").alias("word"))
+    return similarity.supported_references(page_tokens(spark, sf_dir), refs, "page_id", "item_id", "word")
 
 
 @_R.query(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.plans import additions, corpus, events, further, indexes, models, pages, secondary, textual, web
+from glossa.plans import additions, corpus, events, further, indexes, measures, models, pages, secondary, textual, web
 
-_PARTS = (corpus, textual, pages, models, events, secondary, further, additions, indexes, web)
+_PARTS = (corpus, textual, pages, models, events, secondary, further, additions, indexes, measures, web)
 FLAGSHIP = "corpus_stats"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
