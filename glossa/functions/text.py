@@ -221,10 +221,26 @@ def html_title(c: Column | str) -> Column:
     return trim_spaces(unescape(F.regexp_extract(_col(c), r"(?is)<title[^>]*>(.*?)</title", 1)))
 
 
+#: Segments that are no text: punctuation, local paths, script, unrendered markup, dumps of values, JSON. Fixed values.
+JUNK_SEGMENTS = (
+    rf"^(?:{PUNCT}|\s)+$",
+    r"^/[^\s]+$",
+    r"^<\?",
+    r"^<[^\s]+>",
+    r"^<[^\s]+.*>$",
+    r"^<!--",
+    r"=\"",
+    r"string\([0-9]+\)",
+    r"array\([0-9]+\)",
+    r"\}\}",
+    r":\{",
+)
+
+
 def is_junk_segment(c: Column | str) -> Column:
     """Segments that are debris of markup or code."""
     s = _col(c)
-    return s.rlike(rf"^[{PUNCT}\s]*$|^/?\S+/\S*$|<\?|^<[^>]*>$|<!--|=\"|string\([0-9]+\)|array\([0-9]+\)|\}}\}}|:\{{")
+    return reduce(lambda x, p: x | s.rlike(f"(?is){p}"), JUNK_SEGMENTS, s == "")
 
 
 # -- URLs and category paths ---------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,15 +94,27 @@ def abstract_slots(tokens: Column, tags: Column) -> Column:
     return F.aggregate(named, F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) > 0) & F.element_at(a, -1).startswith("SLOT_") & x.startswith("SLOT_"), a).otherwise(F.concat(a, F.array(x))))
 
 
-#: Lines of whois answers that say nothing about the owner: fixed patterns.
-WHOIS_BOILERPLATE = r"(?i)^(%|#|>>>|notice|terms of use|please note)|last update|whois server|query rate"
+#: Lines of whois answers that say nothing about an owner. Fixed values.
+WHOIS_DROPPED = (
+    r"For more information on Whois status codes",
+    r"^(?-i:NOT FOUND)$",
+    r"^No match for domain",
+    r"^WHOIS Server:",
+    r"^Creation Date:",
+    r"^Updated Date:",
+    r"^Registry Expiry Date:",
+    r"^Sponsoring Registrar",
+    r"^Name Server:",
+    r"^DNSSEC:",
+    r"^(?:Domain )?Status:",
+)
 
 
 def whois_lines(c: Column | str) -> Column:
-    """Lines without boilerplate and "key:" prefixes, distinct but for case."""
+    """Lines that may name an owner, without what stands before their first colon, distinct but for case."""
     lines = F.transform(F.split(F.col(c) if isinstance(c, str) else c, r"\r?\n"), lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(WHOIS_BOILERPLATE))
-    values = F.filter(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, r"^[A-Za-z /-]+:\s*", ""))), lambda x: x != "")
+    kept = F.filter(lines, lambda x: (x != "") & ~reduce(lambda found, p: found | x.rlike(f"(?i){p}"), WHOIS_DROPPED, F.lit(False)))
+    values = F.filter(F.transform(kept, lambda x: T.clean(F.regexp_replace(x, r"^[^:]+:", ""))), lambda x: x != "")
     low = F.transform(values, F.lower)
     return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 

@@ -183,7 +183,9 @@ def abstract_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_R.query("SELECT s_suppkey, s_name || '|n' || s_nationkey AS owner FROM supplier")
 def whois_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner lines of whois answers made from the suppliers."""
-    lines = [F.lit("% terms"), F.concat(F.lit("Organisation: "), "s_name"), F.concat(F.lit("name: "), F.upper("s_name")), F.lit(""), F.concat(F.lit("City:  n"), "s_nationkey"), F.lit(">>> Last update of whois database")]
+    before = [F.lit("No match for domain"), F.lit("Domain Status: ok"), F.lit("Updated Date: 2020-01-01")]
+    after = [F.lit("Name Server: ns.example"), F.lit("DNSSEC: unsigned"), F.lit("For more information on Whois status codes, see"), F.lit("NOT FOUND")]
+    lines = [*before, F.concat(F.lit("Organisation: "), "s_name"), F.concat(F.lit("name: "), F.upper("s_name")), F.lit(""), F.concat(F.lit("City:  n"), "s_nationkey"), *after]
     return load(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(secondary.whois_lines(F.concat_ws("\n", *lines)), "|").alias("owner"))
 
 

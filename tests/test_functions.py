@@ -198,8 +198,9 @@ def test_text_functions(spark):
     r = one(spark, T.ngrams(F.array(F.lit("a")), 3), T.ngrams(F.split(F.lit("a b c d"), " "), 3, edges=True), T.char_ngrams(F.lit("abcd"), 3), T.category_ancestors(F.lit("Top/A/B")), T.html_text(F.lit("<!doctype html><head><title>t</title></head><body>a<script>b</script>&amp;<br>c</body>")), T.url_canonical(F.lit("HTTP://Www.A.com:80/x/?q#f")))
     assert r.c0 == [] and r.c1 == ["a", "a b", "a b c", "b c d", "c d"] and r.c2 == ["abc", "bcd"] and r.c3 == ["Top", "Top/A", "Top/A/B"]
     assert r.c4 == "a & c" and r.c5 == "http://www.a.com/x?q"
-    junk = ["...", "/a/b", "<? x", 'a="b"', "string(3)", "}}", ":{"]
-    assert all(one(spark, T.is_junk_segment(F.lit(x))).c0 for x in junk) and not one(spark, T.is_junk_segment(F.lit("A fine day."))).c0
+    junk = ["...", " ", "", "/a/b", "<? x", 'a="b"', "string(3)", "Array(12)", "}}", ":{", "<b>rest", "<a href=x>", "<!-- x"]
+    fine = ["A fine day.", "and/or", "/ and more", "x < y", "array(x)"]
+    assert [x for x in junk if not one(spark, T.is_junk_segment(F.lit(x))).c0] == [] and [x for x in fine if one(spark, T.is_junk_segment(F.lit(x))).c0] == []
 
 
 def test_vector_functions(spark):
@@ -223,4 +224,6 @@ def test_pieces_are_trimmed_of_blanks_only(spark):
     """Digits at the ends stay, whatever a piece's place is."""
     df = spark.createDataFrame([("0 first 0.\n 1 second.\n2 third. 3 F. Four 4",)], "t string")
     assert df.select(T.sentences("t").alias("s")).first().s == ["0 first 0.", "1 second.", "2 third. 3 F.", "Four 4"]
+    answer = "Registrant: ACME: Ltd\r\nTech: acme: ltd\nNAME SERVER: ns1\n dnssec: no\nStatus: ok\nDomain Status: ok\nNOT FOUND\nnot found\nSponsoring Registrar IANA: 1\nhttps://x.org\nCity:\n"
+    assert df.select(secondary.whois_lines(F.lit(answer)).alias("s")).first().s == ["ACME: Ltd", "not found", "//x.org"]
     assert df.select(secondary.whois_lines(F.lit("0 Main\n1 Main 1\n2 Road 2")).alias("s")).first().s == ["0 Main", "1 Main 1", "2 Road 2"]
