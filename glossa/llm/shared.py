@@ -76,9 +76,9 @@ def hash_bits(hashes: DataFrame, column: str, bits: int | None = None) -> np.nda
     size = bits or FILTER_BITS
     bit = F.pmod(F.col(column), F.lit(size))
     word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    got = hashes.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(word).alias("bits")).toPandas()
+    got = hashes.groupBy(F.floor(bit / 64).alias("at")).agg(F.bit_or(word).alias("bits")).toArrow()  # as arrays: rows would take a hundred times the memory
     out = np.zeros(size // 64, np.int64)
-    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint8)
 
 
