@@ -12,8 +12,11 @@ by rows in proportion to its size. Then the node branches.
 
 The links that a first few trees find become components before the other trees
 start, and theirs before anything branches further. A node whose classes all lie
-in one component has nothing left to find and is dropped, so copies that are
-linked cost the other trees one grouping and no more.
+in one component has nothing left to find and is dropped. One of which all but a
+few classes do is not branched either: these few are compared with all others,
+block by block, by rows in proportion to its size. So a large group of copies
+costs a tree one comparison, and only groups of texts that are alike but not
+linked go through many branchings.
 
 A pair at the threshold meets in the leaves of a tree with a probability that
 ``survival`` gives; the number of trees follows from it and the target recall.
@@ -29,12 +32,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.components import components
 from glossa.llm.hashing import Words, shingle_set
 from glossa.llm.shared import Workspace, among, hash_bits, slices
+from glossa.operators.components import components
 
 PERMUTATIONS = 64
 #: Branchings that the target recall allows for.
@@ -291,8 +294,8 @@ def _roots(known: DataFrame, trees: range, threshold: float) -> DataFrame:
     return rows.select("cid", "comp", "key", "slot", stride.alias("stride"), F.lit(0).alias("turn"))
 
 
-#: Branchings of a large node that are made at once, at most.
-LEAP = 8
+#: Branchings of a large node that are made at once, at most: the nodes in between aren't looked at.
+LEAP = 3
 
 
 def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit: int) -> DataFrame:
@@ -301,8 +304,8 @@ def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit:
     A node has 1 / threshold children on average: the whole part of it, and one
     more if its key says so. A node that will still be large after several
     branchings goes through them at once: as many as bring texts that are alike
-    at the threshold down to the limit, LEAP at most. Only the sizes in between
-    aren't looked at. A path that has used all tokens ends.
+    at the threshold down to the limit, LEAP at most. A path that has used all
+    tokens ends.
     """
     base, more = divmod(1 / threshold, 1)
     # the members of a large node lie together where it was met: dealt anew, they branch in all tasks
@@ -319,19 +322,19 @@ def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit:
     return rows.select("cid", "comp", "key", "slot", "stride", "turn")
 
 
-def _blocks(rows: DataFrame, node_limit: int) -> DataFrame:
+def _blocks(rows: DataFrame, node_limit: int, pivot: Column, others: Column) -> DataFrame:
     """Rows of nodes with their key and size -> with ``node``, the leaf or block to compare them in.
 
-    A node above the limit is dealt into blocks of half the limit; its pivots go
-    to every block. Block numbers of a pivot are made in two steps, so that no
-    row holds more of them than the square root of their number.
+    A node above the limit is dealt into blocks for ``others`` classes, half the
+    limit each; those that are ``pivot`` go to every block. Block numbers of a
+    pivot are made in two steps, so that no row holds more of them than the
+    square root of their number.
     """
     large, half = F.col("size") > node_limit, max(1, node_limit // 2)
-    count = F.when(large, F.ceil(F.col("size") / half)).otherwise(1).cast("long")
-    pivot = large & (F.pmod(F.xxhash64(F.lit("pivot"), "cid", "key"), F.col("size")) < min(PIVOTS, half))
+    count = F.when(large, F.ceil(others / half)).otherwise(1).cast("long")
     side = F.ceil(F.sqrt("count")).cast("long")
     one = F.array(F.lit(-1).cast("long"))
-    rows = rows.withColumn("count", count).withColumn("pivot", pivot)
+    rows = rows.withColumn("pivot", large & pivot).withColumn("count", count)
     rows = rows.withColumn("high", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), side - 1)).otherwise(one)))
     rows = rows.withColumn("low", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), side - 1)).otherwise(one)))
     block = F.when(F.col("pivot"), F.col("high") * side + F.col("low")).otherwise(F.pmod(F.xxhash64("cid", "key"), F.col("count")))
@@ -339,6 +342,11 @@ def _blocks(rows: DataFrame, node_limit: int) -> DataFrame:
     return rows.withColumn("node", F.when(large, F.xxhash64("key", "block")).otherwise(F.col("key")))
 
 
+def _sampled(node_limit: int) -> Column:
+    """Whether a class is one of its node's PIVOTS, by its hash."""
+    return F.pmod(F.xxhash64(F.lit("pivot"), "cid", "key"), F.col("size")) < min(PIVOTS, max(1, node_limit // 2))
+
+
 class _Join:
     """One run of the join: the classes with their components so far, and the members of nodes that wait for their full sets."""
 
@@ -362,16 +370,42 @@ class _Join:
         self.level += 1
         hashed = F.xxhash64("comp")  # a number can be aggregated without a sort
         sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.min(hashed).alias("low"), F.max(hashed).alias("high"))
-        met = self.work.table(level.join(sizes.filter("low <> high").select("key", "size"), "key").select("cid", "key", "slot", "stride", "turn", "size"), f"met{self.level}")
+        # written: the join's shuffles are then its own, and a node of very many classes is split
+        sizes = self.work.table(sizes.filter("low <> high").select("key", "size"), f"sizes{self.level}")
+        met = self.work.table(level.join(sizes, "key").select("cid", "key", "slot", "stride", "turn", "size"), f"met{self.level}")
         # a class is in as many nodes of a level as there are branches of all trees at most
         nodes = met.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("nodes")).join(self.known, "cid")
         small = F.filter("nodes", lambda x: x["size"] <= self.node_limit)
         nodes = nodes.withColumn("leaves", F.array_sort(F.transform(small, lambda x: x["key"]))).withColumn("in", F.explode("nodes" if pivots else small))
-        dealt = _blocks(nodes.select("cid", "comp", "n", "sig", "leaves", "in.*"), self.node_limit).select("node", "cid", "comp", "n", "sig", "leaves")
-        self.busy.append(self.work.table(self._at_nodes(dealt).mapInArrow(_with_candidates(self.pct / 100), _MEMBER), f"busy{self.level}"))
+        self._look(_blocks(nodes.select("cid", "comp", "n", "sig", "leaves", "in.*"), self.node_limit, _sampled(self.node_limit), F.col("size")), f"busy{self.level}")
         large = met.filter(F.col("size") > self.node_limit)
         return None if large.isEmpty() else large
 
+    def _look(self, dealt: DataFrame, name: str) -> None:
+        """Compare the classes of each node by their sketches; those with candidates wait for their full sets."""
+        rows = dealt.select("node", "cid", "comp", "n", "sig", "leaves")
+        self.busy.append(self.work.table(self._at_nodes(rows).mapInArrow(_with_candidates(self.pct / 100), _MEMBER), name))
+
+    def settled(self, large: DataFrame) -> DataFrame | None:
+        """Of large nodes those that must branch, by the components as they are known now.
+
+        A node within one component is dropped. One of which all but half a
+        node's classes lie in one component is compared: these classes go to
+        every block of the others, so that no pair that could join two
+        components is left.
+        """
+        half = max(1, self.node_limit // 2)
+        rows = large.drop("size").join(self.known.select("cid", "comp"), "cid")
+        each = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        state = each.groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
+        state = self.work.table(state.filter("most < size"), f"state{self.level}")
+        few = F.col("size") - F.col("most") <= half
+        told = state.agg(F.count(F.when(few, 1)), F.count(F.when(~few, 1))).first()
+        if told[0]:
+            found = rows.select("cid", "key").join(state.filter(few), "key").join(self.known, "cid").withColumn("leaves", F.array().cast("array<bigint>"))
+            self._look(_blocks(found, self.node_limit, F.col("comp") != F.col("main"), F.col("most")), f"settled{self.level}")
+        return rows.drop("comp").join(state.filter(~few).select("key", "size"), "key") if told[1] else None
+
     def _sets(self, cids: DataFrame) -> DataFrame:
         """(cid, shingles) of some classes, from the texts of the documents that stand for them."""
         needed = self.work.table(cids.distinct().join(self.classes.select("cid", "rep"), "cid"), f"needed{self.confirmed}")
@@ -389,7 +423,7 @@ class _Join:
         edges = self.work.table(self._at_nodes(full).mapInArrow(_links(self.pct), "u binary, v binary"), f"links{self.confirmed}")
         if edges.isEmpty():
             return
-        moved = components(edges, self.work, f"edges{self.confirmed}").withColumnRenamed("node", "cid")
+        moved = components(edges).withColumnRenamed("node", "cid")
         if self.label is not None:
             # a component's name is one of its classes, so its own row moves it
             moved = self.work.table(moved, f"moved{self.confirmed}")
@@ -433,7 +467,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     join.confirm()
     level = _roots(join.known, range(PILOT, trees), threshold) if trees > PILOT else None
     for depth in range(levels):
-        if large is not None:
+        if large is not None and (large := join.settled(large)) is not None:
             children = _branched(large, join.known, threshold, node_limit)
             level = children if level is None else level.unionByName(children)
         if level is None:
