@@ -237,7 +237,8 @@ SELECT doc_id, w AS word, round(min((p - 1) / n), 6) AS relative_position, count
 )
 def relative_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where frequent words first stand in their documents."""
-    d = load(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("w"))
+    # dealt as texts: the rows of words are many times as much
+    d = load(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", T.tokens("text").alias("w"))
     f = d.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("p", "word")).filter(T.is_valid_token("word"))
     return f.groupBy("doc_id", "word").agg(F.round(F.min(F.col("p") / F.col("n")), 6).alias("relative_position"), F.count("*").alias("n")).filter("n >= 10").select("doc_id", "word", "relative_position", "n")
 
