@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import sequences as Q
 from glossa.functions import text as T
-from glossa.operators import clustering, evaluation, models, secondary, stats, summarize, wordgraph
+from glossa.operators import blocks, clustering, evaluation, models, secondary, stats, summarize, wordgraph
 from glossa.plans.common import Registry, load
 from glossa.plans import pages
 from glossa.plans.additions import translation_sql
@@ -214,8 +214,9 @@ SELECT t.doc_id, round(exp(-avg(ln(0.2 * pa.p + 0.3 * pb.p + 0.5 * pc.p))), 3) A
 )
 def hierarchical_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity under the mixture of a category's levels (K3)."""
-    t = load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit("Top"), "source", "lang").alias("path"), F.explode(T.tokens("text")).alias("word"))
-    return models.hierarchical_perplexity(t, "doc_id", F.col("path"), "word").select("doc_id", F.round("perplexity", 3).alias("perplexity"))
+    d = blocks.dealt(load(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit("Top"), "source", "lang").alias("path"), "text"), "doc_id", "path")
+    t = d.select(blocks.BLOCK, "doc_id", "path", F.explode(T.tokens("text")).alias("word"))
+    return models.hierarchical_perplexity(t, "doc_id", "path", "word").select("doc_id", F.round("perplexity", 3).alias("perplexity"))
 
 
 @_R.query(
