@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import vectors as V
+from glossa.operators.blocks import BLOCK, told
 from glossa.operators.vector_index import exhaustive
 
 
 def tfidf(tokens: DataFrame, doc: str, word: str) -> DataFrame:
-    """doc, word, tf, df, weight = tf ln(N / df).
+    """doc, word, tf, df, weight = tf ln(N / df), and the block, of tokens that are dealt by document.
 
-    Words are counted once: the three uses of the counts share one shuffle. The
-    filter is always true; it keeps the counts in all three, so that they match.
+    Words are counted in their blocks. A word's document frequency is summed
+    over its blocks and goes back to them.
     """
-    tf = tokens.groupBy(doc, word).agg(F.count("*").alias("tf")).filter("tf > 0")
-    df = tf.groupBy(word).agg(F.count("*").alias("df"))
-    n = tf.agg(F.count_distinct(doc).alias("_n"))
-    return tf.join(df, word).crossJoin(n).select(doc, word, "tf", "df", (F.col("tf") * F.log(F.col("_n") / F.col("df"))).alias("weight"))
+    tf = tokens.groupBy(BLOCK, doc, word).agg(F.count("*").alias("tf"))
+    own = tf.groupBy(BLOCK, word).agg(F.count("*").alias("_df"))
+    df = own.select(BLOCK, word, F.sum("_df").over(W.partitionBy(word)).alias("df"))
+    n = tokens.groupBy(BLOCK, doc).agg(F.count("*")).agg(F.count(doc).alias("_n"))
+    return told(tf, df, [word]).crossJoin(n).select(BLOCK, doc, word, "tf", "df", (F.col("tf") * F.log(F.col("_n") / F.col("df"))).alias("weight"))
 
 
 def contingency(rows: DataFrame, doc: str, word: str, flag: str, least: int) -> DataFrame:
@@ -71,13 +74,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
 
 
 def unigram_perplexity(tokens: DataFrame, doc: str, word: str) -> DataFrame:
-    """exp of the mean negative log probability under add-one unigrams of all tokens."""
-    k = tokens.groupBy(doc, word).agg(F.count("*").alias("_k"))
-    u = k.groupBy(word).agg(F.sum("_k").alias("_c"))
-    t = u.agg(F.sum("_c").alias("_n"), F.count("*").alias("_v"))
-    p = k.join(u, word).crossJoin(t)
+    """exp of the mean negative log probability under add-one unigrams of all tokens, which are dealt by document."""
+    k = tokens.groupBy(BLOCK, doc, word).agg(F.count("*").alias("_k"))
+    own = k.groupBy(BLOCK, word).agg(F.sum("_k").alias("_k"))
+    whole = W.partitionBy(word)
+    u = own.select(BLOCK, word, F.sum("_k").over(whole).alias("_c"), (1 / F.count("*").over(whole)).alias("_one"), F.col("_k").alias("_own"))
+    # the shares of a word's blocks add up to 1
+    t = u.agg(F.sum("_own").alias("_n"), F.round(F.sum("_one")).alias("_v"))
+    p = told(k, u.select(BLOCK, word, "_c"), [word]).crossJoin(t)
     log = F.log((F.col("_c") + 1) / (F.col("_n") + F.col("_v")))
-    return p.groupBy(doc).agg(F.exp(-F.sum(F.col("_k") * log) / F.sum("_k")).alias("perplexity"))
+    return p.groupBy(BLOCK, doc).agg(F.exp(-F.sum(F.col("_k") * log) / F.sum("_k")).alias("perplexity")).drop(BLOCK)
 
 
 def backoff_model(tokens: DataFrame, doc: str, pos: str, word: str, weight: float = 0.4) -> DataFrame:
