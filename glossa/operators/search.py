@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glossa.operators.blocks import BLOCK
 from glossa.operators.splits import top_per_group
-from glossa.sources.storage import shared_dir
+from glossa.sources.storage import shared_dir, written
 
 #: Postings of a part, about.
 PART = 4096
@@ -94,3 +95,15 @@ class ImpactIndex:
         candidates = self.kept(self._candidates(read), f"{name}-candidates")
         best = top_per_group(self._scores(candidates, terms), ["q"], [F.desc("score"), F.asc("doc")], rows)
         return best.select(F.col("q").alias(q), "doc", "score", "rank")
+
+
+def scored_in_blocks(postings: DataFrame, queries: DataFrame, doc: str, term: str, weight: str, q: str, boost: str, rows: int) -> DataFrame:
+    """q, doc, score, rank: the same for postings that are dealt by document and queries that most documents share terms with.
+
+    There an index can leave out few postings. Queries, (q, term) distinct, come
+    to the documents, whose sums are made where the postings are; only the first
+    rows of each task for a query are shuffled.
+    """
+    met = postings.filter((F.col(weight) > 0) & F.col(doc).isNotNull()).join(written(queries.select(q, term, boost), "query-terms"), term)
+    s = met.groupBy(BLOCK, doc, q).agg(F.round(F.sum(F.col(boost) * F.col(weight)), DIGITS).alias("score"))
+    return top_per_group(s, [q], [F.desc("score"), F.asc(doc)], rows).select(q, doc, "score", "rank")

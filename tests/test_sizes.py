@@ -57,6 +57,14 @@ def test_texts_are_dealt_instead_of_their_words(spark, name):
     assert any("text" in x for x in found) and len(of_words) <= (name == "inverted_index") * 2
 
 
+def test_documents_are_scored_where_they_are_dealt(spark):
+    """Shuffled are texts and the scores of (item, document), of which each task keeps ten an item: no pair meets all terms of its item."""
+    df = registry.QUERIES["documents_of_items"](spark, SF)
+    found = exchanged(df)
+    assert any("text" in x for x in found) and not any("doc_id" in x and "text" not in x and "score" not in x for x in found)
+    assert "WindowGroupLimit" in plan(df)
+
+
 def test_topics_write_a_row_for_each_document(spark, monkeypatch):
     """No table that a step writes has rows of words in documents."""
     tables = []
