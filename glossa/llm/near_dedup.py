@@ -296,6 +296,21 @@ def _roots(known: DataFrame, trees: range, threshold: float) -> DataFrame:
 
 #: Branchings of a large node that are made at once, at most: the nodes in between aren't looked at.
 LEAP = 3
+#: Classes of a large node, on average, that tell how alike its classes are.
+PROBES = 48
+
+
+def _alike(large: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, alike): the mean share of minwise tokens that two classes of a large node have in common, by PROBES of its classes."""
+
+    def run(probes: pd.DataFrame) -> pd.DataFrame:
+        sig = np.stack(probes["sig"].to_list())
+        pairs = len(sig) * (len(sig) - 1)
+        same = sum(int((np.unique(column, return_counts=True)[1] ** 2).sum()) for column in sig.T) / PERMUTATIONS - len(sig)
+        return pd.DataFrame({"key": probes["key"].iloc[:1].to_numpy(), "alike": [same / pairs if pairs else 0.0]})
+
+    probes = large.filter(F.pmod(F.xxhash64(F.lit("probe"), "cid", "key"), F.col("size")) < PROBES).select("cid", "key")
+    return probes.join(known.select("cid", "sig"), "cid").groupBy("key").applyInPandas(run, "key long, alike double")
 
 
 def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit: int) -> DataFrame:
@@ -303,23 +318,31 @@ def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit:
 
     A node has 1 / threshold children on average: the whole part of it, and one
     more if its key says so. A node that will still be large after several
-    branchings goes through them at once: as many as bring texts that are alike
-    at the threshold down to the limit, LEAP at most. A path that has used all
+    branchings goes through them at once: as many as bring texts that are as
+    alike as its own down to the limit, LEAP at most. A path that has used all
     tokens ends.
     """
     base, more = divmod(1 / threshold, 1)
+    last = PERMUTATIONS - 1 - int(base)
+
+    def children(node: Column) -> Column:
+        key, turn = node["key"], node["turn"]
+        count = F.lit(int(base)) + F.when(F.pmod(F.xxhash64(key, F.lit("more")), F.lit(1 << 20)) < int(more * (1 << 20)), 1).otherwise(0)
+
+        def child(branch: Column) -> Column:
+            at = F.pmod(F.col("slot") + F.col("stride") * (turn + branch), F.lit(PERMUTATIONS))
+            return F.struct(F.xxhash64(key, at, F.get("sig", at)).alias("key"), (turn + count).alias("turn"))
+
+        return F.when(turn < last, F.transform(F.sequence(F.lit(1), count), child)).otherwise(F.array(F.struct(key.alias("key"), turn.alias("turn"))))
+
+    share = F.least(F.greatest(F.coalesce("alike", F.lit(0.0)), F.lit(0.01)), F.lit(min(threshold, 0.99)))
+    steps = F.least(F.floor(F.log(F.col("size") / node_limit) / -F.log(share)) + 1, F.lit(LEAP))
     # the members of a large node lie together where it was met: dealt anew, they branch in all tasks
-    rows = large.filter(F.col("turn") < PERMUTATIONS - 1 - base).repartition("cid").join(known.select("cid", "comp", "sig"), "cid")
-    enough = F.floor(F.log(F.col("size") / node_limit) / math.log(1 / threshold)) + 1 if threshold < 1 else F.lit(1)
-    rows = rows.withColumn("steps", F.least(enough, F.lit(LEAP)))
-    for step in range(LEAP):
-        count = F.lit(int(base)) + F.when(F.pmod(F.xxhash64("key", F.lit("more")), F.lit(1 << 20)) < int(more * (1 << 20)), 1).otherwise(0)
-        goes = (F.col("steps") > step) & (F.col("turn") < PERMUTATIONS - 1 - base)
-        rows = rows.withColumn("count", count).withColumn("branch", F.explode(F.when(goes, F.sequence(F.lit(1), F.col("count"))).otherwise(F.array(F.lit(0)))))
-        at = F.pmod(F.col("slot") + F.col("stride") * (F.col("turn") + F.col("branch")), F.lit(PERMUTATIONS))
-        path = F.xxhash64("key", at, F.get("sig", at))
-        rows = rows.withColumns({"key": F.when(F.col("branch") > 0, path).otherwise(F.col("key")), "turn": F.when(F.col("branch") > 0, F.col("turn") + F.col("count")).otherwise(F.col("turn"))})
-    return rows.select("cid", "comp", "key", "slot", "stride", "turn")
+    rows = large.filter(F.col("turn") < last).join(_alike(large, known), "key", "left").withColumn("steps", steps).drop("alike", "size")
+    rows = rows.repartition("cid").join(known.select("cid", "comp", "sig"), "cid").withColumn("nodes", children(F.struct("key", "turn")))
+    for step in range(1, LEAP):
+        rows = rows.withColumn("nodes", F.when(F.col("steps") > step, F.flatten(F.transform("nodes", children))).otherwise(F.col("nodes")))
+    return rows.select("cid", "comp", F.explode("nodes").alias("child"), "slot", "stride").select("cid", "comp", "child.key", "slot", "stride", "child.turn")
 
 
 def _blocks(rows: DataFrame, node_limit: int, pivot: Column, others: Column) -> DataFrame:
@@ -468,7 +491,8 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     level = _roots(join.known, range(PILOT, trees), threshold) if trees > PILOT else None
     for depth in range(levels):
         if large is not None and (large := join.settled(large)) is not None:
-            children = _branched(large, join.known, threshold, node_limit)
+            # written: a level is read twice, its branching is done once
+            children = work.table(_branched(large, join.known, threshold, node_limit), f"branched{join.level}")
             level = children if level is None else level.unionByName(children)
         if level is None:
             break

@@ -193,3 +193,18 @@ def test_words_are_hashed_alike_wherever_they_are():
     assert len(set(seen.values())) == len(seen)
     assert words("AbC é").tolist() == words("aBc é").tolist() != words("abc É").tolist()
     assert words(None).tolist() == words("").tolist() == words(" \n").tolist() == []
+
+
+def test_a_large_node_of_texts_that_are_hardly_alike_branches_once(spark):
+    """One branching divides it: three at once made 1.6 rows of each, and those in between too."""
+    import numpy as np
+
+    from glossa.llm.near_dedup import PERMUTATIONS, _branched
+
+    random = np.random.default_rng(3)
+    known = spark.createDataFrame([(bytes([k // 256, k % 256]), b"c", random.integers(-(1 << 31), 1 << 31, PERMUTATIONS).tolist()) for k in range(1200)], "cid binary, comp binary, sig array<int>")
+    large = known.selectExpr("cid", "5L as key", "3 as slot", "7 as stride", "0 as turn", "1200L as size")
+    rows = _branched(large, known, 0.85, 64)
+    assert 1200 <= rows.count() <= 2400
+    assert rows.select("key", "cid").groupBy("cid").count().agg({"count": "max"}).first()[0] <= 2
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
