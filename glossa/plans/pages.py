@@ -20,10 +20,11 @@ _WORDS = r"regexp_extract_all(lower({}), '[^\s[:punct:]]+')"
 _PAGE_TOKENS = f"pt AS (SELECT page_id, {_HOST} AS host, unnest({_WORDS.format(_TEXT)} || {_WORDS.format(_TITLE)}) AS w FROM pages)"
 
 
-def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, word of every word of the visible text and the title."""
+def page_tokens(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """page_id, host, word of every word of the visible text and the title; ``dealt``: with all of a page in one task that Spark knows of."""
     both = F.concat(T.tokens(T.html_text("html")), T.tokens(T.html_title("html")))
-    return load(spark, sf_dir, "pages").select("page_id", T.url_host("url").alias("host"), F.explode(both).alias("word"))
+    p = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return (p.repartition("page_id") if dealt else p).select("page_id", T.url_host("url").alias("host"), F.explode(both).alias("word"))
 
 
 @_R.query(f"SELECT page_id, length({_TEXT})::BIGINT AS n, md5({_TEXT}) AS digest FROM pages")
@@ -112,7 +113,7 @@ SELECT page_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 def support_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten references of which a page has the greatest share of words (R6, P13), among all references."""
     refs = items(spark, sf_dir).select("item_id", F.explode("w").alias("word"))
-    return similarity.supported_references(page_tokens(spark, sf_dir), refs, "page_id", "item_id", "word")
+    return similarity.supported_references(page_tokens(spark, sf_dir, True), refs, "page_id", "item_id", "word")
 
 
 @_R.query(

@@ -71,3 +71,10 @@ def test_topics_write_a_row_for_each_document(spark, monkeypatch):
     monkeypatch.setattr(models, "written", lambda df, name: tables.append(df.columns) or df)
     registry.QUERIES["labeled_topics"](spark, SF)
     assert tables and not any("doc_id" in x and {"w", "word"} & set(x) for x in tables)
+
+
+@pytest.mark.parametrize(("name", "key", "text"), [("support_ranker", "page_id", "html"), ("bigram_coverage", "doc_id", "text")])
+def test_references_are_scored_where_targets_are_dealt(spark, name, key, text):
+    """Shuffled are whole targets: neither their tokens nor pairs of target and reference."""
+    found = exchanged(registry.QUERIES[name](spark, SF))
+    assert any(text in x for x in found) and not any(key in x and text not in x for x in found)
