@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -136,10 +137,21 @@ def _batches(rows: list[tuple], most: int = POSITIONS) -> Iterator[list[tuple]]:
         yield held
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = POSITIONS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of ``most`` positions or one row, as their features take many times the room as Python objects."""
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.list_value_length(b.column("features")), 0).to_numpy(zero_copy_only=False)), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+
+
 def _gradients(chain: Chain, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, grad = 0.0, np.zeros(chain.size)
-        for b in batches:
+        for b in _slices(batches):
             rows = [(x, y) for x, y in zip(b.column("features").to_pylist(), b.column("gold").to_pylist(), strict=True) if x]
             for some in _batches(rows):
                 value, part = chain.log_likelihood(shared.value, Batch.of([x for x, _ in some], chain.buckets), [y for _, y in some])
@@ -226,7 +238,7 @@ class ConditionalRandomField:
         shared = rows.sparkSession.sparkContext.broadcast(self.weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 sequences = b.column("features").to_pylist()
                 out: list[list[int]] = [[] for _ in sequences]
                 for some in _batches([(x, k) for k, x in enumerate(sequences) if x]):

@@ -78,3 +78,16 @@ def test_references_are_scored_where_targets_are_dealt(spark, name, key, text):
     """Shuffled are whole targets: neither their tokens nor pairs of target and reference."""
     found = exchanged(registry.QUERIES[name](spark, SF))
     assert any(text in x for x in found) and not any(key in x and text not in x for x in found)
+
+
+def test_features_are_read_in_slices_of_positions():
+    """Of a batch, a task holds as Python objects what few rows take."""
+    import pyarrow as pa
+
+    from glossa.operators import crf
+
+    features = [[["a", "b"]] * n for n in (40, 0, 70, 300, 10, 10)] + [None]
+    batch = pa.RecordBatch.from_pydict({"features": pa.array(features, pa.list_(pa.list_(pa.string())))})
+    parts = [p.column("features").to_pylist() for p in crf._slices(iter([batch]), 100)]
+    assert [x for p in parts for x in p] == features
+    assert [sum(len(x or []) for x in p) for p in parts] == [40, 70, 300, 20]
