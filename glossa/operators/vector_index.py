@@ -28,6 +28,8 @@ from glossa.sources.storage import shared_dir
 
 #: Vectors of a block, and queries that meet one at a time.
 BLOCK, QUERIES = 4096, 2048
+#: Queries whose angles to all centroids are held at once, and rows that a task gives at once.
+ANGLES, ROWS = 256, 4096
 #: Rows that centroids are fitted on, and centroids, at most.
 SAMPLE, MOST_CELLS = 16_384, 1024
 #: Digits that cosines are rounded to, and what that may add to one.
@@ -142,7 +144,7 @@ class Cells:
         shared = self.spark.sparkContext.broadcast(self.centroids)
 
         def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in (whole.iloc[a : a + ROWS] for whole in frames for a in range(0, len(whole), ROWS)):
                 x = _unit(f["vector"].to_list())
                 f, x = f[~np.isnan(x).any(1)], x[~np.isnan(x).any(1)]
                 near = x @ shared.value.T
@@ -167,7 +169,7 @@ class Cells:
         shared = self.spark.sparkContext.broadcast((self.centroids, self.radius))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in (whole.iloc[a : a + ANGLES] for whole in frames for a in range(0, len(whole), ANGLES)):
                 y = _unit(f["vector"].to_list())
                 f, y = f[~np.isnan(y).any(1)].reset_index(drop=True), y[~np.isnan(y).any(1)]
                 if not len(f):
@@ -175,7 +177,9 @@ class Cells:
                 centroids, radius = shared.value
                 angles = np.arccos(np.clip(y @ centroids.T, -1, 1))
                 row, cell = choose(f, angles, radius)
-                yield f.iloc[row][["key", "vector"]].assign(cell=cell.astype(np.int32))
+                # a query may go to every cell: its copies leave in parts
+                for a in range(0, len(row), ROWS):
+                    yield f.iloc[row[a : a + ROWS]][["key", "vector"]].assign(cell=cell[a : a + ROWS].astype(np.int32))
 
         kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("key", "vector"))
         return queries.mapInPandas(run, f"{kinds}, cell int")

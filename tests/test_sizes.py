@@ -91,3 +91,25 @@ def test_features_are_read_in_slices_of_positions():
     parts = [p.column("features").to_pylist() for p in crf._slices(iter([batch]), 100)]
     assert [x for p in parts for x in p] == features
     assert [sum(len(x or []) for x in p) for p in parts] == [40, 70, 300, 20]
+
+
+def test_a_task_gives_probes_of_many_cells_in_parts(spark):
+    """Every query may go to every cell; no frame of a task has all of them."""
+    import numpy as np
+    import pandas as pd
+
+    from glossa.operators.vector_index import ROWS, Cells
+
+    random = np.random.default_rng(5)
+    rows = [(k, random.normal(size=4).tolist()) for k in range(600)]
+    cells = Cells(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", cells=40)
+
+    class Taken:
+        columns = schema = spark.createDataFrame([], "key long, vector array<double>").schema
+
+        def mapInPandas(self, run, schema):
+            return list(run(iter([pd.DataFrame({"key": [k for k, _ in rows], "vector": [np.array(v) for _, v in rows]})])))
+
+    everywhere = lambda f, angles, radius: np.nonzero(np.ones_like(angles, bool))
+    frames = cells._probes(Taken(), everywhere)
+    assert max(len(f) for f in frames) <= ROWS and sum(len(f) for f in frames) == 600 * len(cells.centroids)
