@@ -125,7 +125,7 @@ class _Frame:
     def __init__(self, frame: pd.DataFrame):
         self.node, self.cid, self.n = frame["node"].to_numpy(), frame["cid"].to_numpy(), frame["n"].to_numpy()
         self.comp, self.comps = pd.factorize(frame["comp"])
-        self.sig = np.stack(frame["sig"].to_list()).view(np.uint32)
+        self.sig = np.stack(frame["sig"].to_list())
         self.leaves = frame["leaves"].to_list()
         self.shingles = frame["shingles"].to_numpy() if "shingles" in frame else None
 
@@ -175,7 +175,7 @@ class _Frame:
         return np.concatenate([(packed[i[a : a + 65536]] & packed[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
 
 
-_MEMBER = "node long, cid binary, comp binary, n long, sig array<int>, leaves array<bigint>"
+_MEMBER = "node long, cid binary, comp binary, n long, sig array<tinyint>, leaves array<bigint>"
 
 
 def _with_candidates(threshold: float):
@@ -190,7 +190,7 @@ def _with_candidates(threshold: float):
                     rows.append(np.union1d(i, j) + g.start)
             if rows:
                 busy = whole.iloc[np.concatenate(rows)]
-                yield pa.RecordBatch.from_pandas(busy, pa.schema([("node", pa.int64()), ("cid", pa.binary()), ("comp", pa.binary()), ("n", pa.int64()), ("sig", pa.list_(pa.int32())), ("leaves", pa.list_(pa.int64()))]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(busy, pa.schema([("node", pa.int64()), ("cid", pa.binary()), ("comp", pa.binary()), ("n", pa.int64()), ("sig", pa.list_(pa.int8())), ("leaves", pa.list_(pa.int64()))]), preserve_index=False)
 
     return run
 
@@ -278,6 +278,11 @@ def _sets_of(k: int, bits):
     return run
 
 
+def _short(sig: str) -> Column:
+    """A byte of each minwise token: enough to compare by, as unequal tokens seem equal once in 256 times and no equal ones are missed."""
+    return F.transform(sig, lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
+
+
 def _roots(known: DataFrame, trees: range, threshold: float) -> DataFrame:
     """(cid, comp, key, slot, stride, turn): the children of the trees' roots; as far as there are enough, no two of them branch on the same token.
 
@@ -326,23 +331,27 @@ def _branched(large: DataFrame, known: DataFrame, threshold: float, node_limit:
     last = PERMUTATIONS - 1 - int(base)
 
     def children(node: Column) -> Column:
-        key, turn = node["key"], node["turn"]
+        key, slot, stride, turn, steps = (node[x] for x in ("key", "slot", "stride", "turn", "steps"))
         count = F.lit(int(base)) + F.when(F.pmod(F.xxhash64(key, F.lit("more")), F.lit(1 << 20)) < int(more * (1 << 20)), 1).otherwise(0)
 
+        def made(key: Column, turn: Column, steps: Column) -> Column:
+            return F.struct(key.alias("key"), slot.alias("slot"), stride.alias("stride"), turn.alias("turn"), steps.alias("steps"))
+
         def child(branch: Column) -> Column:
-            at = F.pmod(F.col("slot") + F.col("stride") * (turn + branch), F.lit(PERMUTATIONS))
-            return F.struct(F.xxhash64(key, at, F.get("sig", at)).alias("key"), (turn + count).alias("turn"))
+            at = F.pmod(slot + stride * (turn + branch), F.lit(PERMUTATIONS))
+            return made(F.xxhash64(key, at, F.get("sig", at)), turn + count, steps - 1)
 
-        return F.when(turn < last, F.transform(F.sequence(F.lit(1), count), child)).otherwise(F.array(F.struct(key.alias("key"), turn.alias("turn"))))
+        return F.when((turn < last) & (steps > 0), F.transform(F.sequence(F.lit(1), count), child)).otherwise(F.array(made(key, turn, steps)))
 
     share = F.least(F.greatest(F.coalesce("alike", F.lit(0.0)), F.lit(0.01)), F.lit(min(threshold, 0.99)))
-    steps = F.least(F.floor(F.log(F.col("size") / node_limit) / -F.log(share)) + 1, F.lit(LEAP))
-    # the members of a large node lie together where it was met: dealt anew, they branch in all tasks
-    rows = large.filter(F.col("turn") < last).join(_alike(large, known), "key", "left").withColumn("steps", steps).drop("alike", "size")
-    rows = rows.repartition("cid").join(known.select("cid", "comp", "sig"), "cid").withColumn("nodes", children(F.struct("key", "turn")))
-    for step in range(1, LEAP):
-        rows = rows.withColumn("nodes", F.when(F.col("steps") > step, F.flatten(F.transform("nodes", children))).otherwise(F.col("nodes")))
-    return rows.select("cid", "comp", F.explode("nodes").alias("child"), "slot", "stride").select("cid", "comp", "child.key", "slot", "stride", "child.turn")
+    steps = F.least(F.floor(F.log(F.col("size") / node_limit) / -F.log(share)) + 1, F.lit(LEAP)).cast("int")
+    rows = large.filter(F.col("turn") < last).join(_alike(large, known), "key", "left").withColumn("steps", steps)
+    # the members of a large node lie together where it was met: dealt anew, they branch in all tasks, a class with its tokens once for all its nodes
+    each = rows.repartition("cid").groupBy("cid").agg(F.collect_list(F.struct("key", "slot", "stride", "turn", "steps")).alias("nodes"))
+    each = each.join(known.select("cid", "comp", "sig"), "cid")
+    for _ in range(LEAP):
+        each = each.withColumn("nodes", F.flatten(F.transform("nodes", children)))
+    return each.select("cid", "comp", F.explode("nodes").alias("child")).select("cid", "comp", "child.key", "child.slot", "child.stride", "child.turn")
 
 
 def _blocks(rows: DataFrame, node_limit: int, pivot: Column, others: Column) -> DataFrame:
@@ -397,7 +406,7 @@ class _Join:
         sizes = self.work.table(sizes.filter("low <> high").select("key", "size"), f"sizes{self.level}")
         met = self.work.table(level.join(sizes, "key").select("cid", "key", "slot", "stride", "turn", "size"), f"met{self.level}")
         # a class is in as many nodes of a level as there are branches of all trees at most
-        nodes = met.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("nodes")).join(self.known, "cid")
+        nodes = met.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("nodes")).join(self.known.select("cid", "comp", "n", _short("sig").alias("sig")), "cid")
         small = F.filter("nodes", lambda x: x["size"] <= self.node_limit)
         nodes = nodes.withColumn("leaves", F.array_sort(F.transform(small, lambda x: x["key"]))).withColumn("in", F.explode("nodes" if pivots else small))
         self._look(_blocks(nodes.select("cid", "comp", "n", "sig", "leaves", "in.*"), self.node_limit, _sampled(self.node_limit), F.col("size")), f"busy{self.level}")
@@ -406,28 +415,40 @@ class _Join:
 
     def _look(self, dealt: DataFrame, name: str) -> None:
         """Compare the classes of each node by their sketches; those with candidates wait for their full sets."""
-        rows = dealt.select("node", "cid", "comp", "n", "sig", "leaves")
+        # of a class's other leaves only lower ones are asked for
+        rows = dealt.select("node", "cid", "comp", "n", "sig", F.filter("leaves", lambda x: x < F.col("node")).alias("leaves"))
         self.busy.append(self.work.table(self._at_nodes(rows).mapInArrow(_with_candidates(self.pct / 100), _MEMBER), name))
 
-    def settled(self, large: DataFrame) -> DataFrame | None:
-        """Of large nodes those that must branch, by the components as they are known now.
+    def settled(self, large: DataFrame, last: bool) -> DataFrame | None:
+        """The children of those of the large nodes that must branch, by the components as they are known now.
 
         A node within one component is dropped. One of which all but half a
         node's classes lie in one component is compared: these classes go to
         every block of the others, so that no pair that could join two
-        components is left.
+        components is left. ``last``: no classes but these will be asked for.
         """
         half = max(1, self.node_limit // 2)
-        rows = large.drop("size").join(self.known.select("cid", "comp"), "cid")
-        each = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        # one row for each class, which gets its component and its tokens once for all its nodes
+        placed = large.groupBy("cid").agg(F.collect_list(F.struct("key", "slot", "stride", "turn")).alias("nodes")).join(self.known.select("cid", "comp", "n", "sig"), "cid")
+        placed = self.work.table(placed, f"placed{self.level}")
+        if last:
+            self.known = placed.drop("nodes")
+        each = placed.select("comp", F.explode("nodes.key").alias("key")).groupBy("key", "comp").agg(F.count("*").alias("c"))
         state = each.groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
-        state = self.work.table(state.filter("most < size"), f"state{self.level}")
-        few = F.col("size") - F.col("most") <= half
-        told = state.agg(F.count(F.when(few, 1)), F.count(F.when(~few, 1))).first()
+        state = self.work.table(state.filter("most < size").withColumn("few", F.col("size") - F.col("most") <= half), f"state{self.level}")
+        told = state.agg(F.count(F.when(F.col("few"), 1)), F.count(F.when(~F.col("few"), 1))).first()
+        if not told[0] and not told[1]:
+            return None
+        rows = placed.select("cid", "comp", "n", "sig", F.explode("nodes").alias("node")).select("cid", "comp", "n", _short("sig").alias("sig"), "node.*")
+        rows = self.work.table(rows.join(state, "key").withColumn("sig", F.when(F.col("few"), F.col("sig"))), f"open{self.level}")
         if told[0]:
-            found = rows.select("cid", "key").join(state.filter(few), "key").join(self.known, "cid").withColumn("leaves", F.array().cast("array<bigint>"))
+            found = rows.filter("few").withColumn("leaves", F.array().cast("array<bigint>"))
             self._look(_blocks(found, self.node_limit, F.col("comp") != F.col("main"), F.col("most")), f"settled{self.level}")
-        return rows.drop("comp").join(state.filter(~few).select("key", "size"), "key") if told[1] else None
+        if not told[1]:
+            return None
+        branching = rows.filter("not few").select("cid", "key", "slot", "stride", "turn", "size")
+        # written: a level is read twice, its branching is done once
+        return self.work.table(_branched(branching, placed.select("cid", "comp", "sig"), self.pct / 100, self.node_limit), f"branched{self.level}")
 
     def _sets(self, cids: DataFrame) -> DataFrame:
         """(cid, shingles) of some classes, from the texts of the documents that stand for them."""
@@ -454,7 +475,7 @@ class _Join:
             old = self.label.join(to, "root", "left").select("cid", F.coalesce("new", "root").alias("root"))
             moved = old.unionByName(moved).distinct()
         self.label = self.work.table(moved, f"label{self.confirmed}")
-        self.known = self.work.table(self.classes.join(self.label, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root"), f"known{self.confirmed}")
+        self.known = self.classes.join(self.label, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
 
 
 def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall: float = 0.999999, node_limit: int = 512, levels: int = PERMUTATIONS) -> DataFrame:
@@ -488,11 +509,12 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 80, k: int = 5, recall
     join = _Join(source, classes, work, k, threshold_pct, node_limit)
     large = join.compare(_roots(join.known, range(min(PILOT, trees)), threshold), True)
     join.confirm()
-    level = _roots(join.known, range(PILOT, trees), threshold) if trees > PILOT else None
+    level = None
+    if trees > PILOT:
+        join.known = work.table(join.known, "known")
+        level = _roots(join.known, range(PILOT, trees), threshold)
     for depth in range(levels):
-        if large is not None and (large := join.settled(large)) is not None:
-            # written: a level is read twice, its branching is done once
-            children = work.table(_branched(large, join.known, threshold, node_limit), f"branched{join.level}")
+        if large is not None and (children := join.settled(large, level is None)) is not None:
             level = children if level is None else level.unionByName(children)
         if level is None:
             break

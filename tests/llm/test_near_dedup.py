@@ -208,3 +208,37 @@ def test_a_large_node_of_texts_that_are_hardly_alike_branches_once(spark):
     assert 1200 <= rows.count() <= 2400
     assert rows.select("key", "cid").groupBy("cid").count().agg({"count": "max"}).first()[0] <= 2
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_a_class_gets_its_tokens_once_for_all_its_large_nodes(spark):
+    """The join that fetches them makes a row for each class, not one for each class and node."""
+    import numpy as np
+
+    from glossa.llm.near_dedup import PERMUTATIONS, _branched
+
+    random = np.random.default_rng(4)
+    known = spark.createDataFrame([(bytes([k // 256, k % 256]), b"c", random.integers(-(1 << 31), 1 << 31, PERMUTATIONS).tolist()) for k in range(300)], "cid binary, comp binary, sig array<int>")
+    nodes = spark.range(5).selectExpr("id as key", "cast(id as int) as slot", "7 as stride", "0 as turn", "300L as size")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert _branched(known.select("cid").crossJoin(nodes), known, 0.85, 64).count() >= 1500
+    made, found = [], store.executionsList()
+    for i in range(before, found.size()):
+        values, graph = store.executionMetrics(found.apply(i).executionId()), store.planGraph(found.apply(i).executionId()).allNodes()
+        for node in (graph.apply(j) for j in range(graph.size())):
+            if "Join" in node.name() and "[cid" in node.desc():
+                metrics = [node.metrics().apply(m) for m in range(node.metrics().size())]
+                made += [int(v.get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined()]
+    assert made and max(made) <= 300
+
+
+def test_rows_at_nodes_are_short(spark, frame, monkeypatch):
+    """A class goes to a node with a byte of each token and only those of its leaves that the node asks for."""
+    from glossa.llm.near_dedup import _Join
+
+    dealt, at_nodes = [], _Join._at_nodes
+    monkeypatch.setattr(_Join, "_at_nodes", lambda self, rows: dealt.append(rows) or at_nodes(self, rows))
+    rows = corpus(7)
+    assert got(near_duplicates(frame(rows, "doc_id long, text string"), 80)) == brute(rows, 80)
+    assert dealt and {r.schema["sig"].dataType.simpleString() for r in dealt} == {"array<tinyint>"}
+    assert not any(r.filter("exists(leaves, x -> x >= node)").count() for r in dealt)
