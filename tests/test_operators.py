@@ -141,6 +141,55 @@ def test_word_graphs_take_all_sentences(spark):
     assert {e: alone.cohesion_cost(*e[:2]) for e in alone.edges()} == {e: thrice.cohesion_cost(*e[:2]) for e in thrice.edges()}
 
 
+def test_word_graphs_grow_with_their_sentences(monkeypatch):
+    """A node that all sentences share isn't gone through for each of them, and paths that can't be among the cheapest aren't looked for."""
+    import random
+
+    class Counted(dict):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += len(self)
+            return super().__iter__()
+
+    class Graph(wordgraph.WordGraph):
+        def _place(self, *args):
+            for side in (self.before, self.after):
+                for n in side:
+                    if not isinstance(side[n], Counted):
+                        side[n] = Counted(side[n])
+            return super()._place(*args)
+
+    Graph([["hub", f"x{k}", "end"] for k in range(200)])
+    assert Counted.read <= 2_000  # it was 200 * 200
+
+    pushed, push = [], wordgraph.heapq.heappush
+    monkeypatch.setattr(wordgraph.heapq, "heappush", lambda h, x: pushed.append(1) or push(h, x))
+    rng = random.Random(9)
+    g = wordgraph.WordGraph([[rng.choice("abcdefghij") for _ in range(12)] for _ in range(12)])
+    assert len(wordgraph.shortest_paths(g, g.cohesion_cost, 50)) == 50 and len(pushed) <= 1_400  # 2803 before
+
+
+def test_cheapest_paths_as_all_paths():
+    import random
+
+    def every(g, path):
+        if path[-1] == (wordgraph.END, 0):
+            yield path
+        for n in g.after.get(path[-1], ()):
+            if n not in path:
+                yield from every(g, [*path, n])
+
+    rng = random.Random(6)
+    for _ in range(60):
+        g = wordgraph.WordGraph([[rng.choice("abcdef") for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 5))], copies=None)
+        paths = list(every(g, [(wordgraph.START, 0)]))
+        costs = sorted(round(sum(g.cohesion_cost(a, b) for a, b in zip(p, p[1:], strict=False)), 9) for p in paths)
+        for k in (1, 7, 50):
+            found = wordgraph.shortest_paths(g, g.cohesion_cost, k)
+            assert [round(c, 9) for c, _ in found] == costs[:k] and all(p in paths for _, p in found) and len({tuple(p) for _, p in found}) == len(found)
+
+
 def test_word_graph_reads_every_sentence(spark, tmp_path):
     from glossa.plans.models import word_graph_fusion
 
