@@ -379,6 +379,23 @@ def _sampled(node_limit: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("pivot"), "cid", "key"), F.col("size")) < min(PIVOTS, max(1, node_limit // 2))
 
 
+#: What ``settled`` asks of a node: its classes, those of its main component, that component, and whether few are beside it.
+_STATE = ("size", "most", "main", "few")
+
+
+def _that_may_meet(level: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of a level whose key may be among those of ``sizes``, by a bit for each key.
+
+    Most rows of the children of roots are alone in their node. They are told
+    by a filter of one size for any input, and not dealt out to be told.
+    """
+    held = hash_bits(sizes.select("key"), "key").view(np.int64)
+    bits = level.sparkSession.createDataFrame(pa.table({"bits": pa.array([held], pa.list_(pa.int64()))}))
+    bit = F.pmod("key", F.lit(64 * len(held)))
+    word = F.get("bits", F.floor(bit / 64).cast("int"))
+    return level.join(F.broadcast(bits), F.call_function("getbit", word, F.pmod(bit, F.lit(64)).cast("int")) == 1).drop("bits")
+
+
 class _Join:
     """One run of the join: the classes with their components so far, and the members of nodes that wait for their full sets."""
 
@@ -398,13 +415,21 @@ class _Join:
 
         Large nodes are compared with their pivots, or only branched: further
         down a pivot could tell nothing new before the last components are known.
+        There ``settled`` comes without new components in between, so that what
+        it asks of a node is told with the node's size.
         """
         self.level += 1
-        hashed = F.xxhash64("comp")  # a number can be aggregated without a sort
-        sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+        if pivots:
+            hashed = F.xxhash64("comp")  # a number can be aggregated without a sort
+            sizes = level.groupBy("key").agg(F.count("*").alias("size"), F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+            sizes = sizes.filter("low <> high").select("key", "size")
+        else:
+            sizes = self._state(level)
         # written: the join's shuffles are then its own, and a node of very many classes is split
-        sizes = self.work.table(sizes.filter("low <> high").select("key", "size"), f"sizes{self.level}")
-        met = self.work.table(level.join(sizes, "key").select("cid", "key", "slot", "stride", "turn", "size"), f"met{self.level}")
+        sizes = self.work.table(sizes, f"sizes{self.level}")
+        if pivots:
+            level = _that_may_meet(level, sizes)
+        met = self.work.table(level.join(sizes, "key").select("cid", "slot", "stride", "turn", *[sizes[c] for c in sizes.columns]), f"met{self.level}")
         # a class is in as many nodes of a level as there are branches of all trees at most
         nodes = met.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("nodes")).join(self.known.select("cid", "comp", "n", _short("sig").alias("sig")), "cid")
         small = F.filter("nodes", lambda x: x["size"] <= self.node_limit)
@@ -419,6 +444,12 @@ class _Join:
         rows = dealt.select("node", "cid", "comp", "n", "sig", F.filter("leaves", lambda x: x < F.col("node")).alias("leaves"))
         self.busy.append(self.work.table(self._at_nodes(rows).mapInArrow(_with_candidates(self.pct / 100), _MEMBER), name))
 
+    def _state(self, rows: DataFrame) -> DataFrame:
+        """(key, size, most, main, few) of the nodes of rows (key, comp) that no component has for itself."""
+        each = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        state = each.groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
+        return state.filter("most < size").withColumn("few", F.col("size") - F.col("most") <= max(1, self.node_limit // 2))
+
     def settled(self, large: DataFrame, last: bool) -> DataFrame | None:
         """The children of those of the large nodes that must branch, by the components as they are known now.
 
@@ -427,20 +458,22 @@ class _Join:
         every block of the others, so that no pair that could join two
         components is left. ``last``: no classes but these will be asked for.
         """
-        half = max(1, self.node_limit // 2)
         # one row for each class, which gets its component and its tokens once for all its nodes
-        placed = large.groupBy("cid").agg(F.collect_list(F.struct("key", "slot", "stride", "turn")).alias("nodes")).join(self.known.select("cid", "comp", "n", "sig"), "cid")
+        known = "few" in large.columns
+        kept = ["key", "slot", "stride", "turn", *(_STATE if known else ())]
+        placed = large.groupBy("cid").agg(F.collect_list(F.struct(*kept)).alias("nodes")).join(self.known.select("cid", "comp", "n", "sig"), "cid")
         placed = self.work.table(placed, f"placed{self.level}")
         if last:
             self.known = placed.drop("nodes")
-        each = placed.select("comp", F.explode("nodes.key").alias("key")).groupBy("key", "comp").agg(F.count("*").alias("c"))
-        state = each.groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
-        state = self.work.table(state.filter("most < size").withColumn("few", F.col("size") - F.col("most") <= half), f"state{self.level}")
+        rows = placed.select("cid", "comp", "n", "sig", F.explode("nodes").alias("node")).select("cid", "comp", "n", _short("sig").alias("sig"), "node.*")
+        state = large
+        if not known:
+            state = self.work.table(self._state(placed.select("comp", F.explode("nodes.key").alias("key"))), f"state{self.level}")
         told = state.agg(F.count(F.when(F.col("few"), 1)), F.count(F.when(~F.col("few"), 1))).first()
         if not told[0] and not told[1]:
             return None
-        rows = placed.select("cid", "comp", "n", "sig", F.explode("nodes").alias("node")).select("cid", "comp", "n", _short("sig").alias("sig"), "node.*")
-        rows = self.work.table(rows.join(state, "key").withColumn("sig", F.when(F.col("few"), F.col("sig"))), f"open{self.level}")
+        rows = rows if known else rows.join(state, "key")
+        rows = self.work.table(rows.withColumn("sig", F.when(F.col("few"), F.col("sig"))), f"open{self.level}")
         if told[0]:
             found = rows.filter("few").withColumn("leaves", F.array().cast("array<bigint>"))
             self._look(_blocks(found, self.node_limit, F.col("comp") != F.col("main"), F.col("most")), f"settled{self.level}")

@@ -242,3 +242,14 @@ def test_rows_at_nodes_are_short(spark, frame, monkeypatch):
     assert got(near_duplicates(frame(rows, "doc_id long, text string"), 80)) == brute(rows, 80)
     assert dealt and {r.schema["sig"].dataType.simpleString() for r in dealt} == {"array<tinyint>"}
     assert not any(r.filter("exists(leaves, x -> x >= node)").count() for r in dealt)
+
+
+def test_rows_are_joined_with_their_nodes_once(frame, monkeypatch):
+    """Children of roots that meet nobody are left before the shuffle, and below them the node's size brings all that is asked of it."""
+    tables, table = {}, near_dedup.Workspace.table
+    monkeypatch.setattr(near_dedup.Workspace, "table", lambda self, df, name: tables.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and table(self, df, name))
+    rows = corpus(7)
+    assert got(near_duplicates(frame(rows, "doc_id long, text string"), 80, node_limit=8)) == brute(rows, 80)
+    deep = [name for name in tables if name.startswith("open") and int(name[4:]) > 2]
+    assert deep and not any("Join" in tables[name] for name in deep)
+    assert all("getbit" in tables[name] for name in ("met1", "met2"))
