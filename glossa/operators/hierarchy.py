@@ -100,19 +100,21 @@ class Tree:
 
     def scored(self, mode: str) -> DataFrame:
         """node, parent, depth, word, df, children, score: how even a word is over a node's children; null with fewer than two."""
-        top = self.words.select(F.col("node").alias("parent"), "word", F.col("df").alias("t"))
-        own = self.nodes.select("node", F.col("docs").alias("own"))
-        over = self.nodes.select(F.col("node").alias("parent"), F.col("docs").alias("all"))
-        o, s, t = F.col("df"), F.col("own") + 2.0, F.col("t")
-        has = self.words.filter("depth > 1").join(top, ["parent", "word"]).join(own, "node").join(over, "parent")
-        sums = has.groupBy(F.col("parent").alias("node"), "word").agg(
-            F.sum(o * o / s).alias("a"),
-            F.sum(o / s).alias("b"),
-            F.sum(o).alias("o"),
-            F.sum(-(o / t) * F.log(o / t)).alias("h"),
-            F.sum(F.col("own") / F.col("all") * (F.log(o / t + TINY) - math.log(TINY))).alias("x"),
-        )
-        each = self.words.join(self.nodes.select("node", "docs", "children", "sum_s", "sum_inv", "below"), "node").join(sums, ["node", "word"], "left")
+        o, s, t, all_ = F.col("df").cast("double"), F.col("own") + 2.0, F.col("df"), F.col("docs")
+        # what a child's count adds to its parent's row, the parent's own count left out
+        parts = {"a": o * o / s, "b": o / s, "o": o, "g": o * F.log(o)}
+        parts = {k: parts[k] for k in {"chi-square": "abo", "perplexity": "og"}.get(mode, "")}
+        sums = [F.sum(k).alias(k) for k in parts]
+        if mode == "cross-entropy":
+            parts, sums = {"child": F.struct("own", o.alias("o"))}, [F.collect_list("child").alias("child")]
+        rows = self.words.join(self.nodes.select("node", F.col("docs").alias("own")), "node")
+        nothing = {k: F.lit(None).cast(rows.select(c.alias(k)).schema[k].dataType) for k, c in parts.items()}
+        itself = F.struct("node", "df", *[c.alias(k) for k, c in nothing.items()])
+        above = F.struct(F.col("parent").alias("node"), F.lit(None).cast("long").alias("df"), *[c.alias(k) for k, c in parts.items()])
+        rows = rows.select("word", F.explode(F.when(F.col("depth") > 1, F.array(itself, above)).otherwise(F.array(itself))).alias("row"))
+        # one shuffle brings a word's count at a node and those at its children together: neither is joined with the other
+        counts = rows.select("word", "row.*").groupBy("node", "word").agg(F.sum("df").alias("df"), *sums)
+        each = counts.join(self.nodes, "node")
         if mode == "chi-square":
             # sum over all children of the smoothed 2 x k table: those without the word by sum_s and sum_inv, what the others add by a, b and o
             n, a, b, oo = F.col("children"), F.col("a"), F.col("b"), F.col("o")
@@ -120,9 +122,10 @@ class Tree:
             without = F.col("sum_inv") / c - 2 * n + c * F.col("sum_s") + (c * c * F.col("sum_s") - 4 * c * n + 4 * F.col("sum_inv")) / (1 - c)
             score = without + (a + 2 * b) / c - 2 * oo + (a - 2 * c * oo + 4 * b) / (1 - c)
         elif mode == "perplexity":
-            score = F.col("h")
+            score = (F.log(t) * F.col("o") - F.col("g")) / t
         elif mode == "cross-entropy":
-            score = -F.col("x") - math.log(TINY) * F.col("below") / F.col("docs")
+            x = F.aggregate("child", F.lit(0.0), lambda sum_, c: sum_ + c["own"] / all_ * (F.log(c["o"] / t + TINY) - math.log(TINY)))
+            score = F.when(F.size("child") > 0, -x - math.log(TINY) * F.col("below") / all_)
         else:
             raise ValueError(f"no such mode: {mode!r}")
         return each.select("node", "parent", "depth", "word", "df", "children", F.when(F.col("children") > 1, score).alias("score"))

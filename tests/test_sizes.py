@@ -113,3 +113,21 @@ def test_a_task_gives_probes_of_many_cells_in_parts(spark):
     everywhere = lambda f, angles, radius: np.nonzero(np.ones_like(angles, bool))
     frames = cells._probes(Taken(), everywhere)
     assert max(len(f) for f in frames) <= ROWS and sum(len(f) for f in frames) == 600 * len(cells.centroids)
+
+
+@pytest.mark.parametrize("mode", ["chi-square", "perplexity", "cross-entropy"])
+def test_counts_of_words_are_not_joined_with_themselves(spark, mode):
+    """A word's count at a node and at its children meet in one aggregation; a word that no child has gets no score."""
+    import math
+
+    from glossa.operators.hierarchy import Tree
+
+    docs = [("T/a", 1), ("T/a", 2), ("T/b", 3), ("T/c", 4), ("T", 5)]
+    words = [("T/a", 1, "x"), ("T/a", 2, "x"), ("T/b", 3, "x"), ("T/b", 3, "y"), ("T", 5, "z"), ("T", 5, "x")]
+    tree = Tree(spark.createDataFrame(docs, "path string, doc long"), spark.createDataFrame(words, "path string, doc long, word string"))
+    scored = tree.scored(mode)
+    assert not [line for line in plan(scored).splitlines() if "Join" in line and "word#" in line]
+    at = {(r["node"], r["word"]): r for r in scored.collect()}
+    assert at["T", "x"]["df"] == 4 and at["T/a", "x"]["score"] is None and at["T", "z"]["score"] is None
+    if mode == "perplexity":
+        assert abs(at["T", "x"]["score"] + 0.5 * math.log(0.5) + 0.25 * math.log(0.25)) < 1e-12 and at["T", "y"]["score"] == 0
