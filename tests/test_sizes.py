@@ -22,6 +22,13 @@ def test_a_word_of_several_parts_is_one_row_of_the_index(spark, monkeypatch):
     assert any(r[1] > 10 for r in ours) and ours == theirs
 
 
+def test_the_index_has_words_of_few_documents(spark, tmp_path):
+    docs = [(k, "common word" + " rare" * (k == 3) + " twice" * (k in (2, 5))) for k in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["word"]: r["postings"] for r in registry.QUERIES["inverted_index"](spark, str(tmp_path)).collect()}
+    assert got == {"common": "0,1,2,3,4,5", "word": "0,1,2,3,4,5", "rare": "3", "twice": "2,5"}
+
+
 def test_system_pairs_are_made_once(spark):
     """Each pair is made once: nothing looks for it among the others, and equal rows count as in SQL."""
     rows = [(f"s{k:02d}", "oracle" if k % 5 == 0 else str(k % 3)) for k in range(30)] + [("s01", "1"), ("s31", None)]
