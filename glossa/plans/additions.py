@@ -12,7 +12,7 @@ from glossa.functions import vectors as V
 from glossa.operators import contexts, evaluation, models, retrieval, splits, stats, summarize
 from glossa.operators.joins import with_ordinal
 from glossa.plans.common import Registry, load
-from glossa.plans.textual import dealt_tokens, items
+from glossa.plans.textual import items
 from glossa.sources import readers, sinks
 from glossa.sources.storage import shared_dir
 
@@ -182,10 +182,9 @@ s{k} AS MATERIALIZED (SELECT doc_id, l, (sum(g) + 0.1) / (sum(sum(g)) OVER (PART
 )
 def labeled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of a document's labels, its source and language, after three steps (K1)."""
-    d = load(spark, sf_dir, "documents")
-    t = dealt_tokens(spark, sf_dir)
-    lab = d.select("doc_id", F.explode(F.array(F.concat(F.lit("s:"), "source"), F.concat(F.lit("l:"), "lang"))).alias("label"))
-    _, share = models.labeled_topics(t, lab, "doc_id", "word", "label")
+    labels = F.array(F.concat(F.lit("s:"), "source"), F.concat(F.lit("l:"), "lang")).alias("labels")
+    d = load(spark, sf_dir, "documents").select("doc_id", labels, "text")
+    _, share = models.labeled_topics(d, "doc_id", "labels", T.tokens("text"))
     return share.select("doc_id", "label", F.round("share", 6).alias("share"))
 
 

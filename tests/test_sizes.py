@@ -80,6 +80,74 @@ def test_topics_write_a_row_for_each_document(spark, monkeypatch):
     assert tables and not any("doc_id" in x and {"w", "word"} & set(x) for x in tables)
 
 
+def test_topics_shuffle_a_few_times_their_input(spark):
+    """Texts once, and in each step some bytes for a word of a block or of a document (57 times the input before)."""
+    import os
+
+    written_so_far = lambda: (e := spark.sparkContext._jsc.sc().statusStore().executorList(False)) and sum(e.apply(k).totalShuffleWrite() for k in range(e.size()))
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        before = written_so_far()
+        assert registry.QUERIES["labeled_topics"](spark, SF.replace("0.001", "0.1")).agg({"share": "sum"}).first()[0] == pytest.approx(10000, abs=0.1)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert written_so_far() - before < 8 * os.path.getsize(SF.replace("0.001", "0.1") + "/documents.parquet")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_topics_of_packed_blocks(spark, monkeypatch, small):
+    """As reckoned document by document, whether blocks, their pieces and parts are large or small; rows of one number are one document."""
+    import random
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    from glossa.operators import blocks, topic_blocks
+
+    if small:
+        monkeypatch.setattr(blocks, "ROWS", 3)
+        monkeypatch.setattr(models, "PARTS", 3)
+        packed = topic_blocks.packed
+
+        def of_few(*a):
+            run = packed(*a)
+
+            def few(batches):
+                topic_blocks.TOKENS, topic_blocks.COUNTS = 9, 4
+                yield from run(batches)
+
+            return few
+
+        monkeypatch.setattr(topic_blocks, "packed", of_few)
+    rng = random.Random(2)
+    rows = [(f"d{k}", rng.sample(["x", "y", "z", None], rng.randint(0, 3)), " ".join(rng.choice(["a", "b", "\u00e9\u00e9", "long" * 9, "c"]) for _ in range(rng.randint(0, 7)))) for k in range(40)]
+    rows += [("d1", ["y", "w"], "a a q"), ("d2", ["v"], ""), ("d3", ["u"], "b"), (None, ["x"], "a")]
+    counts, labels = defaultdict(Counter), defaultdict(set)
+    for d, own, text in rows:
+        if text and d:
+            counts[d].update(text.split())
+            labels[d] |= {x for x in own if x}
+    counts = {d: c for d, c in counts.items() if labels[d]}
+    p, theta, v = None, {(d, x): 1 for d in counts for x in labels[d]}, len({w for c in counts.values() for w in c})
+    for _ in range(3):
+        mine, per, total = Counter(), Counter(), Counter()
+        for d, c in counts.items():
+            for w, n in c.items():
+                q = {x: theta[d, x] * (p[x, w] if p else 1) for x in labels[d]}
+                for x in q:
+                    g = n * q[x] / sum(q.values())
+                    mine[d, x] += g
+                    per[x, w] += g
+                    total[x] += g
+        theta = {(d, x): (mine[d, x] + 0.1) / (sum(counts[d].values()) + 0.1 * len(labels[d])) for d, x in theta}
+        p = {(x, w): (c + 0.01) / (total[x] + 0.01 * v) for (x, w), c in per.items()}
+    df = spark.createDataFrame(rows, "k string, l array<string>, t string")
+    phi, share = models.labeled_topics(df, "k", "l", F.filter(F.split("t", " "), lambda w: w != ""))
+    assert {(r[0], r[1]): r[2] for r in share.collect()} == pytest.approx(theta)
+    assert {(r[0], r[1]): r[2] for r in phi.collect()} == pytest.approx(p)
+
+
 @pytest.mark.parametrize(("name", "key", "text"), [("support_ranker", "page_id", "html"), ("bigram_coverage", "doc_id", "text")])
 def test_references_are_scored_where_targets_are_dealt(spark, name, key, text):
     """Shuffled are whole targets: neither their tokens nor pairs of target and reference."""
