@@ -206,3 +206,17 @@ def test_counts_of_words_are_not_joined_with_themselves(spark, mode):
     assert at["T", "x"]["df"] == 4 and at["T/a", "x"]["score"] is None and at["T", "z"]["score"] is None
     if mode == "perplexity":
         assert abs(at["T", "x"]["score"] + 0.5 * math.log(0.5) + 0.25 * math.log(0.25)) < 1e-12 and at["T", "y"]["score"] == 0
+
+
+def test_ways_beyond_doubt_are_followed_without_a_search(monkeypatch):
+    """Where one way on is cheaper than all others, the k cheapest paths of a word graph take it as it is."""
+    import heapq
+
+    from glossa.operators import wordgraph
+
+    a = [f"w{k}" for k in range(80)]
+    graph = wordgraph.WordGraph([a, [f"x{k}" if k % 7 == 3 else w for k, w in enumerate(a)]], copies=[3, 1])
+    pops = []
+    monkeypatch.setattr(wordgraph.heapq, "heappop", lambda heap, pop=heapq.heappop: pops.append(1) or pop(heap))
+    found = wordgraph.shortest_paths(graph, graph.cohesion_cost, 50)
+    assert len(found) == 50 and found[0][1] == graph.paths[0] and len(pops) < 5 * len(graph.positions)
