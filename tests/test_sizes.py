@@ -29,6 +29,12 @@ def test_the_index_has_words_of_few_documents(spark, tmp_path):
     assert got == {"common": "0,1,2,3,4,5", "word": "0,1,2,3,4,5", "rare": "3", "twice": "2,5"}
 
 
+def test_lists_of_a_block_are_made_where_it_is(spark):
+    """No shuffle of the index has rows of words in documents."""
+    found = exchanged(registry.QUERIES["inverted_index"](spark, SF))
+    assert any("text" in x for x in found) and not any("doc_id" in x and "text" not in x for x in found)
+
+
 def test_system_pairs_are_made_once(spark):
     """Each pair is made once: nothing looks for it among the others, and equal rows count as in SQL."""
     rows = [(f"s{k:02d}", "oracle" if k % 5 == 0 else str(k % 3)) for k in range(30)] + [("s01", "1"), ("s31", None)]
